@@ -283,28 +283,25 @@ def _(v):
     return cl.winsorise(df, ["load_lag_1h", "load_ma_4h"])
 
 
+def _ensemble_sql(name: str, weights: dict[str, float]) -> str:
+    value = " + ".join(f"coalesce({m} * {w}, 0)" for m, w in weights.items())
+    total = " + ".join(f"CASE WHEN {m} IS NULL THEN 0 ELSE {w} END" for m, w in weights.items())
+    return f"CASE WHEN {total} > 0 THEN least(greatest(({value}) / ({total}), 0), 50000) END AS {name}"
+
+
 @query(
     "ml09_ensembles",
     """WITH p AS (SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber % 4 <> 0 THEN y_true * 0.98 END AS baseline,
             CASE WHEN l_linenumber % 3 <> 0 THEN y_pred END AS enhanced, CASE WHEN l_linenumber % 2 = 0 THEN y_true * 1.01 END AS third, y_true FROM pred_panel)
         SELECT l_orderkey, l_linenumber, y_true, """
-    + ", ".join(
-        f"least(greatest(({' + '.join(f'coalesce({m} * {w}, 0)' for m, w in ws.items())}) / nullif("
-        + " + ".join(f"CASE WHEN {m} IS NULL THEN 0 ELSE {w} END" for m, w in ws.items())
-        + f", 0), 0), 50000) AS {name}"
-        for name, ws in fc.ENSEMBLES.items()
-    ).replace("least(greatest(", "(CASE WHEN TRUE THEN least(greatest(").replace(", 50000) AS", ", 50000) END) AS")
+    + ", ".join(_ensemble_sql(name, ws) for name, ws in fc.ENSEMBLES.items())
     + " FROM p",
     dbl="y_true " + " ".join(fc.ENSEMBLES),
     lng="l_linenumber",
 )
 def _(v):
-    df = three_models(v)
-    cols = {name: fc.ensemble(w, (0, 50000)) for name, w in fc.ENSEMBLES.items()}
-    # A missing row of all models has no prediction; clipping keeps it null as the SQL keeps 0.
-    return df.select(
-        "l_orderkey", "l_linenumber", "y_true", *[F.coalesce(c, F.lit(0.0)).alias(n) for n, c in cols.items()]
-    )
+    cols = [fc.ensemble(w, (0, 50000)).alias(name) for name, w in fc.ENSEMBLES.items()]
+    return three_models(v).select("l_orderkey", "l_linenumber", "y_true", *cols)
 
 
 def three_models(v):
