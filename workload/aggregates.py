@@ -372,8 +372,8 @@ def _(v):
 
 @query(
     "agg22_before_after",
-    """WITH t AS (SELECT sum(y_true * 0.9) AS baseline_total, sum(y_pred) AS improved_total FROM pred_panel),
-        e AS (SELECT *, 2e9 AS actual_load, (baseline_total - 2e9) / 2e9 * 100 AS baseline_error_pct, (improved_total - 2e9) / 2e9 * 100 AS improved_error_pct,
+    """WITH t AS (SELECT sum(y_true * 0.9) / 1e6 AS baseline_total, sum(y_pred) / 1e6 AS improved_total FROM pred_panel),
+        e AS (SELECT *, 2e3 AS actual_load, (baseline_total - 2e3) / 2e3 * 100 AS baseline_error_pct, (improved_total - 2e3) / 2e3 * 100 AS improved_error_pct,
               CASE WHEN improved_total > 0 THEN baseline_total / improved_total ELSE 1 END AS accuracy_improvement_ratio FROM t)
         SELECT *, abs(baseline_error_pct) - abs(improved_error_pct) AS error_reduction_pct,
                CASE WHEN abs(improved_error_pct) < abs(baseline_error_pct) THEN 1 ELSE 0 END AS target_met FROM e""",
@@ -381,22 +381,23 @@ def _(v):
     lng="target_met",
 )
 def _(v):
-    df = v.pred_panel.select((F.col("y_true") * 0.9).cast("decimal(20,6)").alias("baseline"), F.col("y_pred").cast("decimal(20,6)").alias("improved"))
-    out = mt.before_after(df, F.lit(2e9))
-    return out
+    df = v.pred_panel.select((F.col("y_true") * 0.9 / 1e6).alias("baseline"), (F.col("y_pred") / 1e6).alias("improved"))
+    return mt.before_after(df, 2e3)
 
 
 @query(
     "ml14_linear_calibration",
-    """WITH c AS (SELECT zone, regr_slope(y_pred, y_true) AS a, regr_intercept(y_pred, y_true) AS b FROM pred_panel GROUP BY zone)
-        SELECT zone, l_orderkey, l_linenumber, y_true, y_pred, (y_pred - b) / a AS y_pred_calibrated FROM pred_panel JOIN c USING (zone)""",
+    """WITH k AS (SELECT zone, l_orderkey, l_linenumber, y_true / 1000 AS y_true, y_pred / 1000 AS y_pred FROM pred_panel),
+        c AS (SELECT zone, regr_slope(y_pred, y_true) AS a, regr_intercept(y_pred, y_true) AS b FROM k GROUP BY zone)
+        SELECT zone, l_orderkey, l_linenumber, y_true, y_pred, (y_pred - b) / a AS y_pred_calibrated FROM k JOIN c USING (zone)""",
     dbl="y_true y_pred y_pred_calibrated",
     lng="l_linenumber",
 )
 def _(v):
     from gridweave.operators.smoothing import calibrate
 
-    return calibrate(v.pred_panel.drop("timestamp"), "y_true", "y_pred")
+    scaled = v.pred_panel.withColumns({"y_true": F.col("y_true") / 1000, "y_pred": F.col("y_pred") / 1000})
+    return calibrate(scaled.drop("timestamp"), "y_true", "y_pred")
 
 
 @query(
