@@ -101,10 +101,11 @@ def linear(features: Sequence[str], target: str = "load", weight: str | None = N
     return Pipeline(stages=[*stages, learner.setWeightCol(weight) if weight else learner])
 
 
-def in_threads(jobs: Sequence[Callable], threads: int = 4) -> list:
+def in_threads(spark: SparkSession, jobs: Sequence[Callable], threads: int = 4) -> list:
     """Submit Spark jobs side by side from the driver; the work itself runs on the executors."""
+    inherit = inheritable_thread_target(spark)
     with ThreadPoolExecutor(threads) as pool:
-        return list(pool.map(lambda job: inheritable_thread_target(job)(), jobs))
+        return [f.result() for f in [pool.submit(inherit(job)) for job in jobs]]
 
 
 def zones_of(df: DataFrame, least_rows: int = 1) -> list[str]:
@@ -115,7 +116,8 @@ def zones_of(df: DataFrame, least_rows: int = 1) -> list[str]:
 
 def fit_zones(df: DataFrame, make: Callable[[str], Pipeline], zones: Sequence[str], threads: int = 4) -> dict[str, PipelineModel]:
     """One model per zone. Each fit is a distributed job over the zone's rows."""
-    return dict(zip(zones, in_threads([lambda z=z: make(z).fit(df.where(F.col("zone") == z)) for z in zones], threads)))
+    jobs = [lambda z=z: make(z).fit(df.where(F.col("zone") == z)) for z in zones]
+    return dict(zip(zones, in_threads(df.sparkSession, jobs, threads)))
 
 
 def score_zones(df: DataFrame, models: dict[str, PipelineModel], name: str = "prediction") -> DataFrame:
@@ -155,7 +157,7 @@ def search(
         return i, k, mt.core_metrics(scored, (), target, "prediction").first()["mape"]
 
     jobs = [lambda i=i, k=k: run(i, k) for i in range(len(settings)) for k in range(1, folds + 1)]
-    rows = in_threads(jobs, threads)  # one number per fit
+    rows = in_threads(df.sparkSession, jobs, threads)  # one number per fit
     out = df.sparkSession.createDataFrame(rows, "setting int, fold int, mape double")
     named = df.sparkSession.createDataFrame(
         [(i, s.trees, s.depth, s.rate) for i, s in enumerate(settings)], "setting int, trees int, depth int, rate double"

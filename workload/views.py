@@ -45,6 +45,18 @@ VIEW_SQL = {
 }
 
 
+def load_of(events: DataFrame) -> DataFrame:
+    """Events as readings: the event type is the resource, mapped to a zone."""
+    zone = F.create_map(*[F.lit(x) for kv in ZONE_OF_EVENT.items() for x in kv])[F.col("event_type")]
+    return events.select(
+        F.col("ts").alias("timestamp"),
+        F.col("value").alias("load"),
+        F.col("event_type").alias("resource_name"),
+        F.col("event_id").alias("seq"),
+        zone.alias("zone"),
+    )
+
+
 class Views:
     """The same views as DataFrames."""
 
@@ -62,14 +74,16 @@ class Views:
 
     @cached_property
     def load_raw(self) -> DataFrame:
-        zone = F.create_map(*[F.lit(x) for kv in ZONE_OF_EVENT.items() for x in kv])[F.col("event_type")]
-        return self.table("events").select(
-            F.col("ts").alias("timestamp"),
-            F.col("value").alias("load"),
-            F.col("event_type").alias("resource_name"),
-            F.col("event_id").alias("seq"),
-            zone.alias("zone"),
+        return load_of(self.table("events"))
+
+    def load_stream(self) -> DataFrame:
+        """The events file as a stream of the same rows."""
+        rows = (
+            self.spark.readStream.schema(self.spark.read.parquet(f"{self.dir}/events.parquet").schema)
+            .option("pathGlobFilter", "events.parquet")
+            .parquet(self.dir)
         )
+        return load_of(rows.withColumn("ts", F.col("ts").cast("timestamp")))
 
     @cached_property
     def load_hourly(self) -> DataFrame:
