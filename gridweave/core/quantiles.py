@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from gridweave.core.scalars import beside
 from gridweave.core.series import histogram, join_keys, positions
 from gridweave.session import setting, stored
 
@@ -80,5 +81,5 @@ def group_quantiles(df: DataFrame, keys: Sequence[str], wanted: dict[str, tuple[
 def with_quantiles(df: DataFrame, keys: Sequence[str], wanted: dict[str, tuple[str, float]]) -> DataFrame:
     """Attach group quantiles to every row; the quantile table is stored first."""
     if not keys:
-        return df.crossJoin(F.broadcast(stored(group_quantiles(df, [], wanted))))  # one row
+        return beside(df, stored(group_quantiles(df, [], wanted)))
     return join_keys(df, stored(group_quantiles(df, keys, wanted)), keys, "left")

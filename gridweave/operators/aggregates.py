@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridweave.catalog import LOAD_WEIGHTS, lookup
+from gridweave.core.scalars import beside
 from gridweave.core.quantiles import group_quantiles, with_quantiles
 from gridweave.core.series import join_keys
 from gridweave.functions.expr import flag
@@ -72,14 +73,14 @@ def dataset_profile(df: DataFrame, value: str = "load", ts: str = "timestamp") -
         *nulls,
     )
     quarts = group_quantiles(df, [], {"value_p25": (value, 0.25), "value_p50": (value, 0.5), "value_p75": (value, 0.75)})
-    return base.crossJoin(F.broadcast(quarts))  # one row each
+    return beside(base, quarts)
 
 
 def zone_shares(df: DataFrame) -> DataFrame:
     """Rows per zone and their share."""
     counts = stored(df.groupBy("zone").agg(F.count(F.lit(1)).alias("n_rows")))
     total = counts.agg(F.sum("n_rows").alias("_all"))
-    return counts.crossJoin(F.broadcast(total)).select("zone", "n_rows", (F.col("n_rows") / F.col("_all")).alias("share"))
+    return beside(counts, total).select("zone", "n_rows", (F.col("n_rows") / F.col("_all")).alias("share"))
 
 
 def zone_summary(df: DataFrame, order: Sequence[str] = ("timestamp",)) -> DataFrame:
@@ -131,7 +132,7 @@ def temperature_response(df: DataFrame, bins: int = 15) -> DataFrame:
     span = stored(df.agg(F.min("temp_c").alias("_lo"), F.max("temp_c").alias("_hi")))
     t = F.col("temp_c")
     width = (F.col("_hi") - F.col("_lo")) / bins
-    binned = df.crossJoin(F.broadcast(span)).withColumn(
+    binned = beside(df, span).withColumn(
         "temp_bin", F.greatest(F.ceil(F.try_divide(t - F.col("_lo"), width)) - 1, F.lit(0)).cast("int")
     )
     return binned.where(t.isNotNull()).groupBy("temp_bin").agg(
@@ -154,7 +155,7 @@ def balance_temperature(df: DataFrame, bins: int = 15) -> DataFrame:
         F.avg(F.when(t < 10, F.col("load"))).alias("cold_load"),
         F.avg(F.when(t.between(15, 20), F.col("load"))).alias("mild_load"),
     )
-    return best.crossJoin(F.broadcast(bands))  # one row each
+    return beside(best, bands)
 
 
 def collection_summary(expected: DataFrame, collected: DataFrame) -> DataFrame:
@@ -186,4 +187,4 @@ def duplicate_counts(df: DataFrame, key: Sequence[str]) -> DataFrame:
     total = F.sum(F.col("_c") - 1)
     whole = df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("_c")).agg(total.alias("duplicate_rows"))
     by_key = df.groupBy(*key).agg(F.count(F.lit(1)).alias("_c")).agg(total.alias("duplicate_keys"))
-    return whole.crossJoin(F.broadcast(by_key))  # one row each
+    return beside(whole, by_key)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gridweave.core.quantiles import with_quantiles
+from gridweave.core.scalars import beside
 from gridweave.core.series import join_keys
 from gridweave.functions.expr import clip
 from gridweave.operators.windows import fill_zeros, last_rows, light_smoothing
@@ -20,8 +21,8 @@ def recent(df: DataFrame, span: str, as_of: Column | None = None, ts: str = "tim
     """Rows within ``span`` (an interval text) of ``as_of``, by default of the latest row."""
     if as_of is not None:
         return df.where(F.col(ts) >= as_of - F.expr(f"interval {span}"))
-    latest = df.agg(F.max(ts).alias("_latest"))
-    return df.crossJoin(F.broadcast(latest)).where(F.col(ts) >= F.col("_latest") - F.expr(f"interval {span}")).drop("_latest")
+    latest = df.agg(F.max(ts).alias("latest")).scalar()
+    return df.where(F.col(ts) >= latest - F.expr(f"interval {span}"))
 
 
 def calendar_sample(
@@ -50,7 +51,7 @@ def proxy_zone(df: DataFrame, zone: str, source: str, lo: float, hi: float) -> D
         F.count_if(F.col("zone") == zone).alias("_own"),
         F.avg(F.when(F.col("zone") == source, F.col("load"))).alias("_mean"),
     )
-    rows = df.crossJoin(F.broadcast(facts))
+    rows = beside(df, facts)
     own = F.col("_own") > 0
     rows = rows.where(F.when(own, F.col("zone") == zone).otherwise(F.col("zone") == source))
     load = F.when(own, F.col("load")).otherwise(F.col("load") * ((lo + hi) / 2) / F.col("_mean"))

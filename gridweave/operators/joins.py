@@ -131,15 +131,16 @@ def composite_forecast(
     preds: DataFrame, composition: DataFrame, value: str = "prediction", band: float = 0.05, by: Sequence[str] = ("target_time",)
 ) -> DataFrame:
     """Sum of the component zones; their bands add in quadrature; all components are needed."""
-    parts = stored(composition.groupBy("composite").agg(F.count(F.lit(1)).alias("_parts")))
-    joined = preds.where(F.col(value).isNotNull()).join(F.broadcast(composition), "zone")
+    composition = stored(composition)
+    parts = composition.groupBy("composite").agg(F.count(F.lit(1)).alias("_parts"))
+    joined = preds.where(F.col(value).isNotNull()).join(composition, "zone")
     v = F.col(value)
     out = joined.groupBy("composite", *by).agg(
         F.sum(v).alias("predicted_load"),
         F.sqrt(F.sum((v * band) * (v * band))).alias("_half"),
         F.countDistinct("zone").alias("_have"),
     )
-    out = out.join(F.broadcast(parts), "composite").where("_have = _parts")
+    out = out.join(parts, "composite").where("_have = _parts")
     return out.select(
         "composite",
         *by,

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridweave.core.quantiles import group_quantiles
+from gridweave.core.scalars import beside
 from gridweave.core.series import join_keys
 from gridweave.functions.expr import flag
 
@@ -34,7 +35,7 @@ def core_metrics(df: DataFrame, by: Sequence[str] = (), y: str = "y_true", p: st
     medians = group_quantiles(df, list(by), {"median_ae": ("abs_error", 0.5)})
     if by:
         return join_keys(out, medians, list(by))
-    return out.crossJoin(F.broadcast(medians))  # one row each
+    return beside(out, medians)
 
 
 def metric_variants(df: DataFrame, by: Sequence[str] = (), y: str = "y_true", p: str = "y_pred") -> DataFrame:
@@ -146,7 +147,7 @@ def forecast_report(preds: DataFrame, target: float = 5.0) -> DataFrame:
         F.count_if(x > 0).alias("n_improved"),
         flag(F.avg(F.abs(x)) >= target).alias("target_achieved"),
     )
-    return base.crossJoin(F.broadcast(group_quantiles(preds, [], {"median_improvement_pct": ("improvement_pct", 0.5)})))
+    return beside(base, group_quantiles(preds, [], {"median_improvement_pct": ("improvement_pct", 0.5)}))
 
 
 def chart_errors(df: DataFrame, by: Sequence[str] = (), y: str = "y_true", p: str = "y_pred") -> DataFrame:

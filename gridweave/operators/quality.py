@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from gridweave.catalog import EXPECTED_ZONES
 from gridweave.core.quantiles import group_quantiles
+from gridweave.core.scalars import beside
 from gridweave.functions.expr import flag
 from gridweave.operators.windows import gap_report
 from gridweave.session import stored
@@ -121,7 +122,7 @@ def forecast_table_penalties(df: DataFrame) -> DataFrame:
         ("short_horizon", F.col("h") < 12, 10),
         ("time_gaps", F.col("gaps") > 0, 10),
     ]
-    return _penalties(facts.crossJoin(F.broadcast(gaps)), rules)
+    return _penalties(beside(facts, gaps), rules)
 
 
 def forecast_feature_penalties(df: DataFrame) -> DataFrame:

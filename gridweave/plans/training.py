@@ -163,7 +163,7 @@ def search(
         [(i, s.trees, s.depth, s.rate) for i, s in enumerate(settings)], "setting int, trees int, depth int, rate double"
     )
     best = out.groupBy("setting").agg(F.avg("mape").alias("mean_mape"), F.count("fold").alias("folds"))
-    return best.join(F.broadcast(named), "setting").orderBy("mean_mape")
+    return best.join(named, "setting").orderBy("mean_mape")
 
 
 def importances(spark: SparkSession, models: dict[str, PipelineModel], features: Sequence[str]) -> DataFrame:

@@ -49,12 +49,6 @@ def shared_dir(spark: SparkSession) -> str:
     return _local_dirs[app]
 
 
-def use_checkpoints(spark: SparkSession) -> None:
-    """Give the context the shared folder, unless it already has one."""
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(shared_dir(spark))
-
-
 def stored(df: DataFrame) -> DataFrame:
     """Write a reduced table once and read it back.
 

@@ -283,7 +283,7 @@ def _(v):
 
 @query(
     "agg16_forecast_report",
-    """WITH p AS (SELECT zone, l_linenumber AS horizon_hours, l_linenumber % 3 <> 0 AS ok, (y_pred - y_true) / y_true * 100 AS x FROM pred_panel)
+    """WITH p AS (SELECT zone, l_linenumber AS horizon_hours, l_linenumber < 5 AS ok, (y_pred - y_true) / y_true * 100 AS x FROM pred_panel)
         SELECT count(*) AS total_predictions, count(DISTINCT zone) AS n_zones, count(DISTINCT horizon_hours) AS n_horizons,
         count(*) FILTER (ok) AS with_forecasts, 100.0 * count(*) FILTER (ok) / count(*) AS coverage_pct, avg(x) AS mean_improvement_pct,
         stddev_pop(x) AS std_improvement_pct, min(x) AS min_improvement_pct, max(x) AS max_improvement_pct, count(*) FILTER (x > 0.000001) AS n_improved,
@@ -295,7 +295,7 @@ def _(v):
     df = v.pred_panel.select(
         "zone",
         F.col("l_linenumber").alias("horizon_hours"),
-        (F.col("l_linenumber") % 3 != 0).alias("forecast_available"),
+        (F.col("l_linenumber") < 5).alias("forecast_available"),
         ((F.col("y_pred") - F.col("y_true")) / F.col("y_true") * 100).alias("improvement_pct"),
     )
     return mt.forecast_report(df)
@@ -409,8 +409,7 @@ def _(v):
 )
 def _(v):
     chart = v.load_hourly.groupBy("timestamp").agg(F.sum("load").alias("actual_load"), (F.sum("load") * 1.02).alias("predicted_load"))
-    zones = v.spark.createDataFrame([(z,) for z in [*ct.SCALE_FACTOR, "ZP26"]], "zone string")
-    return fc.scaled_chart(chart, zones)
+    return fc.scaled_chart(chart, [*ct.SCALE_FACTOR, "ZP26"])
 
 
 # --- weights, splits and samples
@@ -480,12 +479,12 @@ _U = "(CAST(CAST('0x' || substr(md5(CAST(seq AS VARCHAR) || '|42'), 1, 12) AS BI
 
 @query(
     "ml03_weighted_sample",
-    f"""SELECT zone, {TS}, seq, load, w AS sample_weight FROM (SELECT *, 1 + seq % 3 AS w FROM {MAPPED})
+    f"""SELECT zone, {TS}, seq, load, w AS sample_weight FROM (SELECT *, 1 + load / 50 AS w FROM {MAPPED})
         QUALIFY row_number() OVER (PARTITION BY zone ORDER BY -ln({_U}) / w, seq) <= 700""",
     dbl="load sample_weight",
 )
 def _(v):
-    df = v.load_raw.where("zone is not null").withColumn("sample_weight", 1.0 + F.col("seq") % 3)
+    df = v.load_raw.where("zone is not null").withColumn("sample_weight", 1 + F.col("load") / 50)
     return wt.weighted_sample(df, F.col("seq"), "seq", 700).select("zone", "timestamp", "seq", "load", "sample_weight")
 
 

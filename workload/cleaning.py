@@ -291,8 +291,8 @@ def _ensemble_sql(name: str, weights: dict[str, float]) -> str:
 
 @query(
     "ml09_ensembles",
-    """WITH p AS (SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber % 4 <> 0 THEN y_true * 0.98 END AS baseline,
-            CASE WHEN l_linenumber % 3 <> 0 THEN y_pred END AS enhanced, CASE WHEN l_linenumber % 2 = 0 THEN y_true * 1.01 END AS third, y_true FROM pred_panel)
+    """WITH p AS (SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber <> 4 THEN y_true * 0.98 END AS baseline,
+            CASE WHEN l_linenumber <> 3 AND l_linenumber <> 4 THEN y_pred END AS enhanced, CASE WHEN l_linenumber > 4 THEN y_true * 1.01 END AS third, y_true FROM pred_panel)
         SELECT l_orderkey, l_linenumber, y_true, """
     + ", ".join(_ensemble_sql(name, ws) for name, ws in fc.ENSEMBLES.items())
     + " FROM p",
@@ -308,9 +308,9 @@ def three_models(v):
     n = F.col("l_linenumber")
     return v.pred_panel.withColumns(
         {
-            "baseline": F.when(n % 4 != 0, F.col("y_true") * 0.98),
-            "enhanced": F.when(n % 3 != 0, F.col("y_pred")),
-            "third": F.when(n % 2 == 0, F.col("y_true") * 1.01),
+            "baseline": F.when(n != 4, F.col("y_true") * 0.98),
+            "enhanced": F.when((n != 3) & (n != 4), F.col("y_pred")),
+            "third": F.when(n > 4, F.col("y_true") * 1.01),
         }
     )
 
@@ -318,8 +318,8 @@ def three_models(v):
 @query(
     "ml10_model_choice",
     """SELECT l_orderkey, l_linenumber, y_true, coalesce(third, enhanced, baseline) AS third, coalesce(enhanced, baseline) AS enhanced, baseline
-        FROM (SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber % 4 <> 0 THEN y_true * 0.98 END AS baseline,
-            CASE WHEN l_linenumber % 3 <> 0 THEN y_pred END AS enhanced, CASE WHEN l_linenumber % 2 = 0 THEN y_true * 1.01 END AS third, y_true FROM pred_panel)""",
+        FROM (SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber <> 4 THEN y_true * 0.98 END AS baseline,
+            CASE WHEN l_linenumber <> 3 AND l_linenumber <> 4 THEN y_pred END AS enhanced, CASE WHEN l_linenumber > 4 THEN y_true * 1.01 END AS third, y_true FROM pred_panel)""",
     dbl="y_true third enhanced baseline",
     lng="l_linenumber",
 )

@@ -161,15 +161,15 @@ def _(v):
     return jn.weather_with_fallback(zones, current, {"LA_METRO": "SCE"}, {"temp_c": 20.0, "humidity": 50.0, "wind_speed": 10.0})
 
 
-# The increment repeats every third event with a corrected load.
-INCREMENT_SQL = "SELECT resource_name, zone, {ts}, seq, CASE WHEN seq % 2 = 0 THEN load + 1 ELSE load END AS load FROM load_raw WHERE seq % 3 = 0"
+# The increment repeats the readings above 40, some of them with a corrected load.
+INCREMENT_SQL = "SELECT resource_name, zone, {ts}, seq, CASE WHEN load > 60 THEN load + 1 ELSE load END AS load FROM load_raw WHERE load > 40"
 ARRIVALS = f"""SELECT date_trunc('hour', {TS}) AS {TS}, zone, resource_name, seq, load, 0 AS source_rank FROM load_raw
     UNION ALL SELECT date_trunc('hour', {TS}) AS {TS}, zone, resource_name, seq, load, 1 AS source_rank FROM ({INCREMENT_SQL.format(ts=TS)})"""
 
 
 def arrivals(v):
     hist = v.load_raw.withColumn("timestamp", F.date_trunc("hour", "timestamp"))
-    inc = hist.where("seq % 3 = 0").withColumn("load", F.when(F.col("seq") % 2 == 0, F.col("load") + 1).otherwise(F.col("load")))
+    inc = hist.where("load > 40").withColumn("load", F.when(F.col("load") > 60, F.col("load") + 1).otherwise(F.col("load")))
     return hist, inc
 
 

@@ -30,13 +30,13 @@ def as_of():
     f"""WITH f AS (SELECT zone, count(*) AS n_rows, 100.0 * count(*) FILTER (load IS NULL) / count(*) AS null_pct,
             floor((epoch_us(TIMESTAMP '{AS_OF}') - epoch_us(max({TS}))) / 86400000000) AS days_old,
             quantile_cont(load, 0.75) - quantile_cont(load, 0.25) AS iqr
-            FROM (SELECT zone, {TS}, CASE WHEN zone = 'SCE' AND seq % 4 = 0 THEN NULL ELSE load END AS load FROM load_raw WHERE zone IS NOT NULL) GROUP BY zone)
+            FROM (SELECT zone, {TS}, CASE WHEN zone = 'SCE' AND load < 20 THEN NULL ELSE load END AS load FROM load_raw WHERE zone IS NOT NULL) GROUP BY zone)
         SELECT *, CASE WHEN n_rows >= 1000 AND null_pct <= 10 AND coalesce(iqr, 1) <> 0 THEN 1 ELSE 0 END AS passed FROM f""",
     dbl="null_pct iqr",
     lng="n_rows days_old passed",
 )
 def _(v):
-    hole = (F.col("zone") == "SCE") & (F.col("seq") % 4 == 0)
+    hole = (F.col("zone") == "SCE") & (F.col("load") < 20)
     df = v.load_raw.where("zone is not null").withColumn("load", F.when(~hole, F.col("load")))
     return dq.training_gate(df, as_of())
 
@@ -318,16 +318,16 @@ _RES = {"click": "PGE-TAC", "view": "SCE-TAC", "purchase": "BANCSMUD", "signup":
     "src05_report_xml",
     f"""SELECT date_trunc('second', {TS}) AS {TS}, load, CASE resource_name {' '.join(f"WHEN '{k}' THEN '{x}'" for k, x in _RES.items())} END AS resource_name,
         CASE resource_name WHEN 'click' THEN 'NP15' WHEN 'view' THEN 'SCE' WHEN 'purchase' THEN 'SMUD' WHEN 'signup' THEN 'SP15' END AS zone,
-        'CAISO' AS region, 'caiso_oasis_sld' AS data_source FROM load_raw WHERE seq % 2 = 0 AND seq % 10 <> 0""",
+        'CAISO' AS region, 'caiso_oasis_sld' AS data_source FROM load_raw WHERE load > 20 AND load < 90""",
     dbl="load",
 )
 def _(v):
     path = landing(v, "xml")
     rows = v.load_raw.select(
         ct.lookup(_RES, F.col("resource_name")).alias("RESOURCE_NAME"),
-        F.when(F.col("seq") % 2 == 0, "LOAD_5MIN_MW").otherwise("OTHER_MW").alias("DATA_ITEM"),
+        F.when(F.col("load") > 20, "LOAD_5MIN_MW").otherwise("OTHER_MW").alias("DATA_ITEM"),
         F.date_format("timestamp", "yyyy-MM-dd'T'HH:mm:ss'-00:00'").alias("INTERVAL_START_GMT"),
-        F.when(F.col("seq") % 10 != 0, F.col("load").cast("string")).otherwise("n/a").alias("VALUE"),
+        F.when(F.col("load") < 90, F.col("load").cast("string")).otherwise("n/a").alias("VALUE"),
     )
     rows.write.format("xml").option("rootTag", "OASISReport").option("rowTag", "REPORT_DATA").save(path)
     return fs.read_report_xml(v.spark, path)

@@ -184,11 +184,11 @@ def _(v):
     "win08_percent_change",
     f"""SELECT zone, "timestamp", seq, p / nullif(lag(p, 24) OVER ({RAW}), 0) - 1 AS load_daily_change FROM (
         SELECT *, last_value(x IGNORE NULLS) OVER ({RAW}) AS p FROM (
-            SELECT *, CASE WHEN seq % 7 = 0 THEN NULL ELSE load END AS x FROM load_raw WHERE zone IS NOT NULL))""",
+            SELECT *, CASE WHEN load < 5 THEN NULL ELSE load END AS x FROM load_raw WHERE zone IS NOT NULL))""",
     dbl="load_daily_change",
 )
 def _(v):
-    df = v.load_raw.where("zone is not null").withColumn("load", F.when(F.col("seq") % 7 != 0, F.col("load")))
+    df = v.load_raw.where("zone is not null").withColumn("load", F.when(F.col("load") >= 5, F.col("load")))
     return wn.percent_change(df, "load", 24, **RAW_ORDER).select("zone", "timestamp", "seq", "load_daily_change")
 
 
@@ -226,12 +226,12 @@ for _limit, _name in ((900, "15min"), (450, "450s"), (7200, "2h")):
         SELECT *, last_value(CASE WHEN x IS NOT NULL THEN {{'ix': ix, 'v': x}} END IGNORE NULLS) OVER ({RAW}) AS p,
                first_value(CASE WHEN x IS NOT NULL THEN {{'ix': ix, 'v': x}} END IGNORE NULLS) OVER ({RAW}
                    ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS n FROM (
-            SELECT *, row_number() OVER ({RAW}) - 1 AS ix, CASE WHEN seq % 5 <> 0 AND load <> 0 THEN load END AS x
+            SELECT *, row_number() OVER ({RAW}) - 1 AS ix, CASE WHEN load >= 10 THEN load END AS x
             FROM load_raw WHERE zone IS NOT NULL))""",
     dbl="load",
 )
 def _(v):
-    df = v.load_raw.where("zone is not null").withColumn("load", F.when(F.col("seq") % 5 == 0, 0.0).otherwise(F.col("load")))
+    df = v.load_raw.where("zone is not null").withColumn("load", F.when(F.col("load") < 10, 0.0).otherwise(F.col("load")))
     return wn.fill_zeros(df, "load", **RAW_ORDER).select("zone", "timestamp", "seq", "load")
 
 
