@@ -28,10 +28,9 @@ from pyspark.sql import types as T
 from gridweave.session import setting, stored
 
 ROWS_PER_CHUNK = 1_000_000
-MAX_SPLIT_ROUNDS = 12
+MAX_SPLIT_ROUNDS = 24
 
 FIRST = Window.unboundedPreceding
-LAST = Window.unboundedFollowing
 
 
 def order_number(df: DataFrame, name: str) -> Column:
@@ -46,14 +45,6 @@ def order_number(df: DataFrame, name: str) -> Column:
     return F.col(name).cast("double")
 
 
-def same_keys(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
-    """Join condition on keys where null equals null."""
-    cond = F.lit(True)
-    for k in keys:
-        cond = cond & left[k].eqNullSafe(right[k])
-    return cond
-
-
 def join_keys(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
     """Join that treats null keys as equal and keeps the left key columns."""
     renamed = right.withColumnsRenamed({k: f"_r_{k}" for k in keys})
@@ -100,12 +91,13 @@ def histogram(
     start = bucket.cast("bigint") if bucket is not None else F.lit(0).cast("bigint")
     rows = df.withColumns({"_k": first, "_t": tie, "_b": F.array(start)})
     table = stored(_count(rows, keys))
+    wide = (F.col("_cnt") > limit) & ((F.col("_k0") < F.col("_k1")) | (F.col("_t0") < F.col("_t1")))
     for _ in range(MAX_SPLIT_ROUNDS):
-        hot = table.where(
-            (F.col("_cnt") > limit) & ((F.col("_k0") < F.col("_k1")) | (F.col("_t0") < F.col("_t1")))
-        )
-        if hot.isEmpty():
+        sizes = table.groupBy(*keys).agg(F.sum("_cnt").alias("n"), F.max(wide).alias("hot"))
+        top, any_hot = sizes.agg(F.max("n"), F.max("hot")).first()
+        if not any_hot:
             break
+        hot = table.where(wide)
         pieces = F.ceil(F.col("_cnt") / limit) * 4
         hot = hot.select(
             *[F.col(k).alias(f"_r_{k}") for k in keys],
@@ -136,7 +128,6 @@ def histogram(
         )
         calm = join_keys_anti(table, hot, keys)
         table = stored(calm.unionByName(_count(again, keys)))
-    top = table.groupBy(*keys).agg(F.sum("_cnt").alias("n")).agg(F.max("n")).first()[0]
     return Histogram(rows, table, tuple(keys), int(top or 0))
 
 
@@ -229,10 +220,11 @@ class Series:
         aggs += [F.sum(name).alias(f"_s_{name}") for name in sums]
         per_chunk = self.df.groupBy(*self.by).agg(*aggs)
         scan = Window.partitionBy(*self.keys).orderBy("_chunk")
+        reverse = Window.partitionBy(*self.keys).orderBy(F.desc("_chunk"))
         hand = []
         for name in names:
             hand.append(F.last(f"_l_{name}", True).over(scan.rowsBetween(FIRST, -1)).alias(f"_before_{name}"))
-            hand.append(F.first(f"_f_{name}", True).over(scan.rowsBetween(1, LAST)).alias(f"_after_{name}"))
+            hand.append(F.last(f"_f_{name}", True).over(reverse.rowsBetween(FIRST, -1)).alias(f"_after_{name}"))
         for name in sums:
             hand.append(F.sum(f"_s_{name}").over(scan.rowsBetween(FIRST, -1)).alias(f"_sum_{name}"))
         table = stored(per_chunk.select(*self.by, *hand))
@@ -244,8 +236,13 @@ class Series:
         return F.coalesce(here, F.col(f"_before_{name}")) if self.chunked else here
 
     def next_known(self, name: str) -> Column:
-        """First non-null value from the row on."""
-        here = F.first(name, True).over(self.w.rowsBetween(0, LAST))
+        """First non-null value from the row on.
+
+        Written as the last value of the reversed series: Spark rescans a frame that
+        is open at its end for every row.
+        """
+        reverse = Window.partitionBy(*self.by).orderBy(*[F.desc(c) for c in self.order])
+        here = F.last(name, True).over(reverse.rowsBetween(FIRST, 0))
         return F.coalesce(here, F.col(f"_after_{name}")) if self.chunked else here
 
     def running_sum(self, name: str) -> Column:

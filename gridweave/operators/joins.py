@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridweave.core.series import join_keys, over_series, series, with_position
+from gridweave.core.series import Series, series, with_position
 from gridweave.session import stored
 
 
@@ -30,6 +30,37 @@ def merge(
     return lhs.join(rhs, list(on), how)
 
 
+def _time_line(left: DataFrame, right: DataFrame, keys: Sequence[str], ts: str, seq: str | None, right_first: bool) -> Series:
+    """Both sides on one time line per key, the right row packed so that it can be carried along."""
+    packed = F.struct(F.col(ts).alias("at"), *[c for c in right.columns if c not in (*keys, ts)])
+    whole = F.struct(*left.columns)
+    hit_type = right.select(packed.alias("p")).schema["p"].dataType
+    row_type = left.select(whole.alias("p")).schema["p"].dataType
+    no_seq = F.lit(0).cast("double")
+    rhs = right.select(
+        *keys,
+        ts,
+        F.lit(0 if right_first else 1).alias("_side"),
+        (F.col(seq).cast("double") if seq else no_seq).alias("_seq"),
+        packed.alias("_hit"),
+        F.lit(None).cast(row_type).alias("_row"),
+    )
+    lhs = left.select(
+        *keys,
+        ts,
+        F.lit(1 if right_first else 0).alias("_side"),
+        no_seq.alias("_seq"),
+        F.lit(None).cast(hit_type).alias("_hit"),
+        whole.alias("_row"),
+    )
+    return series(lhs.unionByName(rhs), keys=keys, order=(ts, "_side", "_seq")).carrying("_hit")
+
+
+def _payload(left: DataFrame, right: DataFrame, keys: Sequence[str], ts: str, hit: str) -> list[Column]:
+    names = [c for c in right.columns if c not in (*keys, ts)]
+    return [F.col(f"{hit}.{c}").alias(c if c not in left.columns else f"{c}_right") for c in names]
+
+
 def asof_join(
     left: DataFrame,
     right: DataFrame,
@@ -43,65 +74,42 @@ def asof_join(
 ) -> DataFrame:
     """Each left row with the latest right row at or before it (``forward``: first at or after).
 
-    Both sides are laid on one time line per key and the right row is carried along it,
-    so nothing is joined pairwise. At equal time the right row counts, and among equal
-    right rows the one with the largest ``seq``. Unmatched rows get nulls.
+    The right row is carried along one time line per key, so nothing is joined pairwise.
+    At equal time the right row counts, and among equal right rows the one with the
+    largest ``seq``. Unmatched rows get nulls.
     """
     keys = list(keys)
-    payload = [c for c in right.columns if c not in (*keys, ts)]
-    packed = F.struct(F.col(ts).alias("_at"), *payload)
-    kind = right.select(packed.alias("p")).schema["p"].dataType
-    fwd = direction == "forward"
-    no_seq = F.lit(0).cast("double")
-    rhs = right.select(
-        *keys,
-        ts,
-        F.lit(1 if fwd else 0).alias("_side"),
-        (F.col(seq).cast("double") if seq else no_seq).alias("_seq"),
-        packed.alias("_hit"),
-        F.lit(None).cast(left.select(F.struct(*left.columns).alias("p")).schema["p"].dataType).alias("_row"),
-    )
-    lhs = left.select(
-        *keys,
-        ts,
-        F.lit(0 if fwd else 1).alias("_side"),
-        no_seq.alias("_seq"),
-        F.lit(None).cast(kind).alias("_hit"),
-        F.struct(*left.columns).alias("_row"),
-    )
-    line = lhs.unionByName(rhs)
-    s = series(line, keys=keys, order=(ts, "_side", "_seq")).carrying("_hit")
-    found = s.next_known("_hit") if fwd else s.last_known("_hit")
+    forward = direction == "forward"
+    s = _time_line(left, right, keys, ts, seq, right_first=not forward)
+    found = s.next_known("_hit") if forward else s.last_known("_hit")
     out = s.df.withColumn("_found", found).where(F.col("_row").isNotNull())
     hit = F.col("_found")
     if tolerance_seconds is not None:
-        gap = F.abs(F.unix_micros(ts) - F.unix_micros("_found._at"))
+        gap = F.abs(F.unix_micros(ts) - F.unix_micros("_found.at"))
         hit = F.when(gap <= F.lit(int(tolerance_seconds * 1_000_000)), hit)
     out = out.select("_row.*", hit.alias("_m"))
-    cols = [F.col(f"_m.{c}").alias(c if c not in left.columns else f"{c}_right") for c in payload]
+    cols = _payload(left, right, keys, ts, "_m")
     if match_ts:
-        cols.append(F.col("_m._at").alias(match_ts))
+        cols.append(F.col("_m.at").alias(match_ts))
     return out.select(*left.columns, *cols)
 
 
 def nearest_join(
     left: DataFrame, right: DataFrame, *, keys: Sequence[str] = ("zone",), ts: str = "timestamp", seq: str | None = None
 ) -> DataFrame:
-    """Each left row with the right row nearest in time; the earlier one wins a tie."""
-    payload = [c for c in right.columns if c not in (*keys, ts)]
-    taken = right.withColumnsRenamed({c: f"b_{c}" for c in payload})
-    back = asof_join(left, taken, keys=keys, ts=ts, seq=f"b_{seq}" if seq else None, match_ts="b_at")
-    taken = right.withColumnsRenamed({c: f"f_{c}" for c in payload})
-    both = asof_join(back, taken, keys=keys, ts=ts, seq=f"f_{seq}" if seq else None, direction="forward", match_ts="f_at")
+    """Each left row with the right row nearest in time; the earlier one wins a tie.
+
+    One pass over the time line carries the right row both ways.
+    """
+    keys = list(keys)
+    s = _time_line(left, right, keys, ts, seq, right_first=True)
+    both = s.df.withColumns({"_before": s.last_known("_hit"), "_after": s.next_known("_hit")})
+    both = both.where(F.col("_row").isNotNull())
     now = F.unix_micros(ts)
-    before, after = now - F.unix_micros("b_at"), F.unix_micros("f_at") - now
-    use_back = F.coalesce(before <= after, F.col("b_at").isNotNull())
-    picked = [
-        F.when(use_back, F.col(f"b_{c}")).otherwise(F.col(f"f_{c}")).alias(c if c not in left.columns else f"{c}_right")
-        for c in payload
-    ]
-    at = F.when(use_back, F.col("b_at")).otherwise(F.col("f_at")).alias("matched_at")
-    return both.select(*left.columns, *picked, at)
+    back, ahead = now - F.unix_micros("_before.at"), F.unix_micros("_after.at") - now
+    use_back = F.coalesce(back <= ahead, F.col("_before").isNotNull())
+    out = both.select("_row.*", F.when(use_back, F.col("_before")).otherwise(F.col("_after")).alias("_m"))
+    return out.select(*left.columns, *_payload(left, right, keys, ts, "_m"), F.col("_m.at").alias("matched_at"))
 
 
 def expand_horizons(df: DataFrame, horizons: Sequence[int], ts: str = "timestamp") -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -57,31 +58,43 @@ def rolling_features(
     return over_series(df, build, back=max(windows) - 1, **layout)
 
 
+def padded(df: DataFrame, value: str, name: str = "padded_value", **layout) -> DataFrame:
+    """The value with missing cells replaced by the last known one."""
+    s = series(df, **layout).carrying(value)
+    return s.finish(s.df.withColumn(name, s.last_known(value)))
+
+
+def change_column(s: Series, filled: str, periods: int) -> Column:
+    return F.try_divide(F.col(filled), s.lag(filled, periods)) - 1
+
+
 def percent_change(df: DataFrame, value: str = "load", periods: int = 24, name: str | None = None, **layout) -> DataFrame:
     """Change against the value ``periods`` rows earlier; a missing value takes the last known one."""
-    filled = f"_filled_{value}"
-    s = series(df, **layout).carrying(value)
-    df = s.df.withColumn("padded_value", s.last_known(value)).select(*s.columns, "padded_value")
-    build = lambda t: {
-        name or f"{value}_daily_change": F.try_divide(F.col("padded_value"), t.lag("padded_value", periods)) - 1
-    }
-    return over_series(df, build, back=periods, **layout).drop("padded_value", filled)
+    df = padded(df, value, **layout)
+    build = lambda s: {name or f"{value}_daily_change": change_column(s, "padded_value", periods)}
+    return over_series(df, build, back=periods, **layout).drop("padded_value")
 
 
-def forecast_proxies(df: DataFrame, horizons: Sequence[int], base: float = 18.0, **layout) -> DataFrame:
-    """Trailing means (24, 12 and 6 rows) as the forecast of every horizon, with degree versions."""
-    sources = [("temp", "temp_c", 24), ("humidity", "humidity", 12), ("wind", "wind_speed_kmh", 6)]
-    sources = [x for x in sources if x[1] in df.columns]
-    once = over_series(
-        df, lambda s: {f"proxy_{n}": F.avg(c).over(s.rows(k - 1)) for n, c, k in sources}, back=23, **layout
-    )
+# Trailing rows that stand for the forecast of each variable.
+PROXY_ROWS = {"temp": ("temp_c", 24), "humidity": ("humidity", 12), "wind": ("wind_speed_kmh", 6)}
+PROXY_BACK = 23
+
+
+def with_proxies(s: Series, df: DataFrame, horizons: Sequence[int], base: float) -> DataFrame:
+    used = {n: (c, k) for n, (c, k) in PROXY_ROWS.items() if c in df.columns}
+    once = df.withColumns({f"proxy_{n}": F.avg(c).over(s.rows(k - 1)) for n, (c, k) in used.items()})
     cols: dict[str, Column] = {}
     for h in horizons:
-        for n, _, _ in sources:
+        for n in used:
             cols[f"{n}_forecast_{h}h"] = F.col(f"proxy_{n}")
         cols[f"cooling_forecast_{h}h"] = above(F.col("proxy_temp") - base, 0.0)
         cols[f"heating_forecast_{h}h"] = above(base - F.col("proxy_temp"), 0.0)
-    return once.withColumns(cols).drop(*[f"proxy_{n}" for n, _, _ in sources])
+    return once.withColumns(cols).drop(*[f"proxy_{n}" for n in used])
+
+
+def forecast_proxies(df: DataFrame, horizons: Sequence[int], base: float = 18.0, **layout) -> DataFrame:
+    """Trailing means (24, 12 and 6 rows) as the forecast of every horizon, with degree versions."""
+    return over_series(df, lambda s: with_proxies(s, s.df, horizons, base), back=PROXY_BACK, **layout)
 
 
 def forecast_by_horizon(df: DataFrame, horizons: Sequence[int], base: float = 18.0) -> DataFrame:
@@ -100,8 +113,7 @@ def forecast_by_horizon(df: DataFrame, horizons: Sequence[int], base: float = 18
     return out.withColumns(cols)
 
 
-def weather_change_features(df: DataFrame, volatility_window: int = 6, **layout) -> DataFrame:
-    """Change rate to the forecast value, and rolling spread of the 6 h and 24 h forecast."""
+def with_changes(s: Series, df: DataFrame, volatility_window: int) -> DataFrame:
     have = set(df.columns)
     cols: dict[str, Column] = {}
     for h in (6, 12, 24):
@@ -110,23 +122,25 @@ def weather_change_features(df: DataFrame, volatility_window: int = 6, **layout)
     for h in (6, 12):
         if {f"humidity_forecast_{h}h", "humidity"} <= have:
             cols[f"humidity_change_rate_{h}h"] = (F.col(f"humidity_forecast_{h}h") - F.col("humidity")) / h
-    if cols:
-        df = df.withColumns(cols)
-    spread = {}
     if f"temp_forecast_{volatility_window}h" in have:
-        spread["weather_volatility_6h"] = (f"temp_forecast_{volatility_window}h", volatility_window)
+        window = [volatility_window]
+        cols |= rolling_columns(s, f"temp_forecast_{volatility_window}h", window, ["std"], "weather_volatility_6h", least=3)
     if "temp_forecast_24h" in have:
-        spread["temp_forecast_stability"] = ("temp_forecast_24h", 6)
-    if not spread:
-        return df
+        cols |= rolling_columns(s, "temp_forecast_24h", [6], ["std"], "temp_forecast_stability", least=3)
+    return df.withColumns(cols) if cols else df
+
+
+def weather_change_features(df: DataFrame, volatility_window: int = 6, **layout) -> DataFrame:
+    """Change rate to the forecast value, and rolling spread of the 6 h and 24 h forecast."""
+    back = max(volatility_window, 6) - 1
+    return over_series(df, lambda s: with_changes(s, s.df, volatility_window), back=back, **layout)
 
-    def build(s: Series) -> dict[str, Column]:
-        out = {}
-        for name, (c, n) in spread.items():
-            out |= rolling_columns(s, c, [n], ["std"], name, least=3)
-        return out
 
-    return over_series(df, build, back=max(n for _, n in spread.values()) - 1, **layout)
+def proxies_and_changes(df: DataFrame, horizons: Sequence[int], base: float, volatility_window: int, **layout) -> DataFrame:
+    """Both of the above in one pass over the series."""
+    back = PROXY_BACK + max(volatility_window, 6) - 1
+    build = lambda s: with_changes(s, with_proxies(s, s.df, horizons, base), volatility_window)
+    return over_series(df, build, back=back, **layout)
 
 
 def extreme_weather_features(
@@ -209,10 +223,10 @@ def fill_zeros(df: DataFrame, value: str = "load", **layout) -> DataFrame:
     Trailing zeros take the last value; leading ones stay null.
     """
     known = F.when(F.col(value) != 0, F.col(value))
-    df = with_position(df, "row_at", None, **layout)
+    s = series(df, **layout)
+    rows = s.df.withColumn("row_at", s.pos)
     point = F.struct(F.col("row_at").alias("at"), known.alias("v"))
-    df = df.withColumn("known_point", F.when(known.isNotNull(), point))
-    s = series(df, **layout).carrying("known_point")
+    s = replace(s, df=rows.withColumn("known_point", F.when(known.isNotNull(), point))).carrying("known_point")
     out = s.df.withColumns({"left_point": s.last_known("known_point"), "right_point": s.next_known("known_point")})
     a, b, at = F.col("left_point"), F.col("right_point"), F.col("row_at")
     line = a["v"] + (b["v"] - a["v"]) * (at - a["at"]) / (b["at"] - a["at"])

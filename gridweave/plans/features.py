@@ -17,9 +17,10 @@ from gridweave.operators.joins import lag_by_time, merge
 from gridweave.operators.windows import (
     extreme_weather_features,
     forecast_by_horizon,
-    forecast_proxies,
+    change_column,
     lag_columns,
-    percent_change,
+    padded,
+    proxies_and_changes,
     rolling_columns,
     weather_change_features,
 )
@@ -40,6 +41,7 @@ class UnifiedConfig:
     forecast: ForecastConfig = field(default_factory=ForecastConfig)
     lags: tuple[int, ...] = (1, 24)
     lag_mode: str = "rows"
+    order: tuple[str, ...] = ("timestamp",)
     temporal: bool = True
     interactions: bool = True
 
@@ -78,11 +80,11 @@ def forecast_features(
 ) -> DataFrame:
     """Forecast values per horizon, change and volatility, extremes, uncertainty."""
     if mode == "proxy":
-        out = forecast_proxies(df, config.horizons, config.base, order=order)
+        out = proxies_and_changes(df, config.horizons, config.base, config.volatility_window, order=order)
     else:
         own = df.where(F.col("forecast_horizon_hours") == min(config.horizons))
         out = own.join(forecast_by_horizon(df, config.horizons, config.base), ["zone", "timestamp"])
-    out = weather_change_features(out, config.volatility_window, order=order)
+        out = weather_change_features(out, config.volatility_window, order=order)
     out = extreme_weather_features(out, config.hot, config.cold, config.rapid)
     return wx.uncertainty_features(out)
 
@@ -122,7 +124,7 @@ def unified_features(
         if config.lag_mode == "time":
             df = lag_by_time(df, "load", config.lags)
         else:
-            df = over_series(df, lambda s: lag_columns(s, "load", config.lags), back=max(config.lags))
+            df = over_series(df, lambda s: lag_columns(s, "load", config.lags), back=max(config.lags), order=config.order)
     return wx.weather_interactions(df) if config.interactions else df
 
 
@@ -130,19 +132,20 @@ def evening_peak_features(df: DataFrame) -> DataFrame:
     """All evening-peak features of all zones at once; complete rows only."""
     df = cal.evening_features(cal.evening_cycle(df))
     df = wx.evening_weather(df)
-    df = percent_change(df, "load", 24)
+    df = padded(df, "load")
 
     def build(s: Series) -> dict[str, Column]:
         out = {
+            "load_daily_change": change_column(s, "padded_value", 24),
+            "load_day_over_day": change_column(s, "padded_value", 24),
             **lag_columns(s, "load", (1, 2)),
             **rolling_columns(s, "load", (4, 8), ("mean",), "load_ma_{n}h", least=1),
-            "load_day_over_day": F.col("load_daily_change"),
         }
         if "temperature" in df.columns:
             out |= lag_columns(s, "temperature", (1, 2), "temp")
         return out
 
-    df = over_series(df, build, back=7)
+    df = over_series(df, build, back=24).drop("padded_value")
     df = cal.days_since_start(cal.demand_pattern_flags(df)).drop("days_from_latest")
     return cal.zone_factors(df).dropna()
 

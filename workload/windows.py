@@ -420,3 +420,34 @@ for _rounding in ("floor", "ceil"):
     )
     def _(v, rounding=_rounding):
         return wn.downsample(v.load_raw, 300, rounding, **RAW_ORDER).select("zone", "timestamp", "seq", "load")
+
+
+def _recursive_sql(step: str, first: str) -> str:
+    """The recurrence row by row, as a recursive query."""
+    return f"""WITH RECURSIVE s AS (SELECT zone, "timestamp", load, load * 0.98 AS p, row_number() OVER ({Z}) - 1 AS ix FROM load_hourly),
+        r(zone, "timestamp", ix, a, o1, o2, o3) AS (
+            SELECT zone, "timestamp", ix, load, {first}, CAST(0 AS DOUBLE), CAST(0 AS DOUBLE) FROM s WHERE ix = 0
+            UNION ALL SELECT s.zone, s."timestamp", s.ix, s.load, {step}, r.o1, r.o2 FROM r JOIN s ON s.zone = r.zone AND s.ix = r.ix + 1)
+        SELECT zone, "timestamp", o1 AS p_smoothed FROM r"""
+
+
+def _guess(v):
+    return v.load_hourly.withColumn("p", F.col("load") * 0.98)
+
+
+@query(
+    "udf02_recursive_smoothing",
+    _recursive_sql("CASE WHEN s.ix < 3 THEN s.p ELSE (s.p + r.o1 + r.o2 + r.o3) / 4 END", "p"),
+    dbl="p_smoothed",
+)
+def _(v):
+    return sm.recursive_smoothing(_guess(v), "p").select("zone", "timestamp", "p_smoothed")
+
+
+@query(
+    "udf02_slow_trend_smoothing",
+    _recursive_sql("0.2 * s.p + (1 - 0.2) * (r.o1 + s.load - r.a)", "p"),
+    dbl="p_smoothed",
+)
+def _(v):
+    return sm.trend_smoothing(_guess(v), "load", "p", 0.2).select("zone", "timestamp", "p_smoothed")
