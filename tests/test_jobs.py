@@ -56,6 +56,17 @@ def test_absent_weather_is_empty(spark, tmp_path):
     assert fs.read_forecasts(spark, str(tmp_path / "none")).count() == 0
 
 
+def test_zone_and_column_pruning_reach_the_scan(spark, tmp_path):
+    rows = hours(spark, 5, zone="SCE").unionByName(hours(spark, 5, zone="NP15")).withColumn("extra", F.lit(1))
+    fs.write_by_zone(rows, str(tmp_path / "load"))
+    df = fs.read_load(spark, str(tmp_path / "load"), ["SCE"], "timestamp timestamp, load double, zone string, extra int")
+    df = df.where(F.col("timestamp") >= F.lit(T0)).select("zone", "load")
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert df.count() == 5
+    assert "PartitionFilters: [isnotnull(zone" in plan and "GreaterThanOrEqual(timestamp" in plan
+    assert "ReadSchema: struct<timestamp:timestamp,load:double>" in plan
+
+
 def test_upsert_retry_is_harmless(spark, tmp_path):
     root, keys, order = str(tmp_path / "t"), ["timestamp", "zone"], ["seq"]
     first = hours(spark, 5).withColumn("seq", F.lit(0))
