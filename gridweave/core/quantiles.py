@@ -18,7 +18,7 @@ def group_quantiles(df: DataFrame, keys: Sequence[str], wanted: dict[str, tuple[
     """Linear quantiles: ``wanted`` maps an output name to (column, q). One row per group.
 
     Groups within the chunk limit use ``percentile``. Beyond it the wanted ranks are
-    located in a value histogram, refined by range, and only the buckets that hold
+    located in a value histogram, refined where it is crowded, and only the buckets that hold
     them are sorted.
     """
     limit = setting(df.sparkSession, "gridweave.rowsPerChunk", ROWS_PER_CHUNK)

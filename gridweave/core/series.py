@@ -29,6 +29,8 @@ from gridweave.session import setting, stored
 
 ROWS_PER_CHUNK = 1_000_000
 MAX_SPLIT_ROUNDS = 24
+# Shares at which a bucket above the limit is cut.
+CUTS = [i / 64 for i in range(1, 64)]
 
 FIRST = Window.unboundedPreceding
 
@@ -81,7 +83,7 @@ def histogram(
     limit: int,
     bucket: Column | None = None,
 ) -> Histogram:
-    """Count rows per bucket; split buckets above the limit by range until none is left.
+    """Count rows per bucket; split buckets above the limit until none is left.
 
     ``bucket`` must rise with the first order column; without it a series starts as one
     bucket. A bucket in which all order values are equal cannot be split.
@@ -97,36 +99,29 @@ def histogram(
         top, any_hot = sizes.agg(F.max("n"), F.max("hot")).first()
         if not any_hot:
             break
-        hot = table.where(wide)
-        pieces = F.ceil(F.col("_cnt") / limit) * 4
-        hot = hot.select(
+        hot = table.where(wide).select(
             *[F.col(k).alias(f"_r_{k}") for k in keys],
             F.col("_b").alias("_hb"),
-            pieces.alias("_pieces"),
-            *[F.col(c).alias(f"_h{c}") for c in ("_k0", "_k1", "_t0", "_t1")],
+            (F.col("_k0") < F.col("_k1")).alias("_by_order"),
         )
-        cond = F.col("_b") == F.col("_hb")
-        for k in keys:
-            cond = cond & F.col(k).eqNullSafe(F.col(f"_r_{k}"))
-        width = F.col("_h_k1") - F.col("_h_k0")
-        share = F.when(width > 0, (F.col("_k") - F.col("_h_k0")) / width).otherwise(
-            F.try_divide(F.col("_t") - F.col("_h_t0"), F.col("_h_t1") - F.col("_h_t0"))
-        )
-        piece = F.least(F.floor(F.coalesce(share, F.lit(0.0)) * F.col("_pieces")), F.col("_pieces") - 1)
-        joined = rows.join(hot, cond, "left")
-        rows = joined.withColumn(
-            "_b",
-            F.when(F.col("_hb").isNull(), F.col("_b")).otherwise(
-                F.concat("_b", F.array(piece.cast("bigint")))
-            ),
-        ).select(*rows.columns)
+        here = (F.col("_b") == F.col("_hb")) & _null_safe(keys)
+        value = F.when(F.col("_by_order"), F.col("_k")).otherwise(F.col("_t"))
+        # Approximate quantiles combine on the map side and fit any distribution.
+        cuts = rows.join(hot, here).groupBy(*[f"_r_{k}" for k in keys], "_hb", "_by_order")
+        cuts = stored(cuts.agg(F.percentile_approx(value, CUTS, 1000).alias("_cuts")))
+        # Values equal to a cut form their own piece, so one crowded value is set apart.
+        below = F.size(F.filter("_cuts", lambda c: c < value))
+        upto = F.size(F.filter("_cuts", lambda c: c <= value))
+        piece = F.when(value.isNull(), -1).otherwise(below + upto).cast("bigint")
+        split = F.when(F.col("_hb").isNotNull(), F.concat("_b", F.array(piece))).otherwise(F.col("_b"))
+        rows = rows.join(cuts, here, "left").withColumn("_b", split).select(*rows.columns)
         # Only the rows of split buckets are counted again.
         again = rows.join(
             hot.select(*[f"_r_{k}" for k in keys], "_hb"),
             (F.slice("_b", 1, F.size("_hb")) == F.col("_hb")) & _null_safe(keys),
             "left_semi",
         )
-        calm = join_keys_anti(table, hot, keys)
+        calm = table.join(hot, here, "left_anti")
         table = stored(calm.unionByName(_count(again, keys)))
     return Histogram(rows, table, tuple(keys), int(top or 0))
 
@@ -138,10 +133,6 @@ def _null_safe(keys: Sequence[str]) -> Column:
     return cond
 
 
-def join_keys_anti(table: DataFrame, hot: DataFrame, keys: Sequence[str]) -> DataFrame:
-    return table.join(hot, _null_safe(keys) & (F.col("_b") == F.col("_hb")), "left_anti")
-
-
 def positions(hist: Histogram) -> DataFrame:
     """First row position of each bucket and the length of its series."""
     by_bucket = Window.partitionBy(*hist.keys).orderBy("_b")
