@@ -116,22 +116,21 @@ def unified_features(
 ) -> DataFrame:
     """Multi-zone feature table of load, weather, forecasts, calendar, lags and interactions."""
     df = merge_all(power, weather, forecast, config)
-    if config.temporal:
-        df = cal.cyclic_parts(cal.calendar_parts(df))
-    if weather is not None:
-        df = wx.historical_weather_features(df)
+    # Lags first: the shuffle then moves the merged columns only, not the derived ones.
     if config.lags:
         if config.lag_mode == "time":
             df = lag_by_time(df, "load", config.lags)
         else:
             df = over_series(df, lambda s: lag_columns(s, "load", config.lags), back=max(config.lags), order=config.order)
+    if config.temporal:
+        df = cal.cyclic_parts(cal.calendar_parts(df))
+    if weather is not None:
+        df = wx.historical_weather_features(df)
     return wx.weather_interactions(df) if config.interactions else df
 
 
 def evening_peak_features(df: DataFrame) -> DataFrame:
     """All evening-peak features of all zones at once; complete rows only."""
-    df = cal.evening_features(cal.evening_cycle(df))
-    df = wx.evening_weather(df)
     df = padded(df, "load")
 
     def build(s: Series) -> dict[str, Column]:
@@ -146,6 +145,7 @@ def evening_peak_features(df: DataFrame) -> DataFrame:
         return out
 
     df = over_series(df, build, back=24).drop("padded_value")
+    df = wx.evening_weather(cal.evening_features(cal.evening_cycle(df)))
     df = cal.days_since_start(cal.demand_pattern_flags(df)).drop("days_from_latest")
     return cal.zone_factors(df).dropna()
 
@@ -157,18 +157,6 @@ def hourly_model_table(load: DataFrame, weather: DataFrame, advanced: bool = Fal
     and extreme weather terms, the temperature step and the 365-day cycle.
     """
     df = hourly_mean(load).join(weather, ["zone", "timestamp"], "inner")
-    df = cal.business_hours(cal.calendar_parts(df), 8, 18)
-    if advanced:
-        df = wx.advanced_weather(df)
-    else:
-        t = F.col("temp_c")
-        df = df.withColumns(
-            {
-                "temp_squared": t * t,
-                "temp_humidity_interaction": t * F.col("humidity"),
-                **wx.degree_days(unit="hours"),
-            }
-        )
 
     def build(s: Series) -> dict[str, Column]:
         out = lag_columns(s, "load", (1, 24))
@@ -178,7 +166,11 @@ def hourly_model_table(load: DataFrame, weather: DataFrame, advanced: bool = Fal
         return out
 
     df = over_series(df, build, back=24)
+    df = cal.business_hours(cal.calendar_parts(df), 8, 18)
+    t = F.col("temp_c")
     if advanced:
+        df = wx.advanced_weather(df)
         cols = {f"{k}_{n}": wave(F.col(n), p, k) for n, p in (("hour", 24), ("day_of_year", 365)) for k in ("sin", "cos")}
-        df = df.withColumns(cols)
-    return df.dropna()
+        return df.withColumns(cols).dropna()
+    squares = {"temp_squared": t * t, "temp_humidity_interaction": t * F.col("humidity")}
+    return df.withColumns({**squares, **wx.degree_days(unit="hours")}).dropna()
