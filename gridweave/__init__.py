@@ -1 +1,10 @@
-"""Load-series analytics on Spark DataFrames."""
+"""Load-series analytics on Spark DataFrames.
+
+Functions of this package that run inside Spark tasks are sent by value, so executors need no copy of it.
+"""
+
+import sys
+
+from pyspark import cloudpickle
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
