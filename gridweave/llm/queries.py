@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from gridweave.llm import secrets
+from gridweave.llm.exact import exact_duplicates
+from gridweave.llm.leaks import leaks
 from gridweave.llm.near import near_duplicates
 from gridweave.llm.registry import query
 
@@ -15,3 +18,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 @query("op5_near_duplicates")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), shingle=4, percent=80)
+
+
+@query("op10_exact_duplicates")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_duplicates(table(spark, sf_dir, "documents")).drop("raw")
+
+
+@query("op1_latent_leaks")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("raw")
+
+
+@query("op2_credential_links", secrets.oracle())
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.secret_scan(table(spark, sf_dir, "documents"))
