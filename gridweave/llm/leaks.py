@@ -19,20 +19,19 @@ Only counts, the sketch (``sketch`` x vocabulary of a block) and a block of the
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
 from typing import NamedTuple
 
-import hashlib
-
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridweave.llm.shelf import Shelf
+from gridweave.llm.sums import summed
 from gridweave.llm.words import PUNCTUATION, blocks, words
 
 FOUND = "doc_id long, item long, cosine double, lcs int, item_words int, answer boolean, first_word int, last_word int, raw string"
@@ -162,41 +161,29 @@ def sketched(rows: DataFrame, weights: np.ndarray, kind: type, cell: int, sketch
     """The test matrix times the TF-IDF matrix of all passages, summed over tasks and then by row."""
     size = len(weights)
 
-    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def part(batches: Iterator[pa.RecordBatch]) -> dict[int, np.ndarray]:
         random = np.random.default_rng(TaskContext.get().partitionId())
         total = np.zeros(sketch * size)
         for batch in batches:
             numbers, bounds = _numbers(batch, kind)
-            counts = np.diff(bounds)
-            inside = np.arange(len(numbers)) - np.repeat(bounds[:-1], counts)
+            lengths = np.diff(bounds)
+            inside = np.arange(len(numbers)) - np.repeat(bounds[:-1], lengths)
             passage = np.cumsum(inside % cell == 0) - 1
             known = numbers >= 0
             term, passage = numbers[known], passage[known]
             if not len(term):
                 continue
             weight = weights[term]
-            norm = np.sqrt(np.bincount(passage, weight * weight))
-            weight = weight / norm[passage]
+            weight = weight / np.sqrt(np.bincount(passage, weight * weight))[passage]
             for _ in range(probe_rows):
-                row = random.integers(0, sketch, len(norm))
-                sign = random.integers(0, 2, len(norm)) * 2.0 - 1
+                row = random.integers(0, sketch, passage[-1] + 1)
+                sign = random.integers(0, 2, passage[-1] + 1) * 2.0 - 1
                 total += np.bincount(row[passage] * size + term, weight * sign[passage], minlength=sketch * size)
-        part = total.astype(np.float32).reshape(CHUNKS, -1)
-        yield pa.RecordBatch.from_arrays([pa.array(range(CHUNKS), pa.int32()), pa.array([x.tobytes() for x in part], pa.binary())], ["chunk", "part"])
-
-    def added(group: pd.DataFrame) -> pd.DataFrame:
-        total = np.zeros(sketch * size // CHUNKS)
-        for x in group["part"]:
-            total += np.frombuffer(x, np.float32)
-        return pd.DataFrame({"chunk": group["chunk"][:1], "part": [total.astype(np.float32).tobytes()]})
-
-    # 32 tasks' parts are put together before all of a chunk's meet, so that no task gets a part of every task.
-    few = rows.select("words").mapInArrow(parts, "chunk int, part binary")
-    few = few.withColumn("some", F.floor(F.spark_partition_id() / 32))
-    few = few.groupBy("chunk", "some").applyInPandas(lambda g: added(g[["chunk", "part"]]), "chunk int, part binary")
-    out = np.zeros((CHUNKS, sketch * size // CHUNKS), dtype=np.float32)
-    for r in few.groupBy("chunk").applyInPandas(added, "chunk int, part binary").collect():  # CHUNKS rows
-        out[r["chunk"]] = np.frombuffer(r["part"], np.float32)
+        return dict(enumerate(total.reshape(CHUNKS, -1)))
+
+    out = np.zeros((CHUNKS, sketch * size // CHUNKS))
+    for chunk, total in summed(rows.select("words"), part, out.shape[1]).items():
+        out[chunk] = total
     return out.reshape(sketch, size)
 
 

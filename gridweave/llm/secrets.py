@@ -126,8 +126,8 @@ def _literal(text: str) -> str:
 
 def _kind_sql(kind: str) -> str:
     pattern, group = _literal(PATTERNS[kind]), 2 if kind == "assign" else 0
-    return f"""SELECT doc_id, raw, {KINDS.index(kind)} AS kind, unnest(list_transform(string_split_regex(text, {pattern}), x -> length(x))) AS gap,
-        unnest(list_transform(regexp_extract_all(text, {pattern}), x -> length(x))) AS size, unnest(regexp_extract_all(text, {pattern}, {group})) AS value,
+    return f"""SELECT doc_id, raw, {KINDS.index(kind)} AS kind, unnest(list_transform(string_split_regex(text, {pattern}), lambda x: length(x))) AS gap,
+        unnest(list_transform(regexp_extract_all(text, {pattern}), lambda x: length(x))) AS size, unnest(regexp_extract_all(text, {pattern}, {group})) AS value,
         unnest(range(1, len(string_split_regex(text, {pattern})) + 1)) AS place FROM docs WHERE regexp_matches(text, {_literal(NEEDED[kind])})"""
 
 
