@@ -4,7 +4,7 @@ One hash function fingerprints the word shingles of a text; its sketch is the k
 word sequence are one class. The ``index`` smallest values of each class make inverted lists, and classes that
 meet in a list are candidates:
 
-- A list is first compared with one member, its pivot (the class with most copies). Verified links give
+- Each list is first compared with one member, its pivot (the class with most copies). Verified links give
   components, and a list whose members share a component is done: copies are never expanded into pairs.
 - Members outside the list's largest component are compared with about four more of it. Where at most ``few`` are
   left outside, they are compared with the whole list.
@@ -131,87 +131,72 @@ def _verified(pairs: DataFrame, shingle: int, percent: int) -> DataFrame:
 
 
 class _Links:
-    """Links found so far between classes."""
+    """Components of the links found so far, as (node, label)."""
 
     def __init__(self, shelf: Shelf, nodes: DataFrame, bodies: DataFrame, shingle: int, percent: int, margin: float):
         self.shelf, self.nodes, self.bodies = shelf, nodes, bodies
         self.shingle, self.percent, self.least = shingle, percent, percent / 100 - margin
-        self.seen: DataFrame | None = None
         self.labels: DataFrame | None = None
 
     def check(self, pairs: DataFrame) -> None:
-        """Verify the candidate pairs (a, b) not seen before, and renew the labels."""
+        """Verify the candidate pairs (a, b) and renew the labels."""
         pairs = pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        if self.seen is not None:
-            pairs = pairs.join(self.seen, ["a", "b"], "left_anti")
-        fresh = self.shelf.put(pairs)
-        self.seen = fresh if self.seen is None else self.seen.union(fresh)
         side = lambda x: self.nodes.select(F.col("node").alias(x), F.col("size").alias(f"n{x}"), F.col("sketch").alias(f"s{x}"))
-        near = f"100 * na >= {self.percent} * nb and 100 * nb >= {self.percent} * na"
-        if fresh.isEmpty():
-            return
-        likely = _estimated(fresh.join(side("a"), "a").join(side("b"), "b").where(near).select("a", "b", "sa", "sb"), self.least)
         body = lambda x: self.bodies.select(F.col("node").alias(x), F.col("body").alias(f"t{x}"))
-        found = likely.join(body("a"), "a").join(body("b"), "b").select("a", "b", "ta", "tb")
+        near = f"100 * na >= {self.percent} * nb and 100 * nb >= {self.percent} * na"
+        likely = _estimated(pairs.join(side("a"), "a").join(side("b"), "b").where(near).select("a", "b", "sa", "sb"), self.least)
+        found = likely.join(body("b"), "b").join(body("a"), "a").select("a", "b", "ta", "tb")
         found = self.shelf.put(_verified(found, self.shingle, self.percent))
         if found.isEmpty():
             return
         # Labels stand for the links before them, so only they and the new links are connected again.
         edges = found if self.labels is None else found.union(self.labels.select("node", "label"))
-        self.labels = self.shelf.put(components(edges, self.shelf))
-
-    def along(self, entries: DataFrame, few: int, whole: bool) -> DataFrame:
-        """Compare along the lists of ``entries`` (value, node, copies); the values of the lists that stay open.
-
-        Rounds: one pivot; lists with ``few`` members outside their largest component directly, the others with about
-        four of it; once more what is ``few`` now. With ``whole``, pivots go on from all members, four times as many
-        each round, until no list is open.
-        """
-        done = 0
-        while True:
-            own = entries.withColumn("label", F.col("node"))
-            if self.labels is not None:
-                own = entries.join(self.labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-            by_label = own.groupBy("value", "label").agg(
-                F.count(F.lit(1)).alias("c"),
-                F.min(F.struct((-F.col("copies")).alias("k"), F.xxhash64("node").alias("h"), "node")).alias("best"),
-            )
-            lists = (
-                by_label.groupBy("value")
-                .agg(F.sum("c").alias("n"), F.max(F.struct("c", (-F.col("best.k")).alias("k"), "label", "best")).alias("top"))
-                .select("value", "n", F.col("top.c").alias("c"), F.col("top.label").alias("main"), F.col("top.best.node").alias("pivot"))
-                .where("n > c")
-            )
-            lists = self.shelf.put(lists)
-            if lists.isEmpty():
-                return lists.select("value")
-            own = own.join(lists, "value").withColumn("direct", F.col("n") - F.col("c") <= (few if done else 1))
-            outside = own.where("label <> main").select("value", F.col("node").alias("a"), F.col("label").alias("la"), "pivot", "direct")
-            members = own.select("value", F.col("node").alias("b"), F.col("label").alias("lb"), "n", "main", "direct")
-            pairs = outside.where("direct").select("value", "a", "la").join(members.where("direct"), "value").where("la <> lb").select("a", "b")
-            pivots = 4**done
-            if done == 0:
-                star = outside.where("not direct").select("a", F.col("pivot").alias("b"))
-            elif whole or done == 1:
-                # About this many by chance; every member once the number reaches the list's length.
-                chosen = members.where(F.expr(f"not direct and pmod(xxhash64(b, {done}), n) < {pivots}"))
-                chosen = chosen if whole else chosen.where("lb = main")
-                star = own.where("not direct").select("value", F.col("node").alias("a"), F.col("label").alias("la"))
-                star = star.join(chosen, "value").where("la <> lb").select("a", "b")
-            else:
-                star = None
-            self.check(pairs if star is None else star.union(pairs))
-            closed = own.where(f"direct or n <= {pivots}" if whole and done else "direct").select("value").distinct()
-            done += 1
-            if done == 3 and not whole:
-                return lists.join(closed, "value", "left_anti").select("value")
-            entries = self.shelf.put(entries.join(closed, "value", "left_anti"))
-
-
-def _listed(entries: DataFrame) -> DataFrame:
-    """Entries of lists with two members or more."""
-    many = entries.groupBy("value").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("value")
-    return entries.join(many, "value")
+        self.labels = components(edges, self.shelf)
+
+    def open_lists(self, entries: DataFrame, few: int) -> DataFrame:
+        """The entries (value, node) of lists with two labels or more: with label, length n, members outside the largest
+        label, that label (main), and whether these are ``few``."""
+        own = entries.select("value", "node").withColumn("label", F.col("node"))
+        if self.labels is not None:
+            own = entries.select("value", "node").join(self.labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        lists = (
+            own.groupBy("value", "label")
+            .agg(F.count(F.lit(1)).alias("c"))
+            .groupBy("value")
+            .agg(F.sum("c").alias("n"), F.max(F.struct("c", "label")).alias("top"))
+            .where("n > top.c")
+            .select("value", "n", (F.col("n") - F.col("top.c")).alias("outside"), F.col("top.label").alias("main"))
+        )
+        return self.shelf.put(own.join(lists, "value").withColumn("direct", F.col("outside") <= few))
+
+    def meet(self, own: DataFrame, pivots: int, turn: int, whole: bool = False) -> None:
+        """Compare the members outside the largest label: with the whole list where they are few, else with about ``pivots``
+        members of that label; with ``whole``, all members with about ``pivots`` of any label."""
+        chosen = f"pmod(xxhash64(node, {turn}), n) < {pivots}" + ("" if whole else " and label = main")
+        left = own.where("label <> main" + (" or not direct" if whole else "")).select("value", F.col("node").alias("a"), F.col("label").alias("la"))
+        right = own.where(f"direct or ({chosen})").select("value", F.col("node").alias("b"), F.col("label").alias("lb"))
+        self.check(left.join(right, "value").where("la <> lb").select("a", "b"))
+
+    def along(self, entries: DataFrame, few: int) -> DataFrame:
+        """Two rounds along the lists; the entries of those that stay open."""
+        own = self.open_lists(entries, few)
+        if own.isEmpty():
+            return own
+        self.meet(own, 4, 1)
+        left = self.open_lists(own.where("not direct"), few)
+        if not left.where("direct").isEmpty():
+            self.meet(left.where("direct"), 0, 2)
+        return left.where("not direct")
+
+    def along_whole(self, entries: DataFrame, few: int) -> None:
+        """Rounds until no list is open: pivots from all members, four times as many each round."""
+        pivots, turn = 16, 3
+        own = self.open_lists(entries, few)
+        while not own.isEmpty():
+            self.meet(own, pivots, turn, True)
+            # A list compared with all its members is done.
+            own = self.open_lists(own.where(f"not direct and n > {pivots}"), few)
+            pivots, turn = pivots * 4, turn + 1
 
 
 def near_duplicates(
@@ -239,27 +224,33 @@ def near_duplicates(
         .agg(F.min("doc_id").alias("lead"), F.count(F.lit(1)).alias("copies"), F.first("size").alias("size"), F.first("sketch").alias("sketch"))
         .withColumn("node", F.coalesce("lead", "one"))
     )
-    entries = shelf.put(_listed(nodes.select(F.explode(F.slice("sketch", 1, index)).alias("value"), "node", "copies")))
+    entries = nodes.select(F.explode(F.slice("sketch", 1, index)).alias("value"), "node", "copies")
+    rank = F.struct((-F.col("copies")).alias("k"), F.xxhash64("node").alias("h"), "node")
+    lists = entries.groupBy("value").agg(F.count(F.lit(1)).alias("n"), F.min(rank).alias("best")).where("n > 1")
+    entries = shelf.put(entries.join(lists.select("value", "n", F.col("best.node").alias("pivot")), "value").drop("copies"))
     wanted = nodes.join(entries.select("node").distinct(), "node", "left_semi").select("node", "one", "two", F.col("lead").alias("doc_id"))
     texts = packed(docs)
     same = texts["doc_id"].eqNullSafe(wanted["doc_id"]) & (texts["one"] == wanted["one"]) & (texts["two"] == wanted["two"])
     bodies = shelf.put(texts.join(wanted.hint("shuffle_hash"), same).select("node", "body").groupBy("node").agg(F.first("body").alias("body")))
 
     links = _Links(shelf, nodes, bodies, shingle, percent, margin)
-    hot = shelf.put(links.along(entries, few, False))
-    if not hot.isEmpty():
-        held = entries.join(hot, "value", "left_semi").select("node").distinct()
-        held = shelf.put(nodes.join(held, "node", "left_semi").select(F.explode("sketch").alias("value"), "node", "copies", F.size("sketch").alias("k")))
-        again = shelf.put(links.along(shelf.put(_listed(held.drop("k").join(hot, "value", "left_anti"))), few, False))
+    links.check(entries.select(F.col("node").alias("a"), F.col("pivot").alias("b")))
+    left = links.along(entries.where("n > 2"), few)
+    if not left.isEmpty():
+        hot = left.select("value").distinct()
+        held = left.select("node").distinct()
+        held = shelf.put(nodes.join(held, "node", "left_semi").select(F.explode("sketch").alias("value"), "node", F.size("sketch").alias("k")))
+        again = links.along(held.join(hot, "value", "left_anti"), few)
         # Classes with half their sketch in open lists; the others share a value of a closed list with every partner.
-        of_hot = held.join(hot.union(again), "value", "left_semi")
+        hot = hot.union(again.select("value")).distinct()
+        of_hot = held.join(hot, "value", "left_semi")
         mostly = of_hot.groupBy("node").agg(F.count(F.lit(1)).alias("c"), F.first("k").alias("k")).where("2 * c >= k")
-        links.along(shelf.put(_listed(of_hot.drop("k").join(mostly.select("node"), "node", "left_semi"))), few, True)
+        links.along_whole(of_hot.join(mostly.select("node"), "node", "left_semi"), few)
 
     label = F.coalesce("label", "node")
     names = nodes.select("one", "two", "node", "lead").join(links.labels, "node", "left").withColumn("label", label) if links.labels is not None else nodes.withColumn("label", F.col("node"))
     least = names.groupBy("label").agg(F.min("lead").alias("component_id"))
-    names = shelf.put(names.join(least, "label").select("one", "two", "component_id"))
+    names = names.join(least, "label").select("one", "two", "component_id")
     out = own.select("doc_id", "size", F.when(F.col("size") > 0, F.col("one")).alias("one"), "two").join(names, ["one", "two"], "left")
     component = F.when(F.col("size") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     return out.select(
