@@ -5,8 +5,8 @@ Window.partitionBy(zone) alone does not scale. Here a series is cut into chunks
 about ``gridweave.rowsPerChunk`` rows:
 
 1. a histogram counts the rows per series and time bucket (map-side combined, two
-   columns read) and is stored; buckets above the limit are split again by range,
-   first on the order column, then on the tie column;
+   columns read) and is stored; buckets above the limit are split again by range, on
+   the first order column that still differs in them;
 2. running sums over the histogram give each bucket its first row position and its
    chunk; buckets whose rows lie within ``back`` rows before (``ahead`` rows after) a
    chunk are also copied into it as halo, so a frame of that many rows is complete;
@@ -28,23 +28,31 @@ from pyspark.sql import types as T
 from gridweave.session import setting, stored
 
 ROWS_PER_CHUNK = 1_000_000
-MAX_SPLIT_ROUNDS = 24
 # Shares at which a bucket above the limit is cut.
 CUTS = [i / 64 for i in range(1, 64)]
 
 FIRST = Window.unboundedPreceding
 
 
-def order_number(df: DataFrame, name: str) -> Column:
-    """The order column as a double that sorts the same way."""
-    kind = df.schema[name].dataType
+def order_levels(df: DataFrame, name: str) -> list[Column]:
+    """The order column as doubles that, compared one after the other, never contradict its order.
+
+    Strings are taken six bytes at a time, long integers by their halves. Values that no level tells apart (strings
+    equal in their first 24 bytes, decimals equal as doubles) stay in one bucket, where the column itself orders them.
+    """
+    kind, col = df.schema[name].dataType, F.col(name)
+    if isinstance(kind, T.StringType):
+        digits = F.rpad(F.hex(F.substring(col.cast("binary"), 1, 24)), 48, "0")
+        return [F.conv(F.substring(digits, at, 12), 16, 10).cast("double") for at in (1, 13, 25, 37)]
+    if isinstance(kind, T.LongType):
+        return [F.shiftright(col, 32).cast("double"), col.bitwiseAND(F.lit(0xFFFFFFFF)).cast("double")]
     if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
-        return F.unix_micros(F.col(name).cast("timestamp")).cast("double")
+        return [F.unix_micros(col.cast("timestamp")).cast("double")]
     if isinstance(kind, T.DateType):
-        return F.unix_date(name).cast("double")
-    if isinstance(kind, T.StringType):  # hex digests
-        return F.conv(F.substring(name, 1, 12), 16, 10).cast("double")
-    return F.col(name).cast("double")
+        return [F.unix_date(name).cast("double")]
+    if isinstance(kind, (T.NumericType, T.BooleanType)):
+        return [col.cast("double")]
+    raise TypeError(f"cannot order a series by {name}: {kind.simpleString()}")
 
 
 def join_keys(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
@@ -66,13 +74,13 @@ class Histogram:
     series_max: int
 
 
-def _count(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+def _count(rows: DataFrame, keys: Sequence[str], levels: int) -> DataFrame:
+    at = range(levels)
     return rows.groupBy(*keys, "_b").agg(
         F.count(F.lit(1)).alias("_cnt"),
-        F.min("_k").alias("_k0"),
-        F.max("_k").alias("_k1"),
-        F.min("_t").alias("_t0"),
-        F.max("_t").alias("_t1"),
+        *[F.min(F.col("_lv")[i]).alias(f"_lo{i}") for i in at],
+        *[F.max(F.col("_lv")[i]).alias(f"_hi{i}") for i in at],
+        F.count_if(F.col("_lv")[0].isNull()).alias("_nulls"),
     )
 
 
@@ -86,15 +94,17 @@ def histogram(
     """Count rows per bucket; split buckets above the limit until none is left.
 
     ``bucket`` must rise with the first order column; without it a series starts as one
-    bucket. A bucket in which all order values are equal cannot be split.
+    bucket. A bucket is split by the first level of its order columns that differs in it;
+    one in which all order values are equal cannot be split.
     """
-    first = order_number(df, order[0])
-    tie = order_number(df, order[1]) if len(order) > 1 else F.lit(0.0)
+    levels = [level for name in order for level in order_levels(df, name)]
     start = bucket.cast("bigint") if bucket is not None else F.lit(0).cast("bigint")
-    rows = df.withColumns({"_k": first, "_t": tie, "_b": F.array(start)})
-    table = stored(_count(rows, keys))
-    wide = (F.col("_cnt") > limit) & ((F.col("_k0") < F.col("_k1")) | (F.col("_t0") < F.col("_t1")))
-    for _ in range(MAX_SPLIT_ROUNDS):
+    rows = df.withColumns({"_lv": F.array(*levels), "_b": F.array(start)})
+    table = stored(_count(rows, keys, len(levels)))
+    at = F.coalesce(*[F.when(F.col(f"_lo{i}") < F.col(f"_hi{i}"), F.lit(i)) for i in range(len(levels))])
+    wide = (F.col("_cnt") > limit) & at.isNotNull()
+    while True:
+        # Every round cuts each wide bucket: the cuts are values of it, and not all of its values are equal.
         sizes = table.groupBy(*keys).agg(F.sum("_cnt").alias("n"), F.max(wide).alias("hot"))
         top, any_hot = sizes.agg(F.max("n"), F.max("hot")).first()
         if not any_hot:
@@ -102,12 +112,12 @@ def histogram(
         hot = table.where(wide).select(
             *[F.col(k).alias(f"_r_{k}") for k in keys],
             F.col("_b").alias("_hb"),
-            (F.col("_k0") < F.col("_k1")).alias("_by_order"),
+            at.alias("_at"),
         )
         here = (F.col("_b") == F.col("_hb")) & _null_safe(keys)
-        value = F.when(F.col("_by_order"), F.col("_k")).otherwise(F.col("_t"))
+        value = F.get("_lv", F.col("_at"))
         # Approximate quantiles combine on the map side and fit any distribution.
-        cuts = rows.join(hot, here).groupBy(*[f"_r_{k}" for k in keys], "_hb", "_by_order")
+        cuts = rows.join(hot, here).groupBy(*[f"_r_{k}" for k in keys], "_hb", "_at")
         cuts = stored(cuts.agg(F.percentile_approx(value, CUTS, 1000).alias("_cuts")))
         # Values equal to a cut form their own piece, so one crowded value is set apart.
         below = F.size(F.filter("_cuts", lambda c: c < value))
@@ -122,7 +132,8 @@ def histogram(
             "left_semi",
         )
         calm = table.join(hot, here, "left_anti")
-        table = stored(calm.unionByName(_count(again, keys)))
+        table = stored(calm.unionByName(_count(again, keys, len(levels))))
+    table = table.withColumnsRenamed({"_lo0": "_k0", "_hi0": "_k1"})
     return Histogram(rows, table, tuple(keys), int(top or 0))
 
 
@@ -284,7 +295,10 @@ def series(
     plan = stored(
         plan.select(*keys, "_b", "_base", "_n", "_home", F.array_distinct(F.concat(*targets)).alias("_to"))
     )
-    rows = join_keys(hist.rows, plan, [*keys, "_b"]).drop("_k", "_t", "_b")
+    rows = join_keys(hist.rows, plan, [*keys, "_b"], "left").drop("_lv", "_b")
+    # The layout was counted in an earlier read; a row that it lacks means that the input has changed since.
+    lost = F.raise_error(F.lit("the rows of a series changed between two reads of its input"))
+    rows = rows.withColumn("_home", F.when(F.col("_home").isNull(), lost.cast("bigint")).otherwise(F.col("_home")))
     if back or ahead:
         rows = rows.withColumn("_chunk", F.explode("_to"))
         rows = rows.withColumn("_own", F.col("_chunk") == F.col("_home"))

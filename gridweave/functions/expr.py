@@ -53,4 +53,4 @@ def ms_to_kmh(x: Column) -> Column:
 
 def leading_number(text: Column) -> Column:
     """First token of a text such as '10 mph' as a number; null when it is none."""
-    return F.try_to_number(F.element_at(F.split(F.trim(text), r"\s+"), 1), F.lit("999999.99")).cast("double")
+    return F.element_at(F.split(F.trim(text), r"\s+"), 1).try_cast("double")

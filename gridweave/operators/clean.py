@@ -100,9 +100,14 @@ def clip_predictions(df: DataFrame, ranges: DataFrame, value: str = "prediction"
 
 
 def deduplicate(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """The last arrival of each key. Copies combine on the map side, so a hot key is no burden."""
+    """The last arrival of each key; equal arrivals are told apart by their other columns, so reruns agree.
+
+    Copies combine on the map side, so a hot key is no burden.
+    """
     rest = [c for c in df.columns if c not in keys]
-    best = F.max_by(F.struct(*rest), F.struct(*order)).alias("_best")
+    unordered = (T.MapType, T.VariantType)
+    tie = [c for c in rest if c not in order and not isinstance(df.schema[c].dataType, unordered)]
+    best = F.max_by(F.struct(*rest), F.struct(*order, *tie)).alias("_best")
     return df.groupBy(*keys).agg(best).select(*keys, "_best.*").select(*df.columns)
 
 

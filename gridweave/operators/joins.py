@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridweave.core.series import Series, series, with_position
+from gridweave.core.series import Series, join_keys, series, with_position
+from gridweave.operators.clean import deduplicate
 from gridweave.session import stored
 
 
@@ -129,10 +130,8 @@ def latest_lags(df: DataFrame, rows: Sequence[int] = (1, 24), ts: str = "timesta
 
 
 def latest_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """The last row of each key by map-side combined aggregation; nulls in keys are equal."""
-    rest = [c for c in df.columns if c not in keys]
-    best = F.max_by(F.struct(*rest), F.struct(*order)).alias("_best")
-    return df.groupBy(*keys).agg(best).select(*keys, "_best.*").select(*df.columns)
+    """The last row of each key; nulls in keys are equal."""
+    return deduplicate(df, keys, order)
 
 
 def composite_forecast(
@@ -183,12 +182,12 @@ def map_values(df: DataFrame, mapping: DataFrame, on: str, how: str = "left") ->
 
 
 def lag_by_time(df: DataFrame, value: str, hours: Sequence[int], keys: Sequence[str] = ("zone",), ts: str = "timestamp") -> DataFrame:
-    """Value exactly k hours earlier (null over gaps), unlike the row lag."""
-    for k in hours:
-        past = df.select(
-            *keys,
-            (F.col(ts) + F.make_dt_interval(hours=F.lit(k))).alias(ts),
-            F.col(value).alias(f"{value}_lag_{k}h"),
-        )
-        df = df.join(past, [*keys, ts], "left")
-    return df
+    """Value exactly k hours earlier (null over gaps), unlike the row lag; the largest where a time stands more than once.
+
+    The shifted rows of all lags are grouped by their time and joined once.
+    """
+    shift = F.explode(F.array(*[F.lit(k) for k in hours]))
+    past = df.select(*keys, F.col(ts).alias("_at"), F.col(value).alias("_v"), shift.alias("_k"))
+    past = past.withColumn(ts, F.col("_at") + F.make_dt_interval(hours=F.col("_k")))
+    lags = [F.max(F.when(F.col("_k") == k, F.col("_v"))).alias(f"{value}_lag_{k}h") for k in hours]
+    return join_keys(df, past.groupBy(*keys, ts).agg(*lags), [*keys, ts], "left")

@@ -95,7 +95,7 @@ def feature_penalties(df: DataFrame) -> DataFrame:
         if c in have:
             aggs += [F.min(c).alias(f"lo_{c}"), F.max(c).alias(f"hi_{c}")]
             rules.append((f"range_{c}", (F.col(f"lo_{c}") < lo) | (F.col(f"hi_{c}") > hi), p))
-    for c in [x for x in have if "forecast" in x][:3]:
+    for c in [x for x in have if "forecast" in x]:
         aggs.append(null_share(c).alias(f"f_{c}"))
         rules.append((f"coverage_{c}", F.col(f"f_{c}") > 90, 5))
     for c in [x for x in have if "lag" in x]:

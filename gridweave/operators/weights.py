@@ -125,7 +125,7 @@ def shuffled_split(df: DataFrame, key: Column, tie: str, test: float = 0.2, val:
 
 
 def weighted_sample(
-    df: DataFrame, key: Column, tie: str, cap: int = 50_000, weight: str = "sample_weight", seed: int = 42
+    df: DataFrame, key: Column, tie: str, cap: int, weight: str = "sample_weight", seed: int = 42
 ) -> DataFrame:
     """At most ``cap`` rows per zone drawn without replacement by weight: smallest -ln(u) / w."""
     df = df.withColumn("draw", -F.log(hash_share(key, seed)) / F.col(weight))

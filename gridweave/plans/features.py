@@ -13,6 +13,7 @@ from gridweave.functions import calendar as cal
 from gridweave.functions import weather as wx
 from gridweave.functions.expr import wave
 from gridweave.operators.aggregates import hourly_mean
+from gridweave.operators.clean import deduplicate
 from gridweave.operators.joins import lag_by_time, merge
 from gridweave.operators.windows import (
     extreme_weather_features,
@@ -99,13 +100,24 @@ def forecast_feature_names(config: ForecastConfig = ForecastConfig()) -> list[st
     return names + ["forecast_uncertainty_score", "weather_pattern_stability", "forecast_confidence"]
 
 
+def one_forecast(forecast: DataFrame) -> DataFrame:
+    """One row for each zone and time: the latest issue, and of one issue the nearest horizon."""
+    rank = []
+    if "forecast_issued" in forecast.columns:
+        rank.append("forecast_issued")
+    if "forecast_horizon_hours" in forecast.columns:
+        forecast = forecast.withColumn("_near", -F.col("forecast_horizon_hours"))
+        rank.append("_near")
+    return deduplicate(forecast, ["zone", "timestamp"], rank).drop("_near") if rank else forecast
+
+
 def merge_all(power: DataFrame, weather: DataFrame | None, forecast: DataFrame | None, config: UnifiedConfig) -> DataFrame:
     """Load left-joined with weather and with forecast features on time and zone."""
     df = power
     if weather is not None:
         df = merge(df, weather, ["timestamp", "zone"], "left", ("", "_weather"))
     if forecast is not None:
-        feats = forecast_features(forecast, config.forecast)
+        feats = forecast_features(one_forecast(forecast), config.forecast)
         cols = [c for c in forecast_feature_names(config.forecast) if c in feats.columns]
         df = merge(df, feats.select("timestamp", "zone", *cols), ["timestamp", "zone"], "left", ("", "_forecast"))
     return df

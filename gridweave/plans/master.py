@@ -20,10 +20,11 @@ def refresh_master(
     return deduplicate(both, keys, ["source_rank", "seq"]).drop("source_rank")
 
 
-def weighted_training_sets(df: DataFrame, zones: Sequence[str], tie: str, cap: int = 50_000, val: float = 0.2) -> DataFrame:
-    """Rows of the zones with step weights, sampled to the cap and split in time order."""
+def weighted_training_sets(df: DataFrame, zones: Sequence[str], tie: str, cap: int | None = None, val: float = 0.2) -> DataFrame:
+    """Rows of the zones with step weights, split in time order; all of them, or a weighted sample of ``cap`` a zone."""
     rows = step_weights(df.where(F.col("zone").isin(list(zones))).dropna(subset=["zone", "load"]))
-    rows = weighted_sample(rows, F.col(tie), tie, cap)
+    if cap is not None:
+        rows = weighted_sample(rows, F.col(tie), tie, cap)
     return split_by_time(rows, 1 - val, tie)
 
 

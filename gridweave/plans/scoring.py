@@ -14,7 +14,7 @@ from gridweave.operators.joins import expand_horizons, latest_lags, nearest_join
 from gridweave.operators.smoothing import recursive_smoothing
 from gridweave.operators.windows import downsample
 from gridweave.plans.forecast import improvement_pct
-from gridweave.plans.training import score_zones
+from gridweave.plans.training import score_zones, score_zones_by
 from gridweave.session import stored
 
 
@@ -34,9 +34,7 @@ def horizon_features(load: DataFrame, weather: DataFrame | None, horizons: Seque
 
 def direct_forecast(rows: DataFrame, models: dict[str, dict[str, PipelineModel]], levels: Sequence[float] = (0.68, 0.95)) -> DataFrame:
     """Each model's prediction per zone and horizon, improvement over the baseline and intervals."""
-    out = rows
-    for name, per_zone in models.items():
-        out = score_zones(out, per_zone, name)
+    out = score_zones_by(rows, models)
     main = F.coalesce(*[F.col(m) for m in ("enhanced", "baseline") if m in models])
     bands = F.create_map(
         *[x for l in levels for x in (F.lit(float(l)), F.struct((main - main * 0.10 * (l / 0.95)).alias("lo"), (main + main * 0.10 * (l / 0.95)).alias("hi")))]

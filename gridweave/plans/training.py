@@ -7,6 +7,7 @@ import random
 from collections.abc import Callable, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, replace
+from functools import reduce
 
 from pyspark import inheritable_thread_target
 from pyspark.ml import Estimator, Pipeline, PipelineModel
@@ -121,15 +122,30 @@ def fit_zones(df: DataFrame, make: Callable[[str], Pipeline], zones: Sequence[st
 
 
 def score_zones(df: DataFrame, models: dict[str, PipelineModel], name: str = "prediction") -> DataFrame:
-    """Rows of each zone scored by its own model."""
-    parts = []
-    for zone, model in models.items():
-        scored = model.transform(df.where(F.col("zone") == zone))
-        parts.append(scored.select(*df.columns, F.col("prediction").alias(name)))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    """Rows of each zone scored by its own model; rows of a zone without one, or of none, keep a null prediction."""
+    return score_zones_by(df, {name: models})
+
+
+def score_zones_by(df: DataFrame, models: dict[str, dict[str, PipelineModel]]) -> DataFrame:
+    """Rows scored by several models of their zone at once: {column: {zone: model}}.
+
+    A zone is one branch for all its models, so the number of scans is that of the zones, however many models there are.
+    """
+    zones = sorted({z for per_zone in models.values() for z in per_zone})
+    known = F.coalesce(F.col("zone").isin(zones), F.lit(False))
+    nothing = F.lit(None).cast("double")
+    parts = [df.where(~known).withColumns({name: nothing for name in models})]
+    for zone in zones:
+        own, kept = df.where(F.col("zone") == zone), list(df.columns)
+        for name, per_zone in models.items():
+            if zone in per_zone:
+                own = per_zone[zone].transform(own).withColumnRenamed("prediction", name)
+            else:
+                own = own.withColumn(name, nothing)
+            kept.append(name)
+            own = own.select(*kept)
+        parts.append(own)
+    return reduce(lambda a, b: a.unionByName(b), parts)
 
 
 def time_folds(df: DataFrame, folds: int, order: Sequence[str] = ("timestamp",)) -> DataFrame:

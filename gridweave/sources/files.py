@@ -102,13 +102,15 @@ def read_report_xml(spark: SparkSession, path: str) -> DataFrame:
     return report_rows(rows)
 
 
-def hourly_forecasts(docs: DataFrame, max_hours: int = 48) -> DataFrame:
-    """Nested forecast documents to rows; whole hours to the issue time, toward zero."""
+def hourly_forecasts(docs: DataFrame, max_hours: int | None = None) -> DataFrame:
+    """Nested forecast documents to rows; whole hours to the issue time, toward zero. All periods, or the first ``max_hours``."""
     rows = docs.select("zone", "issued", F.posexplode("properties.periods").alias("pos", "p"))
     p = F.col("p")
     seconds = F.unix_seconds(p["startTime"]) - F.unix_seconds("issued")
     wind = F.when(p["windSpeed"].contains("mph"), mph_to_kmh(leading_number(p["windSpeed"])))
-    return rows.where((F.col("pos") < max_hours) & p["temperature"].isNotNull() & p["startTime"].isNotNull()).select(
+    if max_hours is not None:
+        rows = rows.where(F.col("pos") < max_hours)
+    return rows.where(p["temperature"].isNotNull() & p["startTime"].isNotNull()).select(
         p["startTime"].alias("timestamp"),
         "zone",
         fahrenheit_to_celsius(p["temperature"]).alias("temp_c"),
@@ -120,7 +122,7 @@ def hourly_forecasts(docs: DataFrame, max_hours: int = 48) -> DataFrame:
     )
 
 
-def read_hourly_json(spark: SparkSession, path: str, max_hours: int = 48) -> DataFrame:
+def read_hourly_json(spark: SparkSession, path: str, max_hours: int | None = None) -> DataFrame:
     return hourly_forecasts(spark.read.schema(HOURLY_JSON).json(path), max_hours)
 
 
@@ -159,8 +161,9 @@ def write_by_zone(df: DataFrame, path: str, mode: str = "overwrite", partition:
 
 
 def write_snapshot(df: DataFrame, root: str, issued: str) -> None:
-    """Dated forecast snapshot; the latest state is a query over the snapshots."""
-    df.withColumn("issue_day", F.lit(issued)).write.mode("append").partitionBy("zone", "issue_day").parquet(root)
+    """Dated forecast snapshot; the latest state is a query over the snapshots. A repeated write replaces its own partitions."""
+    writer = df.withColumn("issue_day", F.lit(issued)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    writer.partitionBy("zone", "issue_day").parquet(root)
 
 
 def write_results(df: DataFrame, path: str, kind: str = "json") -> None:

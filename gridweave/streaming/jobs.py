@@ -8,6 +8,7 @@ over raw rows, so a hot zone spreads over all tasks.
 from __future__ import annotations
 
 import uuid
+from bisect import bisect_right
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
@@ -15,12 +16,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from gridweave.core.scalars import beside
 from gridweave.operators.clean import deduplicate
-from gridweave.session import shared_dir
+from gridweave.session import shared_dir, stored
 
 
-def run(stream: DataFrame, mode: str = "append", path: str | None = None) -> DataFrame:
-    """Write all available input to Parquet in the shared folder and read the result."""
+def run_counting(stream: DataFrame, mode: str = "append", path: str | None = None) -> tuple[DataFrame, int]:
+    """Write all available input to Parquet in the shared folder; the result, and how many rows a watermark rejected."""
     spark = stream.sparkSession
     path = path or f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
     job = (
@@ -32,18 +34,25 @@ def run(stream: DataFrame, mode: str = "append", path: str | None = None) -> Dat
         .start()
     )
     job.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(path)
+    rejected = sum(op["numRowsDroppedByWatermark"] for p in job.recentProgress for op in p["stateOperators"])
+    return spark.read.schema(stream.schema).parquet(path), rejected
+
 
+def run(stream: DataFrame, mode: str = "append", path: str | None = None) -> DataFrame:
+    """``run_counting`` without the count."""
+    return run_counting(stream, mode, path)[0]
 
-def upsert(batch: DataFrame, batch_id: int, root: str, keys: Sequence[str], order: Sequence[str]) -> None:
-    """Append one micro-batch to the log of a table; a repeated batch replaces its own folder only."""
-    deduplicate(batch, keys, order).write.mode("overwrite").parquet(f"{root}/batch_id={batch_id}")
 
+def _append(rows: DataFrame, batch_id: int, root: str, ts: str) -> None:
+    """Add a micro-batch to a log partitioned by day; a repeated batch replaces its own folders only."""
+    rows = rows.withColumns({"day": F.to_date(ts), "batch_id": F.lit(batch_id)})
+    writer = rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    writer.partitionBy("day", "batch_id").parquet(root)
 
-def upsert_stream(stream: DataFrame, root: str, keys: Sequence[str], order: Sequence[str], files_per_batch: int = 0) -> None:
-    """Merge arriving increments with last-arrival-wins and no lateness limit."""
+
+def _each_batch(stream: DataFrame, root: str, write) -> None:
     job = (
-        stream.writeStream.foreachBatch(lambda df, i: upsert(df, i, root, keys, order))
+        stream.writeStream.foreachBatch(write)
         .option("checkpointLocation", f"{root}-state")
         .trigger(availableNow=True)
         .start()
@@ -51,15 +60,69 @@ def upsert_stream(stream: DataFrame, root: str, keys: Sequence[str], order: Sequ
     job.awaitTermination()
 
 
-def current(spark: SparkSession, root: str, schema, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """Present state of the table: the last arrival of each key over the log."""
-    log = spark.read.schema(schema).parquet(root).drop("batch_id")
-    return deduplicate(log, keys, order)
+def upsert(batch: DataFrame, batch_id: int, root: str, keys: Sequence[str], order: Sequence[str], ts: str = "timestamp") -> None:
+    """Append one micro-batch to the log of a table."""
+    _append(deduplicate(batch, keys, order), batch_id, root, ts)
+
 
+def upsert_stream(stream: DataFrame, root: str, keys: Sequence[str], order: Sequence[str], ts: str = "timestamp") -> None:
+    """Merge arriving increments with last-arrival-wins and no lateness limit."""
+    _each_batch(stream, root, lambda df, i: upsert(df, i, root, keys, order, ts))
 
-def compact(spark: SparkSession, root: str, target: str, schema, keys: Sequence[str], order: Sequence[str]) -> None:
-    """Write the present state as the first batch of a new log; readers switch to it when it is complete."""
-    current(spark, root, schema, keys, order).write.mode("overwrite").parquet(f"{target}/batch_id=-1")
+
+def current(spark: SparkSession, root: str, schema, keys: Sequence[str], order: Sequence[str], days: Sequence | None = None) -> DataFrame:
+    """Present state of the table: the last arrival of each key over the log, or over some of its days."""
+    log = spark.read.parquet(root)
+    if days is not None:
+        log = log.where(F.col("day").isin(list(days)))
+    return deduplicate(log.select(*schema.fieldNames()), keys, order)
+
+
+def compact(spark: SparkSession, root: str, schema, keys: Sequence[str], order: Sequence[str], ts: str = "timestamp") -> None:
+    """Rewrite the days that several batches touched as one batch each; other days are not read.
+
+    The state of a day replaces its latest batch before the older ones go. A reader in between finds rows twice, which
+    ``current`` joins anyway.
+    """
+    folders = spark.read.parquet(root).select("day", "batch_id").distinct().collect()  # names of folders
+    latest: dict = {}
+    for r in folders:
+        latest[r["day"]] = max(r["batch_id"], latest.get(r["day"], r["batch_id"]))
+    old = [(r["day"], r["batch_id"]) for r in folders if r["batch_id"] < latest[r["day"]]]
+    touched = {day for day, _ in old}
+    if not touched:
+        return
+    state = stored(current(spark, root, schema, keys, order, sorted(touched)))
+    for batch_id in sorted({latest[d] for d in touched}):
+        _append(state.where(F.to_date(ts).isin([d for d in touched if latest[d] == batch_id])), batch_id, root, ts)
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    for day, batch_id in old:
+        folder = jvm.org.apache.hadoop.fs.Path(f"{root}/day={day}/batch_id={batch_id}")
+        folder.getFileSystem(conf).delete(folder, True)
+
+
+def upsert_sums(stream: DataFrame, root: str) -> None:
+    """Keep partial sums by (zone, hour) of each micro-batch in a log: means without a lateness limit, in any file order."""
+    hour = F.date_trunc("hour", "timestamp").alias("timestamp")
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        _append(batch.groupBy("zone", hour).agg(F.sum("load").alias("total"), F.count("load").alias("n")), batch_id, root, "timestamp")
+
+    _each_batch(stream, root, write)
+
+
+def merged_means(spark: SparkSession, root: str) -> DataFrame:
+    """Hourly mean load per zone over the log of partial sums."""
+    sums = spark.read.parquet(root).groupBy("zone", "timestamp").agg(F.sum("total").alias("total"), F.sum("n").alias("n"))
+    return sums.select("timestamp", "zone", (F.col("total") / F.col("n")).alias("load"))
+
+
+def merged_sliding_means(spark: SparkSession, root: str, hours: int = 24) -> DataFrame:
+    """Mean of the ``hours`` hours before each full hour, over the log of partial sums; readings, not hours, weigh the same."""
+    sums = spark.read.parquet(root).groupBy("zone", "timestamp").agg(F.sum("total").alias("total"), F.sum("n").alias("n"))
+    ends = sums.withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(hours))))
+    ends = ends.withColumn("window_end", F.col("timestamp") + F.make_dt_interval(hours=F.col("k")))
+    return ends.groupBy("window_end", "zone").agg((F.sum("total") / F.sum("n")).alias("load"))
 
 
 def dedupe_within(stream: DataFrame, keys: Sequence[str] = ("timestamp", "zone"), delay: str = "2 hours") -> DataFrame:
@@ -90,54 +153,66 @@ def sliding_mean(stream: DataFrame, width: str = "24 hours", step: str = "1 hour
     return out.select(F.col("w.end").alias("window_end"), "zone", (F.col("total") / F.col("n")).alias("load"))
 
 
-STATE = "loads array<double>, last_us bigint, gaps bigint, largest_us bigint"
+STATE = "hours array<bigint>, loads array<double>, starts array<bigint>, ends array<bigint>, seen bigint"
 TREND = (
     "zone string, timestamp timestamp, load double, trend_change_pct double, trend_direction string, "
-    "gap_count bigint, largest_gap_hours double, freshness string"
+    "gap_count bigint, largest_gap_hours double, hours_seen bigint"
 )
+HOUR = 3_600_000_000
 
 
 def _trend(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Last eight hourly loads, gaps above one step and age of the latest hour of one zone."""
-    if state.hasTimedOut:
-        loads, last, gaps, largest = state.get
-        state.remove()
-        yield _trend_row(key[0], loads, last, gaps, largest, "stale")
-        return
-    loads, last, gaps, largest = state.get if state.exists else ([], None, 0, 0)
-    loads = list(loads)
-    hours = pd.concat(list(frames)).sort_values("timestamp")
-    for ts, load in zip(hours["timestamp"], hours["load"]):
-        at = int(ts.value // 1000)
-        if last is not None and at <= last:
-            continue
-        if last is not None and at - last > 3_600_000_000:
-            gaps, largest = gaps + 1, max(largest, at - last)
-        last, loads = at, (loads + [load])[-8:]
-    state.update((loads, last, gaps, largest))
-    state.setTimeoutTimestamp(max(last // 1000 + 6 * 3_600_000, state.getCurrentWatermarkMs() + 1))
-    yield _trend_row(key[0], loads, last, gaps, largest, "fresh")
-
-
-def _trend_row(zone: str, loads: list, last: int, gaps: int, largest: int, freshness: str) -> pd.DataFrame:
+    """Latest eight hourly loads of one zone, and the runs of hours without a gap; hours may come in any order."""
+    hours, loads, starts, ends, seen = [list(x) if not isinstance(x, int) else x for x in state.get] if state.exists else ([], [], [], [], 0)
+    for frame in frames:
+        for ts, load in zip(frame["timestamp"], frame["load"]):
+            at = int(ts.value // 1000)
+            i = bisect_right(starts, at)
+            if i and at <= ends[i - 1]:
+                continue  # a known hour
+            seen += 1
+            joins_before, joins_after = i > 0 and at - ends[i - 1] <= HOUR, i < len(starts) and starts[i] - at <= HOUR
+            if joins_before and joins_after:
+                ends[i - 1 : i + 1] = [ends[i]]
+                del starts[i]
+            elif joins_before:
+                ends[i - 1] = at
+            elif joins_after:
+                starts[i] = at
+            else:
+                starts.insert(i, at)
+                ends.insert(i, at)
+            j = bisect_right(hours, at)
+            hours.insert(j, at)
+            loads.insert(j, load)
+            del hours[:-8], loads[:-8]
+    state.update((hours, loads, starts, ends, seen))
     change = 0.0
     if len(loads) >= 8:
         now, before = sum(loads[-4:]) / 4, sum(loads[-8:-4]) / 4
         change = (now - before) / before * 100 if before else 0.0
     way = "stable" if abs(change) < 0.5 else ("rising" if change > 0 else "falling")
-    row = (zone, pd.Timestamp(last, unit="us"), loads[-1], change, way, gaps, largest / 3.6e9, freshness)
-    return pd.DataFrame([row], columns=[c.split()[0] for c in TREND.split(", ")])
+    gaps = [b - a for a, b in zip(ends, starts[1:])]
+    row = (key[0], pd.Timestamp(hours[-1], unit="us"), loads[-1], change, way, len(gaps), max(gaps, default=0) / HOUR, seen)
+    yield pd.DataFrame([row], columns=[c.split()[0] for c in TREND.split(", ")])
 
 
-def zone_trends(hours: DataFrame, delay: str = "2 hours") -> DataFrame:
-    """Per-zone trend, gap and freshness state over the stream of hourly means.
+def zone_trends(hours: DataFrame) -> DataFrame:
+    """Per-zone trend and gap state over the stream of hourly means, a row for each zone of a micro-batch.
 
-    Feed it the table that ``tumbling_mean`` fills: a zone then brings one row per hour,
-    however many readings it has. A zone silent for six hours is reported stale.
+    Feed it the table of ``merged_means``: a zone then brings one row per hour, however many readings it has. The
+    state holds eight hours and one pair of times for each gap.
     """
-    return hours.withWatermark("timestamp", delay).groupBy("zone").applyInPandasWithState(
-        _trend, TREND, STATE, "append", GroupStateTimeout.EventTimeTimeout
-    )
+    return hours.groupBy("zone").applyInPandasWithState(_trend, TREND, STATE, "append", GroupStateTimeout.NoTimeout)
+
+
+def latest_trends(trends: DataFrame, stale_hours: int = 6) -> DataFrame:
+    """The last state of each zone; a zone that ends this long before the newest hour of any zone is stale."""
+    last = deduplicate(trends, ["zone"], ["hours_seen"]).drop("hours_seen")
+    newest = last.agg(F.max("timestamp").alias("newest"))
+    behind = F.unix_micros("newest") - F.unix_micros("timestamp")
+    out = beside(last, newest).withColumn("freshness", F.when(behind > stale_hours * HOUR, "stale").otherwise("fresh"))
+    return out.drop("newest")
 
 
 def enrich(stream: DataFrame, forecast: DataFrame) -> DataFrame:

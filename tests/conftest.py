@@ -10,7 +10,7 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 def spark():
     from gridweave.session import session
 
-    return session("tests", "8")
+    return session("tests", os.environ.get("TEST_CPUS", "8"))
 
 
 @pytest.fixture

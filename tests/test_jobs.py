@@ -1,11 +1,14 @@
 """Sources, streams and training on small inputs."""
 
-import datetime as dt
+import os
+import subprocess
+import sys
 
 import pytest
 from pyspark.sql import functions as F
 
 from gridweave.functions.calendar import calendar_parts
+from gridweave.operators import joins
 from gridweave.plans import scoring as sc
 from gridweave.plans import training as tr
 from gridweave.session import shared_dir, stored
@@ -76,28 +79,69 @@ def test_upsert_retry_is_harmless(spark, tmp_path):
         st.upsert(late, 1, root, keys, order)
     got = st.current(spark, root, first.schema, keys, order)
     assert got.count() == 5 and got.where("load = -1").count() == 2
-    st.compact(spark, root, str(tmp_path / "c"), first.schema, keys, order)
-    assert sorted(st.current(spark, str(tmp_path / "c"), first.schema, keys, order).collect()) == sorted(got.collect())
+    want = sorted(got.collect())
+    st.compact(spark, root, first.schema, keys, order)
+    assert sorted(st.current(spark, root, first.schema, keys, order).collect()) == want
+    assert [f.name for f in sorted((tmp_path / "t").glob("day=*/batch_id=*"))] == ["batch_id=1"]
 
 
-def test_stream_in_steps_equals_one_batch(spark, tmp_path):
+def shuffled_feed(spark, df, path, files=6):
+    """A stream of one file for each trigger, in no order of time."""
+    df.repartition(files, F.xxhash64(*df.columns)).write.parquet(path)
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+def test_hourly_means_in_any_file_order(spark, tmp_path):
     df = hours(spark, 200).withColumn("timestamp", F.col("timestamp") + F.make_dt_interval(mins=(F.col("load") % 50)))
-    df.orderBy("timestamp").coalesce(1).write.option("maxRecordsPerFile", 40).parquet(str(tmp_path / "in"))
-    read = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1)
-    got = st.run(st.tumbling_mean(read.parquet(str(tmp_path / "in")), "3 hours"))
+    root = str(tmp_path / "sums")
+    st.upsert_sums(shuffled_feed(spark, df, str(tmp_path / "in")), root)
     want = df.groupBy(F.date_trunc("hour", "timestamp").alias("timestamp"), "zone").agg(F.avg("load").alias("load"))
-    last = df.agg(F.max("timestamp")).first()[0] - dt.timedelta(hours=3)
-    want = want.where(F.col("timestamp") + F.expr("interval 1 hour") <= F.lit(last))
-    assert sorted(got.collect()) == sorted(want.collect()) and got.count() > 150
+    got = st.merged_means(spark, root)
+    assert sorted(got.collect()) == sorted(want.collect())
+    day = st.merged_sliding_means(spark, root).orderBy("window_end").collect()
+    assert len(day) == 223 and day[23]["load"] == pytest.approx(df.limit(24).agg(F.avg("load")).first()[0])
 
 
-def test_quiet_zone_turns_stale(spark, tmp_path):
-    a, b = hours(spark, 3, zone="QUIET"), hours(spark, 30, zone="LOUD")
-    for i, part in enumerate((a.unionByName(b.limit(3)), b, b.withColumn("timestamp", F.col("timestamp") + F.expr("interval 30 hours")))):
+def test_watermark_counts_what_it_rejects(spark, tmp_path):
+    df = hours(spark, 400)
+    for i, part in enumerate((df.where("load >= 1300"), df.where("load < 1300 and load >= 1200"), df.where("load < 1200"))):
         part.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    read = spark.readStream.schema(a.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    got = st.run(st.zone_trends(read)).where("zone = 'QUIET'")
-    assert {r["freshness"] for r in got.collect()} == {"fresh", "stale"}
+    read = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    kept, rejected = st.run_counting(st.dedupe_within(read))
+    assert rejected > 0 and kept.count() + rejected == 400
+
+
+def test_zone_trends_take_hours_in_any_order(spark, tmp_path):
+    a, b = hours(spark, 40, zone="QUIET").where("hour(timestamp) <> 5"), hours(spark, 90, zone="LOUD")
+    read = shuffled_feed(spark, a.unionByName(b), str(tmp_path / "in"))
+    got = {r["zone"]: r for r in st.latest_trends(st.run(st.zone_trends(read))).collect()}
+    assert got["QUIET"]["freshness"] == "stale" and got["LOUD"]["freshness"] == "fresh"
+    assert (got["QUIET"]["gap_count"], got["QUIET"]["largest_gap_hours"]) == (2, 2.0) and got["LOUD"]["gap_count"] == 0
+    assert got["LOUD"]["timestamp"] == b.agg(F.max("timestamp")).first()[0]
+
+
+def test_lags_by_time_scan_once(spark):
+    df = hours(spark, 30)
+    scans = lambda d: d._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") + d._jdf.queryExecution().optimizedPlan().toString().count("Range (")
+    one, six = (joins.lag_by_time(df, "load", range(1, k + 1)) for k in (1, 6))
+    assert scans(one) == scans(six)
+    twice = joins.lag_by_time(df.unionByName(df), "load", (1, 2))
+    assert twice.count() == 60 and six.where("load_lag_6h is not null").count() == 24
+
+
+def test_functions_reach_workers_from_any_folder(tmp_path):
+    code = """
+import sys
+sys.path.insert(0, sys.argv[1])
+from gridweave.session import session
+import __spark_entry__ as e
+spark = session("elsewhere", "2")
+print("rows", e.queries()["udf02_recursive_smoothing"](spark, "/root/testdata/sf0.001").count())
+"""
+    repo = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    out = subprocess.run([sys.executable, "-c", code, repo], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
+    assert out.stdout.startswith("rows "), out.stderr[-2000:]
 
 
 @pytest.fixture(scope="module")

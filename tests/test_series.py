@@ -123,3 +123,27 @@ def test_result_does_not_depend_on_partitioning(small_chunks):
     a = over_series(df.repartition(1), build, order=ORDER, back=5)
     b = over_series(df.repartition(13, "seq"), build, order=ORDER, back=5)
     assert rows(a) == rows(b)
+
+
+@pytest.mark.parametrize("kind", ["string", "bigint", "decimal", "third"])
+def test_order_columns_of_every_type(small_chunks, kind):
+    """Many rows at one time, told apart by texts, large integers, decimals or a third column only."""
+    small_chunks.conf.set("gridweave.rowsPerChunk", "20")
+    df = small_chunks.range(300).select(F.lit("A").alias("zone"), F.lit(dt.datetime(2024, 1, 1)).alias("timestamp"), F.xxhash64("id").alias("h"), "id")
+    tie = {
+        "string": F.when(F.col("id") % 3 == 0, F.col("id").cast("string")).when(F.col("id") % 3 == 1, F.concat(F.lit("same long prefix "), "id")).otherwise(F.concat(F.lit("a\u00e9"), F.col("id") * 7)),
+        "bigint": F.lit(2**53) * F.lit(512) + F.col("id") - 150,
+        "decimal": (F.col("id") / 7 - 20).cast("decimal(20,6)"),
+        "third": F.col("id") % 2,
+    }[kind]
+    df = df.withColumn("tie", tie)
+    order = ("timestamp", "tie", "h") if kind == "third" else ("timestamp", "tie")
+    got = {r["id"]: r["prev"] for r in over_series(df, lambda s: {"prev": s.lag("id")}, order=order, back=1).collect()}
+    plain = Window.partitionBy("zone").orderBy(*order)
+    assert got == {r["id"]: r["prev"] for r in df.withColumn("prev", F.lag("id").over(plain)).collect()}
+
+
+def test_order_column_without_a_number_is_refused(spark):
+    df = spark.range(3).select(F.lit("A").alias("zone"), F.array("id").alias("timestamp"))
+    with pytest.raises(TypeError):
+        series(df)

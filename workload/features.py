@@ -541,7 +541,7 @@ _FEAT = [c for c in pf.forecast_feature_names() if "incoming" not in c]
 
 @query(
     "pip03_unified_features",
-    f"""WITH one AS (SELECT * FROM forecast_hourly WHERE forecast_horizon_hours = 6),
+    f"""WITH one AS (SELECT * FROM forecast_hourly QUALIFY row_number() OVER (PARTITION BY zone, "timestamp" ORDER BY forecast_issued DESC, forecast_horizon_hours) = 1),
         base AS (SELECT *, avg(temp_c) OVER w24 AS pt, avg(humidity) OVER ({Z} {rows(11)}) AS ph,
                  avg(wind_speed_kmh) OVER ({Z} {rows(5)}) AS pw FROM one WINDOW w24 AS ({Z} {rows(23)})),
         prox AS (SELECT *, """
@@ -574,8 +574,7 @@ _FEAT = [c for c in pf.forecast_feature_names() if "incoming" not in c]
 )
 def _(v):
     weather = v.weather_hourly.withColumnRenamed("wind_speed", "wind_speed_kmh")
-    forecast = v.forecast_hourly.where("forecast_horizon_hours = 6")
-    return pf.unified_features(v.load_hourly, weather, forecast)
+    return pf.unified_features(v.load_hourly, weather, v.forecast_hourly)
 
 
 PIP04_COLS = f"""load temperature humidity hour_sin hour_cos day_of_week_sin day_of_week_cos month_sin month_cos {EVE_COLS} {EVW_COLS}

@@ -64,7 +64,8 @@ def _pen(name: str, cond: str, p: int) -> str:
 
 
 _UNI = f"""WITH x AS (SELECT l.zone, l.{TS}, load, h AS hour, d AS day_of_week, m AS month, lag(load, 400) OVER ({Z}) AS load_lag_400h,
-    CASE WHEN h = 30 THEN 1.0 END AS temp_forecast_6h FROM {parts('load_hourly')} l)"""
+    CASE WHEN h < 20 THEN 1.0 END AS temp_forecast_1h, CASE WHEN h = 30 THEN 1.0 END AS temp_forecast_6h,
+    load AS wind_forecast_12h, CASE WHEN h = 31 THEN 1.0 END AS cooling_forecast_24h FROM {parts('load_hourly')} l)"""
 
 
 def _null(c: str) -> str:
@@ -75,7 +76,8 @@ _UNI_RULES = (
     [(f"nulls_{c}", f"{_null(q)} > 5", 15) for c, q in (("timestamp", TS), ("zone", "zone"), ("load", "load"), ("hour", "hour"), ("day_of_week", "day_of_week"))]
     + [(f"range_{c}", f"(SELECT min({c}) FROM x) < {lo} OR (SELECT max({c}) FROM x) > {hi}", p)
        for c, lo, hi, p in (("load", 0, 100000, 20), ("hour", 0, 23, 10), ("day_of_week", 0, 6, 10), ("month", 1, 12, 10))]
-    + [("coverage_temp_forecast_6h", f"{_null('temp_forecast_6h')} > 90", 5), ("lag_nulls_load_lag_400h", f"{_null('load_lag_400h')} > 50", 5)]
+    + [(f"coverage_{c}", f"{_null(c)} > 90", 5) for c in ("temp_forecast_1h", "temp_forecast_6h", "wind_forecast_12h", "cooling_forecast_24h")]
+    + [("lag_nulls_load_lag_400h", f"{_null('load_lag_400h')} > 50", 5)]
 )
 
 
@@ -85,7 +87,10 @@ def unified(v):
 
     df = calendar_parts(v.load_hourly).select("zone", "timestamp", "load", "hour", "day_of_week", "month")
     df = lag_features(df, "load", (400,))
-    return df.withColumn("temp_forecast_6h", F.when(F.col("hour") == 30, 1.0))
+    when = lambda rule: F.when(F.expr(rule), 1.0)
+    return df.withColumns(
+        {"temp_forecast_1h": when("hour < 20"), "temp_forecast_6h": when("hour = 30"), "wind_forecast_12h": F.col("load"), "cooling_forecast_24h": when("hour = 31")}
+    )
 
 
 @query(
@@ -342,7 +347,7 @@ def forecast_docs(v):
         F.concat(F.hour("timestamp").cast("string"), F.lit(" mph")).alias("windSpeed"),
     )
     day = F.date_trunc("day", "timestamp")
-    # At most 24 periods in a document.
+    # At most 24 periods in a document: all are read.
     return v.weather_hourly.groupBy("zone", day.alias("day")).agg(F.sort_array(F.collect_list(period)).alias("periods")).select(
         "zone", (F.col("day") - F.expr("interval 90 minutes")).alias("issued"), F.struct("periods").alias("properties")
     )
@@ -351,14 +356,14 @@ def forecast_docs(v):
 _HOURLY = f"""SELECT {TS}, zone, temp_c, humidity, extract(hour FROM {TS}) * 1.60934 AS wind_speed_kmh, 'nws' AS forecast_source,
     date_trunc('day', {TS}) - INTERVAL 90 MINUTE AS forecast_issued,
     trunc((epoch({TS}) - epoch(date_trunc('day', {TS}) - INTERVAL 90 MINUTE)) / 3600) AS forecast_horizon_hours
-    FROM weather_hourly QUALIFY row_number() OVER (PARTITION BY zone, date_trunc('day', {TS}) ORDER BY {TS}) <= 12"""
+    FROM weather_hourly"""
 
 
 @query("src06_hourly_forecast_json", _HOURLY, dbl="temp_c humidity wind_speed_kmh", lng="forecast_horizon_hours")
 def _(v):
     path = landing(v, "json")
     forecast_docs(v).write.json(path)
-    return fs.read_hourly_json(v.spark, path, max_hours=12)
+    return fs.read_hourly_json(v.spark, path)
 
 
 @query(
@@ -449,7 +454,7 @@ def _(v):
 )
 def _(v):
     path = landing(v, "landed")
-    rows = land_forecasts(fs.hourly_forecasts(forecast_docs(v), max_hours=12))
+    rows = land_forecasts(fs.hourly_forecasts(forecast_docs(v)))
     fs.write_snapshot(rows, path, "2024-01-31")
     expected = v.spark.createDataFrame([(z,) for z in ("NP15", "SCE", "SMUD", "PGE_VALLEY", "SP15", "SDGE")], "zone string")
     return ag.collection_summary(expected, v.spark.read.parquet(path))
