@@ -5,9 +5,11 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gridweave.core.series import Series, join_keys, over_series, series
 from gridweave.functions.expr import clip
@@ -53,12 +55,17 @@ def trend_smoothing(df: DataFrame, actual: str, predicted: str, alpha: float = 0
 
     s - actual is an exponential mean of (p - actual). Its weights fall by (1 - a) per
     row; rows whose weight is below 1e-17 cannot change a double, so a bounded frame
-    gives the same value. The first row of a series has weight (1 - a)^i.
+    gives the same value. The first row of a series has weight (1 - a)^i. Rows where actual or
+    prediction is null or NaN have a null output, and the others go on as if they were not there.
     """
     name = f"{predicted}_smoothed"
+    return _with_unknown(df, _known(df, actual, predicted), name, lambda rows: _trend_smoothed(rows, actual, predicted, alpha, name, **layout))
+
+
+def _trend_smoothed(df: DataFrame, actual: str, predicted: str, alpha: float, name: str, **layout) -> DataFrame:
     keep = 1 - alpha
     if keep <= 0:
-        return df.withColumn(name, F.col(predicted))
+        return df.withColumn(name, F.col(predicted).cast("double"))
     depth = math.ceil(math.log(1e-17) / math.log(keep))
     if depth > 64:
         return _recursive(df, _ema_of, {"keep": keep}, depth, actual, predicted, name, **layout)
@@ -80,9 +87,27 @@ def recursive_smoothing(df: DataFrame, predicted: str, **layout) -> DataFrame:
     """out = (prediction + last three outputs) / 4; the first three rows pass through.
 
     An output's influence shrinks by about 0.87 per row, so each chunk warms up on 320
-    rows before it and the series need not run through one task.
+    rows before it and the series need not run through one task. A null or NaN prediction
+    has a null output, and the others go on as if it were not there.
     """
-    return _recursive(df, _mean_of_outputs, {}, 320, predicted, predicted, f"{predicted}_smoothed", **layout)
+    name = f"{predicted}_smoothed"
+    return _with_unknown(
+        df, _known(df, predicted), name, lambda rows: _recursive(rows, _mean_of_outputs, {}, 320, predicted, predicted, name, **layout)
+    )
+
+
+def _known(df: DataFrame, *names: str) -> Column:
+    """Rows where none of the columns is null or NaN."""
+    known = F.lit(True)
+    for c in names:
+        known = known & F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double"))
+    return known
+
+
+def _with_unknown(df: DataFrame, known: Column, name: str, smooth) -> DataFrame:
+    """Smooth the known rows only; the others keep a null output and have no part in the recurrence."""
+    left_out = df.where(~known).withColumn(name, F.lit(None).cast("double"))
+    return smooth(df.where(known)).unionByName(left_out)
 
 
 def _recursive(df, step, args: dict, warm_up: int, actual: str, predicted: str, name: str, **layout) -> DataFrame:
@@ -92,39 +117,62 @@ def _recursive(df, step, args: dict, warm_up: int, actual: str, predicted: str,
     rows = s.df.withColumns(
         {
             "run_own": F.col("_own") if s.halo else F.lit(True),
-            "run_start": s.pos == 0,
             "run_order": F.row_number().over(s.w),
             "run_chunk": F.col("_chunk") if s.chunked else F.lit(0).cast("bigint"),
         }
     )
-    columns = [*keep, "run_own", "run_start", "run_order", "run_chunk"]
-    rows = rows.select(*columns)
-    schema = df.select(*keep).schema.add(name, "double")
+    rows = rows.select(*keep, "run_own", "run_order", "run_chunk")
+    nullable = [T.StructField(f.name, f.dataType, True) for f in df.select(*keep).schema]
+    schema = T.StructType([*nullable, T.StructField(name, T.DoubleType(), True)])
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("run_order")
-        pdf[name] = step(pdf[actual].tolist(), pdf[predicted].tolist(), bool(pdf["run_start"].iloc[0]), **args)
+        pdf[name] = step(pdf[actual].to_numpy(float), pdf[predicted].to_numpy(float), **args)
         return pdf.loc[pdf["run_own"], [*keep, name]]
 
     return rows.groupBy(*s.keys, "run_chunk").applyInPandas(run, schema)
 
 
-def _mean_of_outputs(actual: Sequence[float], predicted: Sequence[float], from_start: bool) -> list[float]:
-    out: list[float] = []
-    for p in predicted:
-        out.append(p if len(out) < 3 else (p + out[-1] + out[-2] + out[-3]) / 4)
-    return out
+BLOCK = 256
+
 
+def linear_recurrence(x: np.ndarray, weights: Sequence[float], before: Sequence[float]) -> np.ndarray:
+    """y_i = x_i + sum of weights[k] * y_(i-1-k); ``before`` holds y_(-1), y_(-2) and so on.
 
-def _ema_of(actual: Sequence[float], predicted: Sequence[float], from_start: bool, keep: float) -> list[float]:
-    out: list[float] = []
-    gap = None
-    for a, p in zip(actual, predicted):
-        gap = p - a if gap is None else (1 - keep) * (p - a) + keep * gap
-        out.append(a + gap)
+    Blocks of rows at a time: what a block's own rows add is one product with their impulse responses, what came
+    before it enters by its last outputs.
+    """
+    order = len(weights)
+    unit = np.zeros((BLOCK + order, order + 1))  # columns: an impulse, and each of the outputs before
+    unit[order - 1 :: -1, 1:][:order] = np.eye(order)
+    unit[order, 0] = 1.0
+    for i in range(order, BLOCK + order):
+        unit[i] += sum(w * unit[i - 1 - k] for k, w in enumerate(weights))
+    impulse, memory = unit[order:, 0], unit[order:, 1:]
+    lag = np.arange(BLOCK)[:, None] - np.arange(BLOCK)[None, :]
+    response = np.where(lag >= 0, impulse[np.maximum(lag, 0)], 0.0)
+    out, last = np.empty(len(x)), np.asarray(before, dtype=float)
+    for at in range(0, len(x), BLOCK):
+        own = x[at : at + BLOCK]
+        n = len(own)
+        out[at : at + n] = response[:n, :n] @ own + memory[:n] @ last
+        last = np.concatenate([out[max(at + n - order, 0) : at + n][::-1], last])[:order]
     return out
 
 
+def _mean_of_outputs(actual: np.ndarray, predicted: np.ndarray) -> np.ndarray:
+    if len(predicted) <= 3:
+        return predicted
+    rest = linear_recurrence(predicted[3:] / 4, (0.25, 0.25, 0.25), predicted[2::-1])
+    return np.concatenate([predicted[:3], rest])
+
+
+def _ema_of(actual: np.ndarray, predicted: np.ndarray, keep: float) -> np.ndarray:
+    gap = predicted - actual
+    rest = linear_recurrence((1 - keep) * gap[1:], (keep,), gap[:1])
+    return actual + np.concatenate([gap[:1], rest])
+
+
 def uniform_smoothing(df: DataFrame, value: str, size: int = 5, edge: str = "nearest", **layout) -> DataFrame:
     """Centred mean over min(size, n // 4) rows; beyond the ends the edge value (or zero) counts.
 

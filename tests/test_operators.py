@@ -144,6 +144,23 @@ def test_recursive_smoothing_equals_the_loop(small_chunks):
     assert col(sm.recursive_smoothing(df, "load"), "load_smoothed") == pytest.approx(out, rel=1e-12)
 
 
+@pytest.mark.parametrize("alpha", [0.7, 0.05])
+def test_smoothing_skips_unknown_rows(small_chunks, alpha):
+    """Null and NaN rows come out null and change nothing, chunked or not."""
+    values = [1000.0 + (7 * i) % 31 if i % 9 else (None if i % 2 else float("nan")) for i in range(300)]
+    df = small_chunks.createDataFrame([("A", T0 + dt.timedelta(hours=i), 1000.0 + i, v) for i, v in enumerate(values)], "zone string, timestamp timestamp, load double, p double")
+    known = [(1000.0 + i, v) for i, v in enumerate(values) if v is not None and v == v]
+    mean, trend = [], []
+    for a, v in known:
+        mean.append(v if len(mean) < 3 else (v + sum(mean[-3:])) / 4)
+        trend.append(v if not trend else alpha * v + (1 - alpha) * (trend[-1] + a - last))
+        last = a
+    for out, want in ((sm.recursive_smoothing(df, "p"), mean), (sm.trend_smoothing(df, "load", "p", alpha), trend)):
+        got = col(out, "p_smoothed")
+        assert len(got) == 300 and [x is None for x in got] == [v is None or v != v for v in values]
+        assert [x for x in got if x is not None] == pytest.approx(want, rel=1e-9)
+
+
 @pytest.mark.parametrize("alpha", [0.7, 0.95, 0.3, 0.05])
 def test_trend_smoothing_equals_the_loop(small_chunks, alpha):
     rng = np.random.default_rng(2)
