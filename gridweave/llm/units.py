@@ -1,7 +1,7 @@
-"""Substring deduplication by hashed units: lines, paragraphs or sentences.
+"""Substring deduplication by hashed units: lines, paragraphs, sentences or clauses.
 
-1. A text is cut after line breaks, paragraph breaks, or sentence ends and line breaks. A unit is normalised: words
-   only, A-Z lower-cased.
+1. A text is cut after line breaks or paragraph breaks, and for the finer units also after sentences, or after clauses of
+   three words or more. A unit is normalised: words only, A-Z lower-cased.
 2. A unit with fewer than ``least_words`` words says little by itself, so its digest covers the units before it as well, back
    until there are that many words. Without enough words before it, it has no digest and always stays.
 3. Digests (128 bits) are grouped over all texts; the earliest occurrence by (doc_id, number of the unit) stays, the
@@ -28,7 +28,10 @@ ENDS = {
     "line": re.compile(r"[\r\n]+"),
     "paragraph": re.compile(r"\r?\n[ \t]*\r?\n\s*"),
     "sentence": re.compile(r"(?<=[.!?])[\x20\t]+|[\r\n]+"),
+    "clause": re.compile(r"(?<=[.!?,;:|])[\x20\t]+|[\r\n]+"),
 }
+#: Fewer words do not end a clause; this looks at the clause alone, so copies are cut alike.
+LEAST_CLAUSE = 3
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = {c: c + 32 for c in range(65, 91)}
 
@@ -37,18 +40,24 @@ UNIT = "doc_id long, unit long, start long, end long, words long, one long, two
 
 def units_of(text: str, unit: str, least_words: int) -> Iterator[tuple[int, int, int, bytes | None]]:
     """(start, end, words, digest or None) of each unit that has a word; the offsets span the unit without its break."""
-    at, before, held = 0, [], 0  # the latest units: number of words and normalised text
+    at = mark = 0
+    own: list[str] = []
+    before, held = [], 0  # the latest units: number of words and normalised text
     ends = [*((m.start(), m.end()) for m in ENDS[unit].finditer(text)), (len(text), len(text))]
     for end, after in ends:
-        words = WORD.findall(text[at:end].translate(LOWER))
-        if words:
-            before.append((len(words), " ".join(words)))
-            held += len(words)
+        words = WORD.findall(text[mark:end].translate(LOWER))
+        own += words
+        mark = after
+        if unit == "clause" and len(words) < LEAST_CLAUSE and end < len(text) and text[end] in " \t":
+            continue  # a short clause is the beginning of the next one
+        if own:
+            before.append((len(own), " ".join(own)))
+            held += len(own)
             while held - before[0][0] >= least_words:
                 held -= before.pop(0)[0]
             digest = blake2b("\n".join(t for _, t in before).encode("utf-8", "surrogatepass"), digest_size=16).digest() if held >= least_words else None
-            yield at, end, len(words), digest
-        at = after
+            yield at, end, len(own), digest
+        at, own = after, []
 
 
 def _cut(docs: DataFrame, unit: str, least_words: int) -> DataFrame:
@@ -68,7 +77,7 @@ def _cut(docs: DataFrame, unit: str, least_words: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(made, UNIT)
 
 
-def repeated_units(docs: DataFrame, unit: str = "sentence", least_words: int = 8) -> DataFrame:
+def repeated_units(docs: DataFrame, unit: str = "clause", least_words: int = 8) -> DataFrame:
     """(doc_id, unit, start, end, words, first_doc_id, first_unit, copies): the units to remove from ``docs`` (doc_id, text).
 
     ``copies`` counts all occurrences. Texts without words, null or empty, have no units. Rows that repeat a doc_id and

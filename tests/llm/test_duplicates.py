@@ -110,7 +110,7 @@ def test_directory_splits_only_overfull_buckets():
     assert all(t <= 50 or (bucket == i).sum() == 1 for i, t in enumerate(total))
 
 
-@pytest.mark.parametrize("unit", ["line", "paragraph", "sentence"])
+@pytest.mark.parametrize("unit", ["line", "paragraph", "sentence", "clause"])
 def test_units_against_brute_force(spark, unit):
     rng = random.Random(9)
     passage = "\n".join(prose(rng, 20) for _ in range(3)) + "\n\n"
