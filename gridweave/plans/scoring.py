@@ -8,18 +8,28 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gridweave.core.series import join_keys
 from gridweave.functions import calendar as cal
 from gridweave.operators import metrics as mt
 from gridweave.operators.joins import expand_horizons, latest_lags, nearest_join
 from gridweave.operators.smoothing import recursive_smoothing
 from gridweave.operators.windows import downsample
-from gridweave.plans.forecast import improvement_pct
+from gridweave.plans.features import ForecastConfig, forecast_feature_names, forecast_features, one_forecast
+from gridweave.plans.forecast import ensemble, improvement_pct, pick_model
 from gridweave.plans.training import score_zones, score_zones_by
 from gridweave.session import stored
 
 
-def horizon_features(load: DataFrame, weather: DataFrame | None, horizons: Sequence[int], defaults: tuple[float, float] = (20.0, 50.0)) -> DataFrame:
-    """One row per zone and horizon: calendar of the target time, latest lags, nearest weather."""
+def horizon_features(
+    load: DataFrame,
+    weather: DataFrame | None,
+    horizons: Sequence[int],
+    defaults: tuple[float, float] = (20.0, 50.0),
+    forecast: DataFrame | None = None,
+    config: ForecastConfig = ForecastConfig(),
+) -> DataFrame:
+    """One row per zone and horizon: calendar of the target time, latest lags, nearest weather, and with ``forecast`` the
+    forecast columns of the target time (null where there is no forecast for it)."""
     rows = expand_horizons(latest_lags(load, (1, 24)), horizons).withColumnRenamed("timestamp", "issued_at")
     rows = rows.withColumnRenamed("target_time", "timestamp")
     if weather is not None:
@@ -29,20 +39,45 @@ def horizon_features(load: DataFrame, weather: DataFrame | None, horizons: Seque
     else:
         rows = rows.withColumns({"temp_c": F.lit(None).cast("double"), "humidity": F.lit(None).cast("double"), "forecast_available": F.lit(False)})
     rows = rows.withColumns({"temp_c": F.coalesce("temp_c", F.lit(defaults[0])), "humidity": F.coalesce("humidity", F.lit(defaults[1]))})
+    if forecast is not None:
+        feats = forecast_features(one_forecast(forecast), config)
+        names = [c for c in forecast_feature_names(config) if c in feats.columns]
+        rows = join_keys(rows, feats.select("zone", "timestamp", *names), ["zone", "timestamp"], "left")
     return cal.extreme_temporal_features(cal.cyclic_parts(cal.calendar_parts(rows)))
 
 
-def direct_forecast(rows: DataFrame, models: dict[str, dict[str, PipelineModel]], levels: Sequence[float] = (0.68, 0.95)) -> DataFrame:
-    """Each model's prediction per zone and horizon, improvement over the baseline and intervals."""
+def direct_forecast(
+    rows: DataFrame,
+    models: dict[str, dict[str, PipelineModel]],
+    levels: Sequence[float] = (0.68, 0.95),
+    choice: str = "enhanced",
+    weights: dict[str, float] | None = None,
+) -> DataFrame:
+    """Predictions of the baseline, enhanced and third model per zone and horizon, the chosen one, and its intervals.
+
+    ``prediction`` follows the fallback chain of ``choice``, or with ``weights`` is their weighted mean over the models that have
+    a prediction. ``metadata`` names the model used, the models that had a prediction, and whether weather was found.
+    """
+    names = ("baseline", "enhanced", "third")
     out = score_zones_by(rows, models)
-    main = F.coalesce(*[F.col(m) for m in ("enhanced", "baseline") if m in models])
+    absent = [m for m in names if m not in models]
+    out = out.withColumns({m: F.lit(None).cast("double") for m in absent})
+    main = ensemble(weights) if weights else pick_model(choice)
+    chain = F.coalesce(*[F.when(F.col(m) == main, F.lit(m)) for m in (choice, *reversed(names))])
+    had = F.array_join(F.array_compact(F.array(*[F.when(F.col(m).isNotNull(), F.lit(m)) for m in names])), ",")
+    available = F.col("forecast_available") if "forecast_available" in rows.columns else F.lit(False)
+    meta = F.create_map(
+        F.lit("model"), F.when(main.isNotNull(), F.lit("ensemble") if weights else chain),
+        F.lit("models"), had,
+        F.lit("weather_found"), available.cast("string"),
+    )
     bands = F.create_map(
         *[x for l in levels for x in (F.lit(float(l)), F.struct((main - main * 0.10 * (l / 0.95)).alias("lo"), (main + main * 0.10 * (l / 0.95)).alias("hi")))]
     )
-    out = out.withColumns({"prediction": main, "intervals": bands})
+    out = out.withColumns({"prediction": main, "intervals": bands, "metadata": meta})
     if {"enhanced", "baseline"} <= set(models):
         out = out.withColumn("improvement_pct", improvement_pct())
-    return out
+    return out.drop(*absent)
 
 
 def recursive_forecast(latest: DataFrame, model: PipelineModel, hours: int) -> DataFrame:
@@ -84,8 +119,7 @@ def score_batch(rows: DataFrame, path: str, features: Sequence[str]) -> DataFram
 
 def evaluate(rows: DataFrame, models: dict[str, dict[str, PipelineModel]], target: str = "load") -> DataFrame:
     """Core metrics of several models over the same rows."""
-    parts = [score_zones(rows, m).withColumn("model", F.lit(n)).select("model", target, "prediction") for n, m in models.items()]
-    both = parts[0]
-    for p in parts[1:]:
-        both = both.unionByName(p)
+    each = F.explode(F.array(*[F.struct(F.lit(n).alias("model"), F.col(f"_{n}").alias("prediction")) for n in models]))
+    scored = score_zones_by(rows, {f"_{n}": m for n, m in models.items()}).select(target, each.alias("_one"))
+    both = scored.select("_one.model", target, "_one.prediction").where("prediction is not null")
     return mt.core_metrics(both, ["model"], target, "prediction")

@@ -97,16 +97,20 @@ def forecast_models(v):
 
 
 def forecast_rows(v):
-    rows = sc.horizon_features(v.load_hourly, v.weather_hourly, (1, 6, 12, 24, 48))
-    return sc.direct_forecast(rows, forecast_models(v))
+    rows = sc.horizon_features(v.load_hourly, v.weather_hourly, (1, 6, 12, 24, 48), forecast=v.forecast_hourly)
+    df = training_table(v)
+    third = tr.Profile(trees=6, depth=4, categorical=True, bins=24)
+    models = {"baseline": models_of(df, FEATURES), "enhanced": models_of(df, ENHANCED), "third": models_of(df, FEATURES, third)}
+    return sc.direct_forecast(rows, models, weights=fc.ENSEMBLES["service"])
 
 
-@query("ml12_direct_forecast", dbl="baseline enhanced improvement_pct lo95 hi95")
+@query("ml12_direct_forecast", dbl="baseline enhanced third prediction improvement_pct lo95 hi95 temp_forecast_6h")
 def _(v):
     out = forecast_rows(v)
     band = F.col("intervals")[F.lit(0.95)]
     return out.select(
-        "zone", "timestamp", "horizon_hours", "baseline", "enhanced", "improvement_pct",
+        "zone", "timestamp", "horizon_hours", "baseline", "enhanced", "third", "prediction", "improvement_pct", "temp_forecast_6h",
+        F.col("metadata")["model"].alias("model"), F.col("metadata")["models"].alias("models"),
         band["lo"].alias("lo95"), band["hi"].alias("hi95"),
     )
 
@@ -164,8 +168,7 @@ def _(v):
     names = ["hour", "is_weekend", "evening_hour_intensity", "hour_sin", "hour_cos", "load_lag_1h", "load_lag_24h", "load_rolling_mean_24h"]
     models = {"enhanced": models_of(df, names), "third": models_of(df, names, tr.Profile(trees=6, depth=4, categorical=True, bins=24))}
     val = df.where("is_val")
-    for name, per_zone in models.items():
-        val = tr.score_zones(val, per_zone, name)
+    val = tr.score_zones_by(val, models)
     val = val.withColumn("prediction", fc.ensemble(fc.ENSEMBLES["strong_evening"], (0, 50000)))
     return mt.evening_metrics(val, ["zone"], "load", "prediction")
 
@@ -182,7 +185,7 @@ def _(v):
     dbl="coverage_pct mean_improvement_pct std_improvement_pct min_improvement_pct max_improvement_pct median_improvement_pct",
 )
 def _(v):
-    return mt.forecast_report(stored(forecast_rows(v).drop("intervals")))
+    return mt.forecast_report(stored(forecast_rows(v).drop("intervals", "metadata")))
 
 
 @query("pip11_regional_comparison", dbl="mae rmse mape r2 max_error bias bias_pct median_ae peak_load min_load avg_load load_std")
@@ -191,8 +194,11 @@ def _(v):
     train, test = df.where("not is_val"), df.where("is_val")
     zones = tr.zones_of(train, 100)
     models = tr.fit_zones(train, lambda z: tr.forest(ENHANCED, trees=10, depth=6), zones)
-    metrics = mt.core_metrics(tr.score_zones(test, models), ["zone"], "load", "prediction")
-    return metrics.join(ag.zone_extremes(df), "zone")
+    scored = tr.score_zones(test, models).where("prediction is not null")
+    metrics = mt.core_metrics(scored, ["zone"], "load", "prediction")
+    # Zones with too few rows to train on are reported, not left out.
+    status = F.when(F.col("mae").isNull(), "no model").otherwise("ok")
+    return ag.zone_extremes(df).join(metrics, "zone", "left").withColumn("status", status)
 
 
 @query("pip12_retraining", dbl="mape r2 variation_pct")
