@@ -3,7 +3,7 @@
 The benchmark is taken in blocks of at most ``block_bytes`` of text, the query set that every document is held
 against. For a block:
 
-1. Words (runs of letters, digits and longer code points, A-Z lower-cased) of all documents become numbers of the block's
+1. Words (runs of letters, digits and longer code points, lower-cased) of all documents become numbers of the block's
    vocabulary; words outside it can't add to a product with an item. They are stored once, as numbers.
 2. Term counts over all documents give the weights log(1 + words / count) squared.
 3. Randomised SVD: the passages (``cell`` words each) of all documents and the items are the rows of a TF-IDF matrix.
@@ -26,6 +26,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -87,7 +88,7 @@ class Item(NamedTuple):
 
 def _hashes(texts: list[str]) -> list[np.ndarray]:
     out = []
-    for block in blocks(pa.array(texts, pa.string())):
+    for block in blocks(pc.utf8_lower(pa.array(texts, pa.string()))):
         w = words(block, PUNCTUATION)
         out += [w.hash[a:b] for a, b in zip(w.bounds[:-1], w.bounds[1:])]
     return out
@@ -116,19 +117,16 @@ def tokens(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            raw = []
             for block in blocks(batch["text"]):
+                data = block.data.tobytes()
+                raw += [hashlib.md5(data[a:b]).hexdigest() for a, b in zip(block.offsets[:-1], block.offsets[1:])]
+            for block in blocks(pc.utf8_lower(batch["text"])):
                 w = words(block, PUNCTUATION)
                 numbers = vocabulary.numbers(w.hash).astype(kind)
-                raw = block.data.tobytes()
-                n = len(w.bounds) - 1
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch["doc_id"].slice(block.first, n),
-                        pa.array([hashlib.md5(raw[a:b]).hexdigest() for a, b in zip(block.offsets[:-1], block.offsets[1:])], pa.string()),
-                        pa.array([numbers[a:b].tobytes() for a, b in zip(w.bounds[:-1], w.bounds[1:])], pa.binary()),
-                    ],
-                    ["doc_id", "raw", "words"],
-                )
+                at, n = block.first, len(w.bounds) - 1
+                body = pa.array([numbers[a:b].tobytes() for a, b in zip(w.bounds[:-1], w.bounds[1:])], pa.binary())
+                yield pa.RecordBatch.from_arrays([batch["doc_id"].slice(at, n), pa.array(raw[at : at + n], pa.string()), body], ["doc_id", "raw", "words"])
 
     chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return chosen.mapInArrow(made, "doc_id long, raw string, words binary")
