@@ -16,6 +16,7 @@ from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRe
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gridweave.core.quantiles import with_quantiles
 from gridweave.core.series import with_position
 from gridweave.functions import calendar as cal
 from gridweave.operators import metrics as mt
@@ -96,6 +97,17 @@ def forest(features: Sequence[str], trees: int = 100, depth: int = 15, least: in
     return Pipeline(stages=[*stages, learner])
 
 
+def robust_scaled(df: DataFrame, columns: Sequence[str], keys: Sequence[str] = ("zone",)) -> DataFrame:
+    """{column}_scaled: distance from the exact median in interquartile ranges; null where the range is zero."""
+    wanted = {f"_{c}_{q}": (c, q / 100) for c in columns for q in (25, 50, 75)}
+    out = with_quantiles(df, list(keys), wanted)
+    scaled = {}
+    for c in columns:
+        width = F.col(f"_{c}_75") - F.col(f"_{c}_25")
+        scaled[f"{c}_scaled"] = F.when(width > 0, (F.col(c) - F.col(f"_{c}_50")) / width)
+    return out.withColumns(scaled).drop(*wanted)
+
+
 def linear(features: Sequence[str], target: str = "load", weight: str | None = None) -> Pipeline:
     stages, column = scaling_stages(features, "standard")
     learner = LinearRegression(featuresCol=column, labelCol=target)

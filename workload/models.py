@@ -19,7 +19,7 @@ from gridweave.plans import forecast as fc
 from gridweave.plans import scoring as sc
 from gridweave.plans import training as tr
 from gridweave.session import shared_dir, stored
-from workload.harness import query
+from workload.harness import ORACLES, query
 
 FEATURES = ["hour", "day_of_week", "is_weekend", "hour_sin", "hour_cos", "load_lag_1h", "load_lag_24h"]
 ENHANCED = [*FEATURES, "temp_c", "humidity", "hour_cubed", "midday_peak", "afternoon_peak", "overnight_low"]
@@ -50,6 +50,29 @@ def _(v):
     return scaled.select("zone", "timestamp", F.sqrt(norm).alias("scaled_norm"))
 
 
+@query(
+    "ml04_robust_scale_exact",
+    """WITH q AS (SELECT zone, quantile_cont(load, 0.5) AS m, quantile_cont(load, 0.75) - quantile_cont(load, 0.25) AS w FROM load_hourly GROUP BY zone)
+        SELECT zone, "timestamp", CASE WHEN w > 0 THEN (load - m) / w END AS load_scaled FROM load_hourly JOIN q USING (zone)""",
+    dbl="load_scaled",
+)
+def _(v):
+    return tr.robust_scaled(v.load_hourly, ["load"]).select("zone", "timestamp", "load_scaled")
+
+
+@query(
+    "ml07_linear_one_feature",
+    """WITH r AS (SELECT l.zone, l."timestamp", l.load, w.temp_c FROM load_hourly l JOIN weather_hourly w ON l.zone = w.zone AND l."timestamp" = w."timestamp"),
+        f AS (SELECT zone, regr_slope(load, temp_c) AS a, regr_intercept(load, temp_c) AS b FROM r GROUP BY zone)
+        SELECT zone, "timestamp", round(b + a * temp_c, 3) AS prediction FROM r JOIN f USING (zone)""",
+    dbl="prediction",
+)
+def _(v):
+    df = stored(v.load_hourly.join(v.weather_hourly.select("zone", "timestamp", "temp_c"), ["zone", "timestamp"]))
+    models = tr.fit_zones(df, lambda z: tr.linear(["temp_c"]), tr.zones_of(df))
+    return tr.score_zones(df, models).select("zone", "timestamp", F.round("prediction", 3).alias("prediction"))
+
+
 @query("ml05_zone_boosting", dbl="load prediction")
 def _(v):
     df = training_table(v)
@@ -99,7 +122,7 @@ def forecast_models(v):
 def forecast_rows(v):
     rows = sc.horizon_features(v.load_hourly, v.weather_hourly, (1, 6, 12, 24, 48), forecast=v.forecast_hourly)
     df = training_table(v)
-    third = tr.Profile(trees=6, depth=4, categorical=True, bins=24)
+    third = tr.Profile(trees=6, depth=4)
     models = {"baseline": models_of(df, FEATURES), "enhanced": models_of(df, ENHANCED), "third": models_of(df, FEATURES, third)}
     return sc.direct_forecast(rows, models, weights=fc.ENSEMBLES["service"])
 
@@ -115,6 +138,26 @@ def _(v):
     )
 
 
+@query(
+    "ml12_forecast_arithmetic",
+    """WITH l AS (SELECT zone, max("timestamp") AS t FROM load_hourly GROUP BY zone)
+        SELECT zone, h AS horizon_hours, t + to_hours(h) AS "timestamp", 'ensemble' AS model, 'baseline,enhanced,third' AS models,
+            true AS weighted, true AS improved, true AS banded FROM l, (VALUES (1), (6), (12), (24), (48)) hs(h)""",
+    lng="horizon_hours",
+)
+def _(v):
+    out = forecast_rows(v)
+    near = lambda a, b: F.abs(a - b) <= 1e-9 * F.abs(b) + 1e-9
+    mean = 0.25 * F.col("baseline") + 0.35 * F.col("enhanced") + 0.40 * F.col("third")
+    gain = (F.col("enhanced") - F.col("baseline")) / F.col("baseline") * 100
+    band = F.col("intervals")[F.lit(0.95)]
+    return out.select(
+        "zone", "horizon_hours", "timestamp", F.col("metadata")["model"].alias("model"), F.col("metadata")["models"].alias("models"),
+        near(F.col("prediction"), mean).alias("weighted"), near(F.col("improvement_pct"), gain).alias("improved"),
+        (near(band["lo"], F.col("prediction") * 0.9) & near(band["hi"], F.col("prediction") * 1.1)).alias("banded"),
+    )
+
+
 @query("ml13_temporal_sensitivity", dbl="variation_pct")
 def _(v):
     df = training_table(v)
@@ -139,6 +182,19 @@ def _(v):
     return sc.score_batch(rows, path, FEATURES).select("zone", "timestamp", "load", "prediction")
 
 
+@query(
+    "ml17_refused_rows",
+    f"""SELECT zone, "timestamp" FROM ({ORACLES['pip06_hourly_model_table']}) WHERE extract(hour FROM "timestamp") = 3""",
+)
+def _(v):
+    df = training_table(v)
+    path = f"{shared_dir(v.spark)}/model-{uuid.uuid4().hex}"
+    tr.boosted(FEATURES, SMALL, "load", "sample_weight", "is_val").fit(df).write().save(path)
+    rows = df.withColumn("load_lag_1h", F.when(F.col("hour") != 3, F.col("load_lag_1h")).otherwise(float("inf")))
+    kept = sc.score_batch(rows, path, FEATURES).select("zone", "timestamp")
+    return rows.select("zone", "timestamp").join(kept, ["zone", "timestamp"], "left_anti")
+
+
 @query("ml19_feature_importance", dbl="importance")
 def _(v):
     df = training_table(v)

@@ -22,7 +22,7 @@ VIEW_SQL = {
     "weather_hourly": """
         SELECT CASE event_type WHEN 'click' THEN 'NP15' WHEN 'view' THEN 'SCE'
                     WHEN 'purchase' THEN 'SMUD' WHEN 'signup' THEN 'SP15' END AS zone,
-               date_trunc('hour', ts + to_hours(CAST(event_id % 3 AS INTEGER))) AS "timestamp",
+               date_trunc('hour', ts + to_hours(CAST(event_id % 7 = 0 AS INTEGER))) AS "timestamp",
                CAST(sum(CAST(regexp_extract(props, '[0-9]+') AS BIGINT)) AS DOUBLE) / count(*) * 0.5 - 5 AS temp_c,
                CAST(sum(user_id % 100) AS DOUBLE) / count(*) AS humidity,
                CAST(sum(CAST(value AS DECIMAL(18,4))) AS DOUBLE) / count(*) / 10 AS wind_speed
@@ -98,8 +98,8 @@ class Views:
         events = self.table("events").where("event_type <> 'error'")
         zone = F.create_map(*[F.lit(x) for kv in ZONE_OF_EVENT.items() for x in kv])[F.col("event_type")]
         k = F.get_json_object("props", "$.k").cast("bigint")
-        # Weather is noted up to two hours after the event, so that it lacks some hours of the load and has others.
-        late = F.col("ts") + F.make_dt_interval(hours=(F.col("event_id") % 3).cast("int"))
+        # Every seventh event is noted an hour late, so that weather lacks some hours of the load and has others.
+        late = F.col("ts") + F.make_dt_interval(hours=(F.col("event_id") % 7 == 0).cast("int"))
         n = F.count(F.lit(1))
         return events.groupBy(
             zone.alias("zone"), F.date_trunc("hour", late).alias("timestamp")
