@@ -109,10 +109,10 @@ def mix(docs: DataFrame, levels: int = 6, seed: str = "mix", block_words: int =
 
 def oracle(levels: int = 6, seed: str = "mix", block_words: int = 100_000) -> str:
     """The same in DuckDB."""
-    tree = ["t0 AS (SELECT *, 0 AS node FROM drawn)"]
+    tree = ["t0 AS (SELECT *, CAST(0 AS BIGINT) AS node FROM drawn)"]
     for level in range(levels):
         key = f"md5('{seed}/{level}/' || coalesce(s, '') || '/' || CAST(s IS NULL AS INT) || '/' || block || '/' || time)"
-        tree.append(f"""t{level + 1} AS (SELECT s, block, time, node * 2 + CAST(nth * 2 > n + 1 AS INT) AS node FROM
+        tree.append(f"""t{level + 1} AS (SELECT s, block, time, node * 2 + CAST(nth * 2 > n + 1 AS BIGINT) AS node FROM
             (SELECT *, row_number() OVER (PARTITION BY node ORDER BY {key}) AS nth, count(*) OVER (PARTITION BY node) AS n FROM t{level}))""")
     weight = "CASE no % 3 " + " ".join(f"WHEN {i} THEN {w}" for i, w in enumerate(WEIGHTS)) + " END"
     return f"""WITH docs AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{WORD}')) AS size, md5('{seed}/' || coalesce(CAST(doc_id AS VARCHAR), 'null')) AS place FROM documents),
