@@ -138,8 +138,8 @@ class _Links:
         self.shingle, self.percent, self.least = shingle, percent, percent / 100 - margin
         self.labels: DataFrame | None = None
 
-    def check(self, pairs: DataFrame) -> None:
-        """Verify the candidate pairs (a, b) and renew the labels."""
+    def check(self, pairs: DataFrame) -> bool:
+        """Verify the candidate pairs (a, b); if there are links among them, renew the labels."""
         pairs = pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         side = lambda x: self.nodes.select(F.col("node").alias(x), F.col("size").alias(f"n{x}"), F.col("sketch").alias(f"s{x}"))
         body = lambda x: self.bodies.select(F.col("node").alias(x), F.col("body").alias(f"t{x}"))
@@ -148,10 +148,11 @@ class _Links:
         found = likely.join(body("b"), "b").join(body("a"), "a").select("a", "b", "ta", "tb")
         found = self.shelf.put(_verified(found, self.shingle, self.percent))
         if found.isEmpty():
-            return
+            return False
         # Labels stand for the links before them, so only they and the new links are connected again.
         edges = found if self.labels is None else found.union(self.labels.select("node", "label"))
         self.labels = components(edges, self.shelf)
+        return True
 
     def open_lists(self, entries: DataFrame, few: int) -> DataFrame:
         """The entries (value, node) of lists with two labels or more: with label, length n, members outside the largest
@@ -169,23 +170,25 @@ class _Links:
         )
         return self.shelf.put(own.join(lists, "value").withColumn("direct", F.col("outside") <= few))
 
-    def meet(self, own: DataFrame, pivots: int, turn: int, whole: bool = False) -> None:
-        """Compare the members outside the largest label: with the whole list where they are few, else with about ``pivots``
+    def meet(self, own: DataFrame, pivots: int, turn: int, whole: bool = False) -> bool:
+        """Whether there are new links, comparing the members outside the largest label: with the whole list where they are few, else with about ``pivots``
         members of that label; with ``whole``, all members with about ``pivots`` of any label."""
         chosen = f"pmod(xxhash64(node, {turn}), n) < {pivots}" + ("" if whole else " and label = main")
         left = own.where("label <> main" + (" or not direct" if whole else "")).select("value", F.col("node").alias("a"), F.col("label").alias("la"))
         right = own.where(f"direct or ({chosen})").select("value", F.col("node").alias("b"), F.col("label").alias("lb"))
-        self.check(left.join(right, "value").where("la <> lb").select("a", "b"))
+        return self.check(left.join(right, "value").where("la <> lb").select("a", "b"))
 
     def along(self, entries: DataFrame, few: int) -> DataFrame:
         """Two rounds along the lists; the entries of those that stay open."""
         own = self.open_lists(entries, few)
         if own.isEmpty():
             return own
-        self.meet(own, 4, 1)
-        left = self.open_lists(own.where("not direct"), few)
-        if not left.where("direct").isEmpty():
-            self.meet(left.where("direct"), 0, 2)
+        left = own.where("not direct")
+        if self.meet(own, 4, 1):
+            # With new labels, some of these lists have few members outside by now.
+            left = self.open_lists(left, few)
+            if not left.where("direct").isEmpty():
+                self.meet(left.where("direct"), 0, 2)
         return left.where("not direct")
 
     def along_whole(self, entries: DataFrame, few: int) -> None:
@@ -193,9 +196,10 @@ class _Links:
         pivots, turn = 16, 3
         own = self.open_lists(entries, few)
         while not own.isEmpty():
-            self.meet(own, pivots, turn, True)
+            new = self.meet(own, pivots, turn, True)
             # A list compared with all its members is done.
-            own = self.open_lists(own.where(f"not direct and n > {pivots}"), few)
+            own = own.where(f"not direct and n > {pivots}")
+            own = self.open_lists(own, few) if new else own
             pivots, turn = pivots * 4, turn + 1
 
 
