@@ -130,7 +130,7 @@ def shingles(w: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
     counts = np.diff(w.bounds)
     n = len(w.hash)
     summed = np.zeros(n, np.uint64)
-    for k in range(size):
+    for k in range(min(size, n)):
         summed[: n - k] += w.hash[k:] * _STEP[k]
     made = np.where(counts >= size, counts - size + 1, (counts > 0).astype(counts.dtype))
     bounds = np.concatenate([[0], np.cumsum(made)])

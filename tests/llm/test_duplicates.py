@@ -4,6 +4,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from gridweave.llm.exact import directory, exact_duplicates
@@ -11,6 +12,7 @@ from gridweave.llm.graph import components
 from gridweave.llm.near import near_duplicates
 from gridweave.llm.shelf import Shelf
 from gridweave.llm.units import repeated_units, units_of, without
+from gridweave.llm.words import blocks, shingles, words
 from tests.llm.data import DOCS, awkward, documents, prose
 
 LOW = {c: c + 32 for c in range(65, 91)}
@@ -61,6 +63,24 @@ def test_near_against_brute_force(spark, size):
     assert sorted(map(tuple, got.collect()), key=key) == sorted(brute_near(rows, size), key=key)
 
 
+@pytest.mark.parametrize("size", [4, 5])
+def test_near_with_few_words_in_a_block(spark, size):
+    short, long = " ".join("abcde"[: size - 1]), prose(random.Random(size), 300_000)
+    assert len(long) > 1 << 20  # each text is a block of its own
+    docs = spark.createDataFrame([(1, short), (2, long), (3, short)], "doc_id long, text string").coalesce(1)
+    got = {tuple(r) for r in near_duplicates(docs, shingle=size).collect()}
+    assert {r for r in got if r[0] != 2} == {(1, 1, 1, True), (3, 1, 1, False)}
+
+
+@pytest.mark.parametrize("size", [4, 5])
+def test_shingles_of_few_words_alone(size):
+    texts = [" ".join("abcdefg"[:n]) for n in range(8)]
+    together, bounds = shingles(words(next(blocks(pa.array(texts)))), size)
+    for i, text in enumerate(texts):
+        alone, _ = shingles(words(next(blocks(pa.array([text])))), size)
+        assert alone.tolist() == together[bounds[i] : bounds[i + 1]].tolist()
+
+
 def test_near_empty(spark):
     assert near_duplicates(spark.createDataFrame([], DOCS)).count() == 0
 
