@@ -2,8 +2,9 @@
 
 1. A text is cut after line breaks or paragraph breaks, and for the finer units also after sentences, or after clauses of
    three words or more. A unit is normalised: words only, A-Z lower-cased.
-2. A unit with fewer than ``least_words`` words says little by itself, so its digest covers the units before it as well, back
-   until there are that many words. Without enough words before it, it has no digest and always stays.
+2. A whole line or paragraph is digested by itself, whatever its length. A sentence or clause with fewer than ``least_words``
+   words says little by itself, so its digest covers the units before it as well, back until there are that many words;
+   without enough words before it, it goes only with its line.
 3. Digests (128 bits) are grouped over all texts; the earliest occurrence by (doc_id, number of the unit) stays, the
    others are removed, each with its code point offsets in the text as given and the occurrence that stays.
 
@@ -18,7 +19,7 @@ from collections.abc import Iterator
 from hashlib import blake2b
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridweave.llm.shelf import Shelf
@@ -38,10 +39,19 @@ LOWER = {c: c + 32 for c in range(65, 91)}
 UNIT = "doc_id long, unit long, start long, end long, words long, one long, two long"
 
 
+def _digest(words: str) -> bytes:
+    return blake2b(words.encode("utf-8", "surrogatepass"), digest_size=16).digest()
+
+
 def units_of(text: str, unit: str, least_words: int) -> Iterator[tuple[int, int, int, bytes | None]]:
-    """(start, end, words, digest or None) of each unit that has a word; the offsets span the unit without its break."""
-    at = mark = 0
+    """(start, end, words, digest or None) of each unit that has a word; the offsets span the unit without its break.
+
+    Units are nested or apart: a line follows the finer units that it consists of.
+    """
+    finer = unit in ("sentence", "clause")
+    at = mark = line_at = 0
     own: list[str] = []
+    line: list[str] = []
     before, held = [], 0  # the latest units: number of words and normalised text
     ends = [*((m.start(), m.end()) for m in ENDS[unit].finditer(text)), (len(text), len(text))]
     for end, after in ends:
@@ -50,13 +60,19 @@ def units_of(text: str, unit: str, least_words: int) -> Iterator[tuple[int, int,
         mark = after
         if unit == "clause" and len(words) < LEAST_CLAUSE and end < len(text) and text[end] in " \t":
             continue  # a short clause is the beginning of the next one
-        if own:
+        if own and not finer:
+            yield at, end, len(own), _digest(" ".join(own))
+        elif own:
             before.append((len(own), " ".join(own)))
             held += len(own)
             while held - before[0][0] >= least_words:
                 held -= before.pop(0)[0]
-            digest = blake2b("\n".join(t for _, t in before).encode("utf-8", "surrogatepass"), digest_size=16).digest() if held >= least_words else None
-            yield at, end, len(own), digest
+            yield at, end, len(own), _digest("\n".join(t for _, t in before)) if held >= least_words else None
+            line += own
+        if finer and (end == len(text) or text[end] in "\r\n"):
+            if line and (len(line) > len(own) or len(own) < least_words):  # else its one unit has this digest
+                yield line_at, end, len(line), _digest(" ".join(line))
+            line_at, line = after, []
         at, own = after, []
 
 
@@ -82,6 +98,7 @@ def repeated_units(docs: DataFrame, unit: str = "clause", least_words: int = 8)
 
     ``copies`` counts all occurrences. Texts without words, null or empty, have no units. Rows that repeat a doc_id and
     text have the same units twice, and the second time is removed like any other; a null doc_id comes after all others.
+    A removed line is a row beside those of the finer units in it.
     Other columns are ignored; an empty table gives an empty one.
     """
     shelf = Shelf(docs.sparkSession, "units")
@@ -98,7 +115,10 @@ def without(docs: DataFrame, removed: DataFrame) -> DataFrame:
     ``removed`` has doc_id, start and end. Rows without a span are unchanged; a text that was removed whole is empty. Spans
     of a null doc_id can't name their row and are not cut.
     """
-    spans = removed.where("doc_id is not null").groupBy(F.col("doc_id").alias("of")).agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("removed_spans"))
+    ahead = Window.partitionBy("doc_id").orderBy("start", F.desc("end")).rowsBetween(Window.unboundedPreceding, -1)
+    spans = removed.where("doc_id is not null").withColumn("done", F.coalesce(F.max("end").over(ahead), F.lit(0).cast("long"))).where("end > done")
+    spans = spans.select(F.col("doc_id").alias("of"), F.greatest("start", "done").alias("start"), "end")  # units may be nested
+    spans = spans.groupBy("of").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("removed_spans"))
     joined = docs.join(spans, F.col("doc_id").cast("long") == F.col("of"), "left").drop("of")
     # What stays runs from the end of a span (or the start of the text) to the start of the next (or the end).
     starts = F.concat(F.array(F.lit(0).cast("long")), F.transform("removed_spans", lambda s: s["end"]))

@@ -157,3 +157,15 @@ def test_units_are_cut_with_their_offsets(spark):
     assert out[2]["text"].split() == "Something else before it comes. And after.".split()
     spans = [rows[1][1][s["start"] : s["end"]] for s in out[2]["removed_spans"]]
     assert " ".join(spans) == shared
+
+
+@pytest.mark.parametrize("unit", ["line", "sentence", "clause"])
+def test_short_lines_that_repeat_after_other_text(spark, unit):
+    rng = random.Random(13)
+    short, two = "All rights reserved.", "So it is, my friend. And that, they said, was all there was to say."
+    rows = [(i, f"{prose(rng, 20)}\n{short}\n{prose(rng, 9)}\n{two}\n{prose(rng, 20)}") for i in range(5)] + [(9, "Equal and short."), (10, "equal AND short.")]
+    docs = documents(spark, rows)
+    out = {r["doc_id"]: r["text"] for r in without(docs, repeated_units(docs, unit)).collect()}
+    for i, text in rows[1:5]:
+        assert out[i].split() == text.replace(short, "").replace(two, "").split()
+    assert out[0] == rows[0][1] and out[9] == "Equal and short." and out[10] == ""
