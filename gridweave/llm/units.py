@@ -5,7 +5,10 @@
 2. A whole line or paragraph is digested by itself, whatever its length. A sentence or clause with fewer than ``least_words``
    words says little by itself, so its digest covers the units before it as well, back until there are that many words;
    without enough words before it, it goes only with its line.
-3. Digests (128 bits) are grouped over all texts; the earliest occurrence by (doc_id, number of the unit) stays, the
+3. A passage may repeat inside running text without such marks. A sentence or clause of more than ``LONG`` words is therefore
+   cut in pieces as well, at places that depend on a word alone, so copies are cut alike whatever is around them. A piece's
+   digest covers the words before it in the sentence or clause up to ``least_words``, if it has fewer.
+4. Digests (128 bits) are grouped over all texts; the earliest occurrence by (doc_id, number of the unit) stays, the
    others are removed, each with its code point offsets in the text as given and the occurrence that stays.
 
 Only digests and offsets are shuffled. A digest with a third of all units is summed before the shuffle, and the join
@@ -17,6 +20,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from hashlib import blake2b
+from zlib import crc32
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -33,12 +37,35 @@ ENDS = {
 }
 #: Fewer words do not end a clause; this looks at the clause alone, so copies are cut alike.
 LEAST_CLAUSE = 3
+#: Without a mark for more words than this, a sentence or clause is also cut after words whose hash is 0 modulo ``CUT``.
+LONG = 16
+CUT = 4
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
+#: A word, or a code point of the scripts that put no blanks between words (Thai to Khmer, kana, Han and their punctuation).
+_DENSE = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u2e80-\ua4cf\uf900-\ufaff\uff00-\uffef\U0001b000-\U0001b16f\U00020000-\U0003ffff"
+TOKEN = re.compile(f"[{_DENSE}]|[^\\x20\\x09-\\x0D{_DENSE}]+")
 LOWER = {c: c + 32 for c in range(65, 91)}
 
 UNIT = "doc_id long, unit long, start long, end long, words long, one long, two long"
 
 
+def _runs(text: str, start: int, end: int, least_words: int) -> Iterator[tuple[int, int, int, bytes | None]]:
+    """The pieces of a unit from start to end that has more than ``LONG`` words, where only the words say where to cut."""
+    found = list(TOKEN.finditer(text, start, end))
+    if len(found) <= LONG:
+        return
+    tokens = [m.group().translate(LOWER) for m in found]
+    at = 0
+    for i, token in enumerate(tokens, 1):
+        if i < len(tokens) and crc32(token.encode("utf-8", "surrogatepass")) % CUT:
+            continue
+        if i - at < len(tokens):
+            since = min(at, i - least_words)
+            # The mark keeps a piece apart from units, so no unit is a copy of its own piece.
+            yield found[at].start(), found[i - 1].end(), i - at, _digest("\r" + " ".join(tokens[since:i])) if since >= 0 else None
+        at = i
+
+
 def _digest(words: str) -> bytes:
     return blake2b(words.encode("utf-8", "surrogatepass"), digest_size=16).digest()
 
@@ -67,6 +94,7 @@ def units_of(text: str, unit: str, least_words: int) -> Iterator[tuple[int, int,
             held += len(own)
             while held - before[0][0] >= least_words:
                 held -= before.pop(0)[0]
+            yield from _runs(text, at, end, least_words)
             yield at, end, len(own), _digest("\n".join(t for _, t in before)) if held >= least_words else None
             line += own
         if finer and (end == len(text) or text[end] in "\r\n"):

@@ -169,3 +169,21 @@ def test_short_lines_that_repeat_after_other_text(spark, unit):
     for i, text in rows[1:5]:
         assert out[i].split() == text.replace(short, "").replace(two, "").split()
     assert out[0] == rows[0][1] and out[9] == "Equal and short." and out[10] == ""
+
+
+@pytest.mark.parametrize("kind", ["words", "han"])
+def test_passages_without_marks(spark, kind):
+    rng = random.Random(17)
+    if kind == "words":
+        run = lambda n: " ".join(f"{rng.choice('abcdefgh')}{rng.randrange(10**4)}" for _ in range(n)) + " "
+    else:
+        run = lambda n: "".join(chr(rng.randrange(0x4E00, 0x9F00)) for _ in range(n))
+    passage = run(60)
+    rows = [(i, run(40) + passage + run(40)) for i in range(5)]
+    found = collections.defaultdict(set)
+    for r in repeated_units(documents(spark, rows)).collect():
+        found[r["doc_id"]].update(range(r["start"], r["end"]))
+    assert 0 not in found
+    for i, text in rows[1:]:
+        at = text.index(passage)
+        assert found[i] and found[i] <= set(range(at, at + len(passage))) and len(found[i]) > len(passage) / 2
