@@ -27,6 +27,12 @@ def _same(docs: DataFrame, names: DataFrame) -> Column:
     return docs["doc_id"].eqNullSafe(names["of"]) & (_raw() == names["raw"])
 
 
+def _name(raw: Column | str) -> Column:
+    """The MD5 of doc_id, text and source."""
+    part = lambda c, kind: F.coalesce(F.concat(F.lit("="), F.col(c).cast(kind).cast("string")), F.lit(""))
+    return F.md5(F.concat_ws("/", part("doc_id", "long"), raw, part("source", "string")))
+
+
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows whose language is accepted: a text with a letter, and one language likelier than all others together."""
     verdicts = document_languages(docs).where("not accepted").select(F.col("row_id").alias("of"), "raw").distinct()
@@ -55,12 +61,16 @@ def leak_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix: each drawn row once for each time it is taken, with its source's target and its shard and place in it."""
-    drawn = mix(docs).where("taken > 0")
+    # Rows with the same doc_id, text and source are numbered on both sides, so each meets one draw.
+    drawn = mix(docs, by_text=True).withColumn("name__", _name("raw"))
+    nth = Window.partitionBy("name__")
+    drawn = drawn.withColumn("nth__", F.row_number().over(nth.orderBy(F.desc("taken"), "shard", "again_shard"))).where("taken > 0")
     drawn = drawn.select(
-        F.col("doc_id").alias("of"), "size", "source_size", "target", "taken", "place", F.explode(F.filter(F.array("shard", "again_shard"), lambda x: x.isNotNull())).alias("shard")
+        "name__", "nth__", "size", "source_size", "target", "taken", "place", F.explode(F.filter(F.array("shard", "again_shard"), lambda x: x.isNotNull())).alias("shard")
     )
-    rows = Shelf(spark, "mixed").put(drawn.distinct())
-    return docs.join(rows, docs["doc_id"].eqNullSafe(rows["of"])).drop("of")
+    rows = Shelf(spark, "mixed").put(drawn)
+    named = docs.withColumn("name__", _name(_raw())).withColumn("nth__", F.row_number().over(nth.orderBy("doc_id")))
+    return named.join(rows, ["name__", "nth__"]).drop("name__", "nth__")
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

@@ -27,6 +27,11 @@ def _draw(*parts: str | Column) -> Column:
     return F.md5(F.concat_ws("/", *parts))
 
 
+def raw_of(text: str) -> Column:
+    """The MD5 of a text, which with doc_id names a row."""
+    return F.md5(F.coalesce(F.col(text).cast("string"), F.lit("")))
+
+
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
     """(source, words, target): 150% of all words shared by weight, at most twice a source's own.
 
@@ -51,17 +56,21 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
     return full.select("source", "words", "all_words", F.when(F.col("full"), d("words") * 2).otherwise(share).alias("target"))
 
 
-def mix(docs: DataFrame, levels: int = 6, seed: str = "mix", block_words: int = 100_000) -> DataFrame:
+def mix(docs: DataFrame, levels: int = 6, seed: str = "mix", block_words: int = 100_000, by_text: bool = False) -> DataFrame:
     """(doc_id, size, source_size, target, taken, shard, again_shard, place) for each row of ``docs`` (doc_id, text, source).
 
     ``size`` counts the words of the whole text, 0 for a null; ``taken`` is size times how often the mix has the row, 0 to 2
     times. ``shard`` and ``again_shard`` are those of the first and second time, else null. A null source is a source
     of its own, in the last place. The draw depends on doc_id and ``seed`` only, so reruns agree; rows with the same
     doc_id stand side by side. Other columns are ignored; an empty table gives an empty one.
+
+    With ``by_text`` the draw depends on the text as well, so rows with a null or repeated doc_id are spread like others, and
+    the result has ``raw``, the MD5 of the text, and ``source``, to name the row.
     """
     shelf = Shelf(docs.sparkSession, "mix")
+    name = ["raw"] if by_text else []
     size = F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(WORD)), F.lit(0)).cast("long")
-    rows = shelf.put(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), size.alias("size")))
+    rows = shelf.put(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), size.alias("size"), *[raw_of("text").alias(c) for c in name]))
     of_source = shelf.put(targets(rows.groupBy("source").agg(F.sum("size").alias("words"))))
     per_block = F.greatest(F.lit(block_words), F.expr(f"all_words div {MOST_BLOCKS} + 1"))
     of_source = (
@@ -71,7 +80,7 @@ def mix(docs: DataFrame, levels: int = 6, seed: str = "mix", block_words: int =
         .withColumn("more", F.col("target") - F.col("times") * F.col("words"))
         .select(F.col("source").alias("s"), "words", "target", "blocks", "times", "more")
     )
-    order = _draw(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))
+    order = _draw(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), *name)
     placed = rows.withColumn("place", order).join(of_source, F.col("source").eqNullSafe(F.col("s")))
     block = F.floor(F.conv(F.substring("place", 1, 8), 16, 10).cast("long") * F.col("blocks") / F.lit(1 << 32)).cast("long")
     placed = placed.withColumn("block", block)
@@ -90,7 +99,7 @@ def mix(docs: DataFrame, levels: int = 6, seed: str = "mix", block_words: int =
     shards = drawn.groupBy("s", "block").agg(F.min(F.when(F.col("time") == 1, F.col("node"))).alias("first_shard"), F.min(F.when(F.col("time") == 2, F.col("node"))).alias("second_shard"))
     of_block = shelf.put(blocks.join(shards.withColumnsRenamed({"s": "s2", "block": "b2"}), F.col("s").eqNullSafe(F.col("s2")) & (F.col("block") == F.col("b2"))).select(F.col("s").alias("s2"), F.col("block").alias("b2"), "from_word", "first_shard", "second_shard"))
 
-    inside = Window.partitionBy("source", "block").orderBy("place", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("source", "block").orderBy("place", "doc_id", "size", *name).rowsBetween(Window.unboundedPreceding, -1)
     own = placed.withColumn("ahead", F.coalesce(F.sum("size").over(inside), F.lit(0)))
     own = own.join(of_block, F.col("source").eqNullSafe(F.col("s2")) & (F.col("block") == F.col("b2")))
     more = ((F.col("from_word") + F.col("ahead")) * 2 + F.col("size") < F.col("more") * 2).cast("long")
@@ -104,6 +113,8 @@ def mix(docs: DataFrame, levels: int = 6, seed: str = "mix", block_words: int =
         F.when(F.col("copies") > 0, F.col("first_shard")).alias("shard"),
         F.when(F.col("copies") > 1, F.col("second_shard")).alias("again_shard"),
         "place",
+        *name,
+        *(["source"] if by_text else []),
     )
 
 

@@ -1,3 +1,4 @@
+import collections
 import random
 
 import corpus_pipeline
@@ -40,3 +41,27 @@ def test_stages_on_empty_tables(spark, tmp_path):
     spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs, str(tmp_path)).count() == 0
+
+
+def test_mix_of_null_and_repeated_ids(spark, tmp_path):
+    rng = random.Random(19)
+    rows = [(None, prose(rng, 5 + i), "en", f"s{i % 3}") for i in range(60)]
+    rows += [(7, prose(rng, 70 + i), "en", f"s{i % 3}") for i in range(30)]
+    rows += [(8, "the same text of one id", "en", f"s{i % 2}") for i in range(6)] + [(100 + i, prose(rng, 20), "en", None) for i in range(20)]
+    key = lambda d, t, s: (d, t, s)
+    out = corpus_pipeline.mix_stage(spark, documents(spark, rows), str(tmp_path)).collect()
+    given = collections.Counter(key(d, t, s) for d, t, _, s in rows)
+    sizes, targets = collections.Counter(), {}
+    for _, text, _, source in rows:
+        sizes[source] += len(text.split())
+    got, drawn = collections.Counter(), collections.Counter()
+    for r in out:
+        k = key(r["doc_id"], r["text"], r["source"])
+        got[k] += 1
+        drawn[r["source"]] += r["size"]
+        assert r["size"] == len(r["text"].split()) and r["source_size"] == sizes[r["source"]]
+        assert targets.setdefault(r["source"], r["target"]) == r["target"] <= 2 * sizes[r["source"]]
+    assert all(got[k] <= 2 * given[k] for k in got)
+    for source, target in targets.items():
+        largest = max(len(t.split()) for _, t, _, s in rows if s == source)
+        assert abs(drawn[source] - target) <= largest / 2 + 1e-6
