@@ -1,8 +1,8 @@
 """Language identification by Bayesian evidence fusion.
 
 1. Text likelihood: byte trigrams (A-Z lower-cased, ``BUCKETS`` hash buckets) of the whole texts are counted by declared
-   language over all rows. A language with less than ``least_share`` of the declared rows has no model, so there are at most
-   1 / least_share of them. Each row gets its mean log likelihood by language, times at most ``weight`` trigrams.
+   language over all rows. Every declared language with a trigram has a model, of the buckets it was seen in (``least_share`` of the
+   declared rows is a bound for the caller to set). Each row gets its mean log likelihood by language, times at most ``weight`` trigrams.
 2. Declared language and address suffix: how often texts of a language (by likelihood) carry each value.
 3. Host prior: counts of languages by host, smoothed with ``mass`` rows of the domain's shares, and these of all rows'.
    All counts are grouped aggregations, so a host with a third of the rows is summed before the shuffle.
@@ -19,7 +19,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridweave.llm.shelf import Shelf
-from gridweave.llm.sums import summed
 from gridweave.llm.words import LOWER, Block, blocks, per_text
 
 BUCKETS = 1 << 15
@@ -43,28 +42,41 @@ def _trigrams(block: Block) -> tuple[np.ndarray, np.ndarray]:
     return bucket, inside
 
 
-def _counted(rows: DataFrame, languages: list[str]) -> np.ndarray:
-    """Trigram counts by declared language."""
+def _counted(rows: DataFrame, languages: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(buckets, trigrams in them) by declared language, in order of the buckets."""
     number = {x: i for i, x in enumerate(languages)}
 
-    def part(batches: Iterator[pa.RecordBatch]) -> dict[int, np.ndarray]:
-        total = np.zeros((len(languages), BUCKETS))
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             own = np.array([number.get(x, -1) for x in batch["declared"].to_pylist()])
             for block in blocks(batch["text"]):
                 bucket, inside = _trigrams(block)
                 language = np.repeat(own[block.first : block.first + len(block.offsets) - 1], np.diff(block.offsets))
                 inside &= language >= 0
-                total += np.bincount(language[inside] * BUCKETS + bucket[inside], minlength=total.size).reshape(total.shape)
-        return dict(enumerate(total))
+                keys, n = np.unique(language[inside] * BUCKETS + bucket[inside], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(n, pa.int64())], ["key", "n"])
+
+    total = rows.select("declared", "text").mapInArrow(made, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).toArrow()
+    keys, n = total["key"].to_numpy(), total["n"].to_numpy()
+    order = np.argsort(keys)
+    keys, n = keys[order], n[order]
+    cuts = np.searchsorted(keys, np.arange(1, len(languages)) * BUCKETS)
+    return [(k % BUCKETS, x) for k, x in zip(np.split(keys, cuts), np.split(n, cuts))]
+
+
+def _model(counted: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[float, np.ndarray, np.ndarray]]:
+    """(log likelihood of a bucket not seen, buckets seen, theirs) by language."""
+    totals = [n.sum() + 0.5 * BUCKETS for _, n in counted]
+    return [(float(np.log(0.5 / t)), k.astype(np.int32), np.log((n + 0.5) / t)) for (k, n), t in zip(counted, totals)]
+
 
-    out = np.zeros((len(languages), BUCKETS))
-    for i, total in summed(rows.select("declared", "text"), part, BUCKETS).items():
-        out[i] = total
+def _dense(unseen: float, seen: np.ndarray, fits: np.ndarray) -> np.ndarray:
+    out = np.full(BUCKETS, unseen)
+    out[seen] = fits
     return out
 
 
-def _likelihoods(rows: DataFrame, model: np.ndarray) -> DataFrame:
+def _likelihoods(rows: DataFrame, model: list[tuple[float, np.ndarray, np.ndarray]]) -> DataFrame:
     """Each row with its number of trigrams and its mean log likelihood by language, without its text."""
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -73,7 +85,7 @@ def _likelihoods(rows: DataFrame, model: np.ndarray) -> DataFrame:
                 bucket, inside = _trigrams(block)
                 n = len(block.offsets) - 1
                 many = per_text(inside.astype(np.int64), block.offsets)
-                scores = np.stack([per_text(np.where(inside, m[bucket], 0.0), block.offsets) / np.maximum(many, 1) for m in model], axis=1)
+                scores = np.stack([per_text(np.where(inside, _dense(*m)[bucket], 0.0), block.offsets) / np.maximum(many, 1) for m in model], axis=1)
                 rest = [batch[c].slice(block.first, n) for c in ("row_id", "raw", "declared", "suffix", "host", "domain")]
                 lists = pa.ListArray.from_arrays(np.arange(0, scores.size + 1, len(model), dtype=np.int32), scores.ravel())
                 yield pa.RecordBatch.from_arrays([*rest, pa.array(many), lists], ["row_id", "raw", "declared", "suffix", "host", "domain", "trigrams", "fit"])
@@ -83,7 +95,7 @@ def _likelihoods(rows: DataFrame, model: np.ndarray) -> DataFrame:
 
 def identify(
     rows: DataFrame,
-    least_share: float = 0.001,
+    least_share: float = 0.0,
     weight: int = 100,
     mass: float = 20.0,
     least: float = 0.5,
@@ -108,38 +120,43 @@ def identify(
         text.alias("text"),
     ).withColumn("declared", F.nullif("declared", F.lit("")))
     declared = rows.where("declared is not null").groupBy("declared").count()
-    # Above its share there are at most 1 / least_share languages, and codes of three letters bound the rest.
+    # Codes of two or three letters, so their number has a bound.
     counts = {r["declared"]: r["count"] for r in declared.collect()}
     languages = sorted(x for x, n in counts.items() if n >= least_share * sum(counts.values()))
     if not languages:
         null = F.lit(None)
         return rows.select("row_id", "raw", null.cast("string").alias("language"), null.cast("double").alias("posterior"), null.cast("string").alias("text_language"), "declared", F.coalesce(text.rlike(r"\p{L}"), F.lit(False)).alias("accepted"))
-    seen = _counted(rows, languages)
-    model = np.log((seen + 0.5) / (seen + 0.5).sum(axis=1, keepdims=True))
-    own = shelf.put(_likelihoods(rows, model))
+    # A language without a trigram has nothing to learn from.
+    learnt = [(x, c) for x, c in zip(languages, _counted(rows, languages)) if len(c[0])] or [(x, (np.zeros(0, np.int64),) * 2) for x in languages]
+    languages = [x for x, _ in learnt]
+    own = shelf.put(_likelihoods(rows, _model([c for _, c in learnt])))
 
-    names = F.array(*[F.lit(x) for x in languages])
+    names = F.split(F.lit(",".join(languages)), ",")
     best = F.when(F.col("trigrams") > 0, F.element_at(names, F.array_position("fit", F.array_max("fit")).cast("int")))
     own = own.withColumn("text_language", best)
     known = own.where("text_language is not null")
 
-    per_language = F.array(*[F.coalesce(F.sum(F.when(F.col("text_language") == x, 1.0).otherwise(0.0)), F.lit(0.0)) for x in languages])
+    def tallied(table: DataFrame, *keys: str) -> DataFrame:
+        """(keys, n, rows): rows by language, and all."""
+        each = table.groupBy(*keys, "text_language").agg(F.count(F.lit(1)).alias("m"))
+        pairs = F.map_from_entries(F.collect_list(F.struct("text_language", F.col("m").cast("double"))))
+        each = each.groupBy(*keys).agg(pairs.alias("of"), F.coalesce(F.sum("m"), F.lit(0)).alias("rows"))
+        return each.select(*keys, F.transform(names, lambda x: F.coalesce(F.element_at("of", x), F.lit(0.0))).alias("n"), "rows")
 
     def smoothed(base: Column) -> Column:
         return F.zip_with("n", base, lambda n, b: (n + mass * b) / (F.col("rows") + mass))
 
-    grouped = lambda *keys: known.groupBy(*keys).agg(per_language.alias("n"), F.count(F.lit(1)).alias("rows"))
-    everywhere = known.agg(per_language.alias("n"), F.count(F.lit(1)).alias("rows"))
+    everywhere = tallied(known)
     everywhere = everywhere.select(smoothed(F.array_repeat(F.lit(1.0 / len(languages)), len(languages)))).first()[0]
-    domains = grouped("domain").select(F.col("domain").alias("of"), smoothed(F.array(*[F.lit(float(x)) for x in everywhere])).alias("base"))
-    hosts = grouped("host", "domain").join(domains, F.col("domain").eqNullSafe(F.col("of")))
+    domains = tallied(known, "domain").select(F.col("domain").alias("of"), smoothed(F.array(*[F.lit(float(x)) for x in everywhere])).alias("base"))
+    hosts = tallied(known, "host", "domain").join(domains, F.col("domain").eqNullSafe(F.col("of")))
     hosts = hosts.select("host", "domain", smoothed(F.col("base")).alias("share"))
     evidence = []
     for column in ("declared", "suffix"):
         # P(value | language): counts of value by language over those of the language, with one row of mass.
         each = known.where(F.col(column).isNotNull())
-        by_value = each.groupBy(column).agg(per_language.alias("n"))
-        total = each.agg(per_language).first()[0]
+        by_value = tallied(each, column)
+        total = tallied(each).first()["n"]
         total = F.array(*[F.lit(float(x)) for x in total])
         evidence.append((column, by_value.select(F.col(column).alias(f"{column}_value"), F.zip_with("n", total, lambda n, t: F.log((n + 0.1) / (t + 1.0))).alias(f"{column}_fit"))))
 

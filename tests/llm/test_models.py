@@ -70,6 +70,15 @@ def test_languages(spark):
     assert sorted((r["row_id"], r["language"], r["accepted"]) for r in blind) == [(1, None, True), (2, None, False)]
 
 
+def test_languages_with_few_declared_rows(spark):
+    rng = random.Random(23)
+    spell = {"en": "abcde", "da": "vwxyz"}
+    text = lambda lang: " ".join("".join(rng.choice(spell[lang]) for _ in range(3)) for _ in range(60))
+    rows = [(i, text("en"), "en", "h") for i in range(3000)] + [(9000 + i, text("da"), "da", "h") for i in range(2)]
+    got = {r["row_id"]: r for r in document_languages(documents(spark, rows)).collect()}
+    assert all(got[i]["language"] == lang and got[i]["accepted"] for i, _, lang, _ in rows)
+
+
 def test_page_languages(spark):
     html = lambda lang, text: f'<html lang="{lang}"><script>var queeaumentoir;</script><p>{text}</p></html>'
     en, fr = "the thing and this is whithering " * 8, "eau beaucoup que tout moment voir "
