@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from gridweave.llm import language, mixing, quality, secrets, toolcalls, units, urls
+from gridweave.llm.align import align
 from gridweave.llm.exact import exact_duplicates
 from gridweave.llm.leaks import leaks
 from gridweave.llm.near import near_duplicates
 from gridweave.llm.registry import query
+from gridweave.llm.suffixes import without_repeats
+from gridweave.llm.whiten import whiten
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -76,6 +80,23 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toolcalls.tool_lines(table(spark, sf_dir, "conversations"))
 
 
+@query("op11_whitened_embeddings")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(table(spark, sf_dir, "embeddings"))
+
+
+@query("op12_token_alignment")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    groups = F.when(F.col("groups") == "", "").otherwise(F.sha2("groups", 256))
+    return align(table(spark, sf_dir, "documents")).withColumn("groups_sha256", groups).drop("groups")
+
+
+@query("op13_repeated_substrings")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = without_repeats(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_bytes", "n_removed", F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 @query("pipeline")
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline

@@ -21,11 +21,11 @@ class Shelf:
         self.folder = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         self._count = 0
 
-    def put(self, df: DataFrame) -> DataFrame:
+    def put(self, df: DataFrame, codec: str = "snappy") -> DataFrame:
         """Write the rows and return the table that reads them."""
         self._count += 1
         path = f"{self.folder}/{self._count}"
-        df.write.parquet(path)
+        df.write.option("compression", codec).parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._shelf_path = path
         return out
