@@ -50,7 +50,8 @@ MODELS = (
 
 @dataclass(frozen=True)
 class Boost:
-    """Settings of a boosted model. ``leaves`` 0 grows by level; ``depth`` 0 has no limit; ``patience`` 0 never stops early."""
+    """Settings of a boosted model. ``leaves`` 0 grows by level; ``depth`` 0 has no limit; ``patience`` 0 never stops early.
+    ``categories`` names the features that are split by value instead of order."""
 
     trees: int = 1000
     rate: float = 0.05
@@ -67,6 +68,7 @@ class Boost:
     least_rows: int = 1
     patience: int = 0
     seed: int = 42
+    categories: tuple[str, ...] = ()
 
 
 # The profiles and the two learners of the refresh run.
@@ -76,7 +78,7 @@ PROFILES = {
     "aggressive": Boost(2500, 0.03, 4, row_share=0.7, column_share=0.7, alpha=1.0, lam=5.0, patience=150),
     "ultra_temporal": Boost(5000, 0.01, 3, row_share=0.6, column_share=0.6, alpha=2.0, lam=10.0, patience=200),
     "extreme_temporal": Boost(8000, 0.005, 2, row_share=0.5, column_share=0.5, level_share=0.5, alpha=5.0, lam=20.0, gamma=1.0, least_weight=10.0, patience=300),
-    "leaf_wise": Boost(1000, 0.05, 0, leaves=31, row_share=0.8, row_every=5, column_share=0.9, alpha=0.0, lam=0.0, least_weight=1e-3, least_rows=20, patience=100),
+    "leaf_wise": Boost(1000, 0.05, 0, leaves=31, row_share=0.8, row_every=5, column_share=0.9, lam=0.0, least_weight=1e-3, least_rows=20, patience=100),
     "refresh_levels": Boost(300, 0.1, 8, row_share=0.9, column_share=0.9, alpha=0.1, lam=1.0),
     "refresh_leaves": Boost(300, 0.1, 12, leaves=128, row_share=0.9, column_share=0.9, alpha=0.1, lam=1.0, least_weight=1e-3, least_rows=20),
 }
@@ -94,6 +96,13 @@ SEARCH_SPACE = {
 CATEGORY_SMOOTHING = 10.0
 
 
+class Feature(NamedTuple):
+    """A binned column: by its quantiles or, as a category, by its values."""
+
+    name: str
+    category: bool
+
+
 class Fit(NamedTuple):
     """A model to train: its columns by number, and the fold it is tested on (training takes the folds before)."""
 
@@ -300,10 +309,10 @@ def _answered(fit: Fit, categorical: np.ndarray, rows: Rows):
             return done.value
 
 
-def _row_of(zone, fit: Fit, names: Sequence[str], edges: dict[str, np.ndarray], categories: Sequence[str], result) -> tuple:
+def _row_of(zone, fit: Fit, features: Sequence[Feature], edges: dict[Feature, np.ndarray], result) -> tuple:
     """The row of MODELS of a grown model, with thresholds and categories instead of bins."""
     base, trees, grown, held = result
-    own = [names[c] for c in fit.columns]
+    own = [features[c] for c in fit.columns]
     roots, feature, threshold, missing, sets, left, right, value, gain = [], [], [], [], [], [], [], [], []
     for tree in trees:
         first = len(feature)
@@ -318,36 +327,40 @@ def _row_of(zone, fit: Fit, names: Sequence[str], edges: dict[str, np.ndarray],
         gain += [0.0] * n
         value += tree.value.tolist()
         for split in tree.splits:
-            at, name = first + split.node, own[split.column]
+            at, column = first + split.node, own[split.column]
             feature[at], missing[at], gain[at] = split.column, bool(split.goes_left[0]), float(split.gain)
             left[at], right[at] = first + split.left, first + split.right
-            borders = edges.get(name, np.zeros(0))
-            if name in categories:
+            borders = edges[column]
+            if column.category:
                 sets[at] = [float(borders[b - 1]) for b in np.flatnonzero(split.goes_left[1 : len(borders) + 1]) + 1]
             else:
                 b = int(np.flatnonzero(split.goes_left[1:])[-1])
                 threshold[at] = float(borders[b]) if b < len(borders) else float("inf")
     n = int(held[0])
     mae, mape = (float(held[1] / n), float(held[2] / n * 100)) if n else (None, None)
-    return (zone, fit.model, fit.fold, own, base, roots, feature, threshold, missing, sets, left, right, value, gain, len(trees), grown, n, mae, mape)
+    return (zone, fit.model, fit.fold, [c.name for c in own], base, roots, feature, threshold, missing, sets, left, right, value, gain, len(trees), grown, n, mae, mape)
 
 
-def bin_edges(df: DataFrame, features: Sequence[str], categories: Sequence[str], bins: int) -> dict[str, dict[str, np.ndarray]]:
-    """{zone: {column: rising borders, or the categories}} of at most ``MOST_ZONES`` zones.
+def bin_edges(df: DataFrame, features: Sequence[Feature], bins: int) -> dict[str, dict[Feature, np.ndarray]]:
+    """{zone: {feature: rising borders, or the categories}} of at most ``MOST_ZONES`` zones.
 
     A number x falls in the bin of the first border that is not smaller.
     """
     shares = [i / bins for i in range(1, bins)]
     value = lambda c: F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double"))
-    wanted = [(F.array_sort(F.collect_set(value(c))) if c in categories else F.percentile_approx(value(c), shares, 100 * bins)).alias(f"c{i}") for i, c in enumerate(features)]
+    wanted = [
+        (F.array_sort(F.collect_set(value(c.name))) if c.category else F.percentile_approx(value(c.name), shares, 100 * bins)).alias(f"c{i}")
+        for i, c in enumerate(features)
+    ]
+    categories = [c.name for c in features if c.category]
     if categories:
         counts = df.agg(*[F.approx_count_distinct(c).alias(f"c{i}") for i, c in enumerate(categories)]).first()
         if max(counts) > 2 * MOST_CATEGORIES:
             raise ValueError(f"a categorical column has about {max(counts)} values; {MOST_CATEGORIES} are the most")
     out = {}
     for r in df.groupBy("zone").agg(*wanted).limit(MOST_ZONES + 1).toLocalIterator():
-        out[r["zone"]] = {c: np.unique(np.array(r[f"c{i}"] or [], float)) for i, c in enumerate(features)}
-        if any(len(out[r["zone"]][c]) > MOST_CATEGORIES for c in categories):
+        own = out[r["zone"]] = {c: np.unique(np.array(r[f"c{i}"] or [], float)) for i, c in enumerate(features)}
+        if any(len(own[c]) > MOST_CATEGORIES for c in features if c.category):
             raise ValueError(f"a categorical column of {r['zone']} has more than {MOST_CATEGORIES} values")
     if len(out) > MOST_ZONES:
         raise ValueError(f"more than {MOST_ZONES} zones")
@@ -367,10 +380,10 @@ def numbers(column: pa.Array) -> np.ndarray:
     return np.asarray(column.cast(pa.float64(), safe=False).to_numpy(zero_copy_only=False), float)
 
 
-def _binned(df: DataFrame, features, categories, edges, target, weight, holdout, key) -> DataFrame:
+def _binned(df: DataFrame, features: Sequence[Feature], edges, target, weight, holdout, key) -> DataFrame:
     """(zone, bins, y, w, key, held, fold) of the rows that have a zone and a target."""
     rows = df.select(
-        "zone", *[F.col(c).cast("double").alias(f"c{i}") for i, c in enumerate(features)], F.col(target).cast("double").alias("y"),
+        "zone", *[F.col(c.name).cast("double").alias(f"c{i}") for i, c in enumerate(features)], F.col(target).cast("double").alias("y"),
         (F.col(weight).cast("double") if weight else F.lit(1.0)).alias("w"), F.xxhash64(*key).alias("key"),
         (F.coalesce(F.col(holdout), F.lit(False)) if holdout else F.lit(False)).alias("held"),
         (F.col("fold").cast("int") if "fold" in df.columns else F.lit(0)).alias("fold"),
@@ -384,7 +397,7 @@ def _binned(df: DataFrame, features, categories, edges, target, weight, holdout,
             for zone in dict.fromkeys(zones):
                 own = np.flatnonzero(zones == zone)
                 for i, c in enumerate(features):
-                    out[own, i] = _bins_of(numbers(batch[f"c{i}"])[own], sent.value[zone][c], c in categories) if zone in sent.value else 0
+                    out[own, i] = _bins_of(numbers(batch[f"c{i}"])[own], sent.value[zone][c], c.category) if zone in sent.value else 0
             yield pa.RecordBatch.from_arrays(
                 [batch["zone"], pa.array([r.tobytes() for r in out], pa.binary()), *(batch[c] for c in ("y", "w", "key", "held", "fold"))],
                 ["zone", "bins", "y", "w", "key", "held", "fold"],
@@ -405,31 +418,31 @@ def _arrays(part: pd.DataFrame | pa.RecordBatch, features: int) -> dict[str, np.
     return out | {"held": out["held"].astype(bool), "bins": np.frombuffer(b"".join(take("bins")), np.uint8).reshape(-1, features)}
 
 
-def _small(rows: DataFrame, fits, names, categories, edges, width) -> DataFrame:
+def _small(rows: DataFrame, fits: Sequence[Fit], features: Sequence[Feature], edges, width: int) -> DataFrame:
     sent = rows.sparkSession.sparkContext.broadcast(edges)
     lanes = min(LANES, len(fits))
 
     def train(key, part: pd.DataFrame) -> pd.DataFrame:
         zone, lane = key
-        columns, out = _arrays(part, len(names)), []
+        columns, out = _arrays(part, len(features)), []
         for fit in fits[lane::lanes]:
-            marks = np.array([names[c] in categories for c in fit.columns])
-            out.append(_row_of(zone, fit, names, sent.value[zone], categories, _answered(fit, marks, _view(columns, fit, width))))
+            marks = np.array([features[c].category for c in fit.columns])
+            out.append(_row_of(zone, fit, features, sent.value[zone], _answered(fit, marks, _view(columns, fit, width))))
         return pd.DataFrame(out, columns=[x.split()[0] for x in MODELS.split(", ")])
 
     spread = rows.withColumn("lane", F.explode(F.sequence(F.lit(0), F.lit(lanes - 1))))
     return spread.groupBy("zone", "lane").applyInPandas(train, MODELS)
 
 
-def _large(rows: DataFrame, zone: str, fits, names, categories, edges, width) -> list[tuple]:
+def _large(rows: DataFrame, zone: str, fits: Sequence[Fit], features: Sequence[Feature], edges, width: int) -> list[tuple]:
     """Models of one zone, each step summed by a job over all its rows."""
-    marks = [np.array([names[c] in categories for c in fit.columns]) for fit in fits]
+    marks = [np.array([features[c].category for c in fit.columns]) for fit in fits]
     growths = [grow(fit.settings, len(fit.columns), m) for fit, m in zip(fits, marks)]
     asks, done = {i: next(g) for i, g in enumerate(growths)}, {}
     table, written = stored(rows.withColumn("scores", F.lit(None).cast("binary"))), [0] * len(fits)
 
     def views(part, state):
-        columns = _arrays(part, len(names))
+        columns = _arrays(part, len(features))
         scores = part["scores"].to_pylist()
         known = np.frombuffer(b"".join(scores)).reshape(len(scores), -1) if scores and scores[0] is not None else None
         for i, (ask, skipped) in state.items():
@@ -483,7 +496,7 @@ def _large(rows: DataFrame, zone: str, fits, names, categories, edges, width) ->
             except StopIteration as end:
                 done[i] = end.value
                 del asks[i]
-    return [_row_of(zone, fit, names, edges[zone], categories, done[i]) for i, fit in enumerate(fits)]
+    return [_row_of(zone, fit, features, edges[zone], done[i]) for i, fit in enumerate(fits)]
 
 
 def fit_boosted(
@@ -492,7 +505,6 @@ def fit_boosted(
     target: str = "load",
     weight: str | None = None,
     holdout: str | None = None,
-    categories: Sequence[str] = (),
     key: Sequence[str] = ("zone", "timestamp"),
     folds: Sequence[int] | None = None,
     bins: int = 64,
@@ -504,18 +516,19 @@ def fit_boosted(
     weight are left out; missing features have a bin of their own. An empty table gives an empty one.
     """
     spark = df.sparkSession
-    names = list(dict.fromkeys(c for features, _ in models.values() for c in features))
-    fits = [Fit(m, s, tuple(names.index(c) for c in features), k) for m, (features, s) in models.items() for k in (folds or (None,))]
+    wanted = {m: [Feature(c, c in s.categories) for c in names] for m, (names, s) in models.items()}
+    features = list(dict.fromkeys(c for own in wanted.values() for c in own))
+    fits = [Fit(m, s, tuple(map(features.index, wanted[m])), k) for m, (_, s) in models.items() for k in (folds or (None,))]
     used = df.where(F.col("zone").isNotNull())
-    edges = bin_edges(used, names, categories, bins)
+    edges = bin_edges(used, features, bins)
     if not edges:
         return spark.createDataFrame([], MODELS)
     width = 3 + max(len(e) for own in edges.values() for e in own.values())
-    rows = stored(_binned(used, names, categories, edges, target, weight, holdout, key))
+    rows = stored(_binned(used, features, edges, target, weight, holdout, key))
     limit = setting(spark, "gridweave.rowsPerChunk", ROWS_PER_CHUNK)
     large = [r["zone"] for r in rows.groupBy("zone").count().where(F.col("count") > limit).collect()]  # of at most MOST_ZONES
-    out = _small(rows.where(~F.col("zone").isin(large)), fits, names, categories, edges, width)
-    found = [r for zone in large for r in _large(rows.where(F.col("zone") == zone), zone, fits, names, categories, edges, width)]
+    out = _small(rows.where(~F.col("zone").isin(large)), fits, features, edges, width)
+    found = [r for zone in large for r in _large(rows.where(F.col("zone") == zone), zone, fits, features, edges, width)]
     return stored(out.unionByName(spark.createDataFrame(found, MODELS)) if found else out)
 
 
@@ -573,6 +586,11 @@ def _nulls(values: np.ndarray) -> pa.Array:
     return pa.array(values, pa.float64(), mask=np.isnan(values))
 
 
+def model_names(models: DataFrame) -> list[str]:
+    """The names of the models in the table, which its caller gave."""
+    return sorted(r[0] for r in models.select("model").distinct().collect())
+
+
 def score_boosted(df: DataFrame, models: DataFrame) -> DataFrame:
     """``df`` with a column for each model of the table; null where the row's zone (or none) has no such model.
 
@@ -580,7 +598,7 @@ def score_boosted(df: DataFrame, models: DataFrame) -> DataFrame:
     the models of their zone by a join on the zone and a part of it.
     """
     size = models.agg(F.coalesce(F.sum(F.size("feature").cast("long") + 10), F.lit(0))).first()[0]
-    names = sorted(r[0] for r in models.select("model").distinct().collect())  # names given by the caller
+    names = model_names(models)
     used = sorted({c for r in models.select("model", "columns").distinct().toLocalIterator() for c in r["columns"]})
     clash = set(names) & set(df.columns)
     if clash:

@@ -1,8 +1,8 @@
-"""Training with MLlib: scaling, boosted trees, forests, search, importances, per-zone fits."""
+"""Training: scaling, forests and linear models with MLlib, fits for each zone, search, importances. Boosting is in boosting.py."""
 
 from __future__ import annotations
 
-import itertools
+import math
 import random
 from collections.abc import Callable, Sequence
 from concurrent.futures import ThreadPoolExecutor
@@ -19,8 +19,7 @@ from pyspark.sql import functions as F
 from gridweave.core.quantiles import with_quantiles
 from gridweave.core.series import with_position
 from gridweave.functions import calendar as cal
-from gridweave.operators import metrics as mt
-from gridweave.session import stored
+from gridweave.plans.boosting import SEARCH_SPACE, Boost, fit_boosted, score_boosted, tree_importances
 
 CALENDAR = ["hour", "day_of_week", "month", "is_weekend"]
 CYCLIC = ["hour_sin", "hour_cos", "day_of_week_sin", "day_of_week_cos"]
@@ -133,16 +132,23 @@ def fit_zones(df: DataFrame, make: Callable[[str], Pipeline], zones: Sequence[st
     return dict(zip(zones, in_threads(df.sparkSession, jobs, threads)))
 
 
-def score_zones(df: DataFrame, models: dict[str, PipelineModel], name: str = "prediction") -> DataFrame:
-    """Rows of each zone scored by its own model; rows of a zone without one, or of none, keep a null prediction."""
+def score_zones(df: DataFrame, models: dict[str, PipelineModel] | DataFrame, name: str = "prediction") -> DataFrame:
+    """Rows of each zone scored by its own model; rows of a zone without one, or of none, keep a null prediction.
+
+    A table of models has one model for each zone here.
+    """
+    if isinstance(models, DataFrame):
+        return score_boosted(df, models.withColumn("model", F.lit(name)))
     return score_zones_by(df, {name: models})
 
 
-def score_zones_by(df: DataFrame, models: dict[str, dict[str, PipelineModel]]) -> DataFrame:
-    """Rows scored by several models of their zone at once: {column: {zone: model}}.
+def score_zones_by(df: DataFrame, models: dict[str, dict[str, PipelineModel]] | DataFrame) -> DataFrame:
+    """Rows scored by several models of their zone at once: a table of boosted models, in one pass, or {column: {zone: model}}.
 
-    A zone is one branch for all its models, so the number of scans is that of the zones, however many models there are.
+    With the latter a zone is one branch for all its models, so the number of scans is that of the zones.
     """
+    if isinstance(models, DataFrame):
+        return score_boosted(df, models)
     zones = sorted({z for per_zone in models.values() for z in per_zone})
     known = F.coalesce(F.col("zone").isin(zones), F.lit(False))
     nothing = F.lit(None).cast("double")
@@ -166,36 +172,39 @@ def time_folds(df: DataFrame, folds: int, order: Sequence[str] = ("timestamp",))
     return df.withColumn("fold", F.floor(F.col("fold_pos") * (folds + 1) / F.col("fold_n")).cast("int")).drop("fold_pos", "fold_n")
 
 
-def random_settings(space: dict[str, Sequence], n: int, base: Profile = Profile(), seed: int = 42) -> list[Profile]:
+def random_settings(n: int, space: dict[str, Sequence] = SEARCH_SPACE, base: Boost = Boost(), seed: int = 42) -> list[Boost]:
     """n distinct settings drawn from the space."""
-    every = list(itertools.product(*space.values()))
-    drawn = random.Random(seed).sample(every, min(n, len(every)))
-    return [replace(base, **dict(zip(space, values))) for values in drawn]
-
-
-def search(
-    df: DataFrame, features: Sequence[str], settings: Sequence[Profile], folds: int = 5, target: str = "load", weight: str | None = None, threads: int = 4
-) -> DataFrame:
-    """MAPE of each setting over expanding time folds, best first."""
-    data = stored(time_folds(df, folds))
-
-    def run(i: int, k: int) -> tuple:
-        model = boosted(features, settings[i], target, weight).fit(data.where(F.col("fold") < k))
-        scored = model.transform(data.where(F.col("fold") == k))
-        return i, k, mt.core_metrics(scored, (), target, "prediction").first()["mape"]
-
-    jobs = [lambda i=i, k=k: run(i, k) for i in range(len(settings)) for k in range(1, folds + 1)]
-    rows = in_threads(df.sparkSession, jobs, threads)  # one number per fit
-    out = df.sparkSession.createDataFrame(rows, "setting int, fold int, mape double")
+    sizes = [len(v) for v in space.values()]
+    drawn = random.Random(seed).sample(range(math.prod(sizes)), min(n, math.prod(sizes)))
+    out = []
+    for number in drawn:
+        values = {}
+        for name, choices in space.items():
+            number, at = divmod(number, len(choices))
+            values[name] = choices[at]
+        out.append(replace(base, **values))
+    return out
+
+
+def search(df: DataFrame, features: Sequence[str], settings: Sequence[Boost], folds: int = 5, target: str = "load", weight: str | None = None) -> DataFrame:
+    """Mean MAPE of each setting over expanding time folds, for each zone and best first.
+
+    All settings and folds are trained together, so the rows are read as often as for one of them.
+    """
+    models = {f"{i:05d}": (features, s) for i, s in enumerate(settings)}
+    fitted = fit_boosted(time_folds(df, folds), models, target, weight, folds=range(1, folds + 1))
     named = df.sparkSession.createDataFrame(
-        [(i, s.trees, s.depth, s.rate) for i, s in enumerate(settings)], "setting int, trees int, depth int, rate double"
+        [(f"{i:05d}", i, s.trees, s.depth, float(s.rate), float(s.row_share), float(s.column_share), float(s.alpha), float(s.lam)) for i, s in enumerate(settings)],
+        "model string, setting int, trees int, depth int, rate double, row_share double, column_share double, alpha double, lam double",
     )
-    best = out.groupBy("setting").agg(F.avg("mape").alias("mean_mape"), F.count("fold").alias("folds"))
-    return best.join(named, "setting").orderBy("mean_mape")
+    best = fitted.where("held_n > 0").groupBy("zone", "model").agg(F.avg("held_mape").alias("mean_mape"), F.count("fold").alias("folds"))
+    return best.join(named, "model").drop("model").orderBy("zone", "mean_mape", "setting")
 
 
-def importances(spark: SparkSession, models: dict[str, PipelineModel], features: Sequence[str]) -> DataFrame:
-    """Importance (trees) or |coefficient| (linear) of each feature of each model."""
+def importances(spark: SparkSession, models: dict[str, PipelineModel] | DataFrame, features: Sequence[str] = ()) -> DataFrame:
+    """Importance (trees) or |coefficient| (linear) of each feature of each model; a table of models is named by its zones."""
+    if isinstance(models, DataFrame):
+        return tree_importances(models).select(F.col("zone").alias("model"), "feature", "importance")
     rows = []
     for name, model in models.items():
         last = model.stages[-1]
@@ -234,7 +243,7 @@ def compare_importances(table: DataFrame, first: str, second: str) -> DataFrame:
     return wide.withColumn("change", F.col(second) - F.col(first))
 
 
-def temporal_sensitivity(base: DataFrame, models: dict[str, PipelineModel], features: Sequence[str], hours: Sequence[int] = (2, 6, 10, 14, 18, 22), weekend: bool = True) -> DataFrame:
+def temporal_sensitivity(base: DataFrame, models: dict[str, PipelineModel] | DataFrame, features: Sequence[str], hours: Sequence[int] = (2, 6, 10, 14, 18, 22), weekend: bool = True) -> DataFrame:
     """Prediction for a base row per zone with the hour (and weekend) replaced; variation in percent."""
     days = [0, 5] if weekend else [0]
     grid = F.explode(F.array(*[F.struct(F.lit(h).alias("hour"), F.lit(d).alias("day_of_week")) for h in hours for d in days]))

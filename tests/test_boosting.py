@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from dataclasses import replace
 
 import numpy as np
 import pytest
@@ -108,8 +109,9 @@ def scores(df, models):
     ],
 )
 def test_equals_a_plain_search(spark, rows, table, settings, categories):
-    models = bo.fit_boosted(table, {"m": (FEATURES, settings)}, weight="w", holdout="held", categories=categories, bins=16)
-    edges = bo.bin_edges(table, FEATURES, categories, 16)["A"]
+    settings = replace(settings, categories=categories)
+    models = bo.fit_boosted(table, {"m": (FEATURES, settings)}, weight="w", holdout="held", bins=16)
+    edges = {c.name: e for c, e in bo.bin_edges(table, [bo.Feature(c, c in categories) for c in FEATURES], 16)["A"].items()}
     want = plain(rows, FEATURES, settings, categories, edges)
     assert scores(table, models) == pytest.approx(want, rel=1e-9)
     held = [(a, r[5]) for a, r in zip(want, rows) if r[7]]
@@ -120,10 +122,8 @@ def test_equals_a_plain_search(spark, rows, table, settings, categories):
 
 @pytest.mark.parametrize("profile", ["conservative", "leaf_wise"])
 def test_jobs_give_the_models_of_single_tasks(spark, table, profile):
-    from dataclasses import replace
-
-    two = {"m": (FEATURES, replace(bo.PROFILES[profile], trees=20)), "n": (FEATURES[:2], bo.Boost(18, 0.2, 2, row_share=0.5, patience=5))}
-    options = dict(weight="w", holdout="held", categories=["kind"])
+    two = {"m": (FEATURES, replace(bo.PROFILES[profile], trees=20, categories=("kind",))), "n": (FEATURES[:2], bo.Boost(18, 0.2, 2, row_share=0.5, patience=5))}
+    options = dict(weight="w", holdout="held")
     small = bo.fit_boosted(table, two, **options)
     spark.conf.set("gridweave.rowsPerChunk", "500")
     try:

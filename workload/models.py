@@ -1,8 +1,11 @@
-"""Queries that train or apply models. Their results have no SQL form; tests check properties."""
+"""Queries that train or apply models.
+
+The library's own profiles have no SQL form; tests check them. Boosting itself is checked by SQL with trees of one split.
+"""
 
 from __future__ import annotations
 
-import uuid
+from dataclasses import replace
 
 from pyspark.sql import functions as F
 
@@ -14,16 +17,22 @@ from gridweave.operators import quality as dq
 from gridweave.operators import weights as wt
 from gridweave.operators import windows as wn
 from gridweave.operators.joins import latest_lags, latest_per_key
+from gridweave.plans import boosting as bo
 from gridweave.plans import features as pf
 from gridweave.plans import forecast as fc
 from gridweave.plans import scoring as sc
 from gridweave.plans import training as tr
-from gridweave.session import shared_dir, stored
+from gridweave.session import stored
 from workload.harness import ORACLES, query
 
 FEATURES = ["hour", "day_of_week", "is_weekend", "hour_sin", "hour_cos", "load_lag_1h", "load_lag_24h"]
 ENHANCED = [*FEATURES, "temp_c", "humidity", "hour_cubed", "midday_peak", "afternoon_peak", "overnight_low"]
-SMALL = tr.Profile(trees=6, depth=3)
+CALENDAR = ("hour", "day_of_week", "is_weekend")
+CONSERVATIVE = bo.PROFILES["conservative"]
+LEAF_WISE = replace(bo.PROFILES["leaf_wise"], categories=CALENDAR)
+THREE = {"baseline": (FEATURES, CONSERVATIVE), "enhanced": (ENHANCED, CONSERVATIVE), "third": (FEATURES, LEAF_WISE)}
+
+_tables: dict[tuple, tuple] = {}
 
 
 def training_table(v):
@@ -34,8 +43,17 @@ def training_table(v):
     return stored(df.withColumn("is_val", F.col("split") == "val"))
 
 
-def models_of(df, features=ENHANCED, profile=SMALL):
-    return tr.fit_zones(df, lambda z: tr.boosted(features, profile, "load", "sample_weight", "is_val"), tr.zones_of(df))
+def trained(v):
+    """(training table, table of the three models), made once for the queries of a session over the same files."""
+    key = (v.spark.sparkContext.applicationId, v.dir)
+    if key not in _tables:
+        df = training_table(v)
+        _tables[key] = df, bo.fit_boosted(df, THREE, "load", "sample_weight", "is_val")
+    return _tables[key]
+
+
+def only(models, name):
+    return models.where(F.col("model") == name)
 
 
 @query("ml04_scaled_features", dbl="scaled_norm")
@@ -75,56 +93,45 @@ def _(v):
 
 @query("ml05_zone_boosting", dbl="load prediction")
 def _(v):
-    df = training_table(v)
-    return tr.score_zones(df.where("is_val"), models_of(df)).select("zone", "timestamp", "load", "prediction")
+    df, models = trained(v)
+    return tr.score_zones(df.where("is_val"), only(models, "enhanced")).select("zone", "timestamp", "load", "prediction")
 
 
 @query("ml06_categorical_boosting", dbl="load prediction")
 def _(v):
-    df = training_table(v)
-    models = models_of(df, FEATURES, tr.Profile(trees=6, depth=3, categorical=True, bins=24))
-    return tr.score_zones(df.where("is_val"), models).select("zone", "timestamp", "load", "prediction")
+    df, models = trained(v)
+    return tr.score_zones(df.where("is_val"), only(models, "third")).select("zone", "timestamp", "load", "prediction")
 
 
 @query("ml07_algorithm_comparison", dbl="mae rmse mape r2 max_error bias bias_pct median_ae")
 def _(v):
-    df = training_table(v)
-    zones, train = tr.zones_of(df), df.where("not is_val")
+    df, boosted = trained(v)
+    zones, train, val = tr.zones_of(df), df.where("not is_val"), df.where("is_val")
     models = {
-        "forest": tr.fit_zones(train, lambda z: tr.forest(ENHANCED, trees=10, depth=6), zones),
+        "forest": tr.fit_zones(train, lambda z: tr.forest(ENHANCED), zones),
         "linear": tr.fit_zones(train, lambda z: tr.linear(ENHANCED, weight="sample_weight"), zones),
-        "boosted": models_of(df),
     }
-    return sc.evaluate(df.where("is_val"), models)
+    return sc.evaluate(val, models).unionByName(sc.evaluate(val, only(boosted, "enhanced").withColumn("model", F.lit("boosted"))))
 
 
-@query("ml08_random_search", dbl="mean_mape rate")
+@query("ml08_random_search", dbl="mean_mape rate row_share column_share alpha lam")
 def _(v):
-    settings = tr.random_settings({"trees": [3, 5], "depth": [2, 3, 4], "rate": [0.05, 0.1, 0.2]}, 2)
-    return tr.search(training_table(v), FEATURES, settings, folds=2, weight="sample_weight")
+    return tr.search(trained(v)[0], FEATURES, tr.random_settings(18), folds=5, weight="sample_weight")
 
 
 @query("ml11_recursive_forecast", dbl="predicted_load")
 def _(v):
-    df = training_table(v)
+    df, _ = trained(v)
     names = ["hour", "day_of_week", "is_weekend", "hour_sin", "hour_cos", "load_lag_1h", "load_lag_24h", "temp_c", "humidity"]
-    model = tr.boosted(names, SMALL, "load", "sample_weight", "is_val").fit(df)
+    models = bo.fit_boosted(df, {"hourly": (names, CONSERVATIVE)}, "load", "sample_weight", "is_val")
     lags = latest_lags(v.load_hourly, (1, 24)).withColumnRenamed("timestamp", "issued_at")
     current = latest_per_key(v.weather_hourly, ["zone"], ["timestamp"]).select("zone", "temp_c", "humidity")
-    return sc.recursive_forecast(lags.join(current, "zone"), model, 6)
-
-
-def forecast_models(v):
-    df = training_table(v)
-    return {"baseline": models_of(df, FEATURES), "enhanced": models_of(df, ENHANCED)}
+    return sc.recursive_forecast(lags.join(current, "zone"), models, 24)
 
 
 def forecast_rows(v):
     rows = sc.horizon_features(v.load_hourly, v.weather_hourly, (1, 6, 12, 24, 48), forecast=v.forecast_hourly)
-    df = training_table(v)
-    third = tr.Profile(trees=6, depth=4)
-    models = {"baseline": models_of(df, FEATURES), "enhanced": models_of(df, ENHANCED), "third": models_of(df, FEATURES, third)}
-    return sc.direct_forecast(rows, models, weights=fc.ENSEMBLES["service"])
+    return sc.direct_forecast(rows, trained(v)[1], weights=fc.ENSEMBLES["service"])
 
 
 @query("ml12_direct_forecast", dbl="baseline enhanced third prediction improvement_pct lo95 hi95 temp_forecast_6h")
@@ -160,26 +167,23 @@ def _(v):
 
 @query("ml13_temporal_sensitivity", dbl="variation_pct")
 def _(v):
-    df = training_table(v)
-    base = latest_per_key(df, ["zone"], ["timestamp"])
-    return tr.temporal_sensitivity(base, models_of(df), ENHANCED, range(24))
+    df, models = trained(v)
+    return tr.temporal_sensitivity(latest_per_key(df, ["zone"], ["timestamp"]), only(models, "enhanced"), ENHANCED, range(24))
 
 
 @query("ml15_backtest_chart", dbl="load predicted_load predicted_load_smoothed abs_error")
 def _(v):
-    df = training_table(v)
-    rows = df.select("zone", "timestamp", "load", *[c for c in FEATURES])
-    chart = sc.backtest(rows, models_of(df, FEATURES), 100)
+    df, models = trained(v)
+    rows = df.select("zone", "timestamp", "load", *FEATURES)
+    chart = sc.backtest(rows, only(models, "baseline"), 100)
     return chart.select("zone", "timestamp", "load", "predicted_load", "predicted_load_smoothed", "abs_error")
 
 
 @query("ml17_batch_scoring", dbl="load prediction")
 def _(v):
-    df = training_table(v)
-    path = f"{shared_dir(v.spark)}/model-{uuid.uuid4().hex}"
-    tr.boosted(FEATURES, SMALL, "load", "sample_weight", "is_val").fit(df).write().save(path)
+    df, models = trained(v)
     rows = df.withColumn("load_lag_1h", F.when(F.col("hour") != 3, F.col("load_lag_1h")).otherwise(float("inf")))
-    return sc.score_batch(rows, path, FEATURES).select("zone", "timestamp", "load", "prediction")
+    return sc.score_batch(rows, only(models, "baseline"), FEATURES).select("zone", "timestamp", "load", "prediction")
 
 
 @query(
@@ -187,24 +191,20 @@ def _(v):
     f"""SELECT zone, "timestamp" FROM ({ORACLES['pip06_hourly_model_table']}) WHERE extract(hour FROM "timestamp") = 3""",
 )
 def _(v):
-    df = training_table(v)
-    path = f"{shared_dir(v.spark)}/model-{uuid.uuid4().hex}"
-    tr.boosted(FEATURES, SMALL, "load", "sample_weight", "is_val").fit(df).write().save(path)
+    df, models = trained(v)
     rows = df.withColumn("load_lag_1h", F.when(F.col("hour") != 3, F.col("load_lag_1h")).otherwise(float("inf")))
-    kept = sc.score_batch(rows, path, FEATURES).select("zone", "timestamp")
+    kept = sc.score_batch(rows, only(models, "baseline"), FEATURES).select("zone", "timestamp")
     return rows.select("zone", "timestamp").join(kept, ["zone", "timestamp"], "left_anti")
 
 
 @query("ml19_feature_importance", dbl="importance")
 def _(v):
-    df = training_table(v)
-    return tr.top_features(tr.importances(v.spark, models_of(df), ENHANCED), 10)
+    return tr.top_features(tr.importances(v.spark, only(trained(v)[1], "enhanced")), 10)
 
 
 @query("ml19_importance_balance", dbl="lag_share temporal_share weather_share")
 def _(v):
-    df = training_table(v)
-    return tr.importance_balance(tr.importances(v.spark, models_of(df), ENHANCED))
+    return tr.importance_balance(tr.importances(v.spark, only(trained(v)[1], "enhanced")))
 
 
 @query("pip08_train_and_validate", dbl="overall_mape evening_peak_mape peak_hour_mape rmse mae r2 evening_r2")
@@ -222,17 +222,17 @@ def _(v):
     df = wn.split_by_position(df, [("train", 0.8), ("val", 1.0)])
     df = stored(df.withColumn("is_val", F.col("split") == "val"))
     names = ["hour", "is_weekend", "evening_hour_intensity", "hour_sin", "hour_cos", "load_lag_1h", "load_lag_24h", "load_rolling_mean_24h"]
-    models = {"enhanced": models_of(df, names), "third": models_of(df, names, tr.Profile(trees=6, depth=4, categorical=True, bins=24))}
-    val = df.where("is_val")
-    val = tr.score_zones_by(val, models)
+    third = replace(bo.PROFILES["refresh_leaves"], categories=("hour", "is_weekend"))
+    models = {"enhanced": (names, bo.PROFILES["refresh_levels"]), "third": (names, third)}
+    val = tr.score_zones_by(df.where("is_val"), bo.fit_boosted(df, models, "load", "sample_weight", "is_val"))
     val = val.withColumn("prediction", fc.ensemble(fc.ENSEMBLES["strong_evening"], (0, 50000)))
     return mt.evening_metrics(val, ["zone"], "load", "prediction")
 
 
 @query("pip09_model_evaluation", dbl="baseline enhanced")
 def _(v):
-    df = training_table(v)
-    metrics = sc.evaluate(df.where("is_val"), forecast_models(v))
+    df, models = trained(v)
+    metrics = sc.evaluate(df.where("is_val"), models)
     return mt.compare_models(metrics, ["mae", "rmse", "mape", "r2", "max_error", "median_ae", "bias"], ["baseline", "enhanced"])
 
 
@@ -246,10 +246,10 @@ def _(v):
 
 @query("pip11_regional_comparison", dbl="mae rmse mape r2 max_error bias bias_pct median_ae peak_load min_load avg_load load_std")
 def _(v):
-    df = training_table(v)
+    df = trained(v)[0]
     train, test = df.where("not is_val"), df.where("is_val")
     zones = tr.zones_of(train, 100)
-    models = tr.fit_zones(train, lambda z: tr.forest(ENHANCED, trees=10, depth=6), zones)
+    models = tr.fit_zones(train, lambda z: tr.forest(ENHANCED), zones)
     scored = tr.score_zones(test, models).where("prediction is not null")
     metrics = mt.core_metrics(scored, ["zone"], "load", "prediction")
     # Zones with too few rows to train on are reported, not left out.
@@ -261,11 +261,11 @@ def _(v):
 def _(v):
     kept = wt.hybrid_training_rows(v.load_hourly, core_days=720)
     weather = v.weather_hourly.withColumnRenamed("wind_speed", "wind_speed_kmh")
-    df = pf.unified_features(kept, weather, v.forecast_hourly.where("forecast_horizon_hours = 6"))
+    df = pf.unified_features(kept, weather, v.forecast_hourly)
     df = cal.extreme_temporal_features(cal.enhanced_temporal_features(df))
     df = wt.month_split(df, F.unix_seconds("timestamp"), "timestamp")
     df = stored(df.withColumn("is_val", F.col("split") == "val").dropna(subset=ENHANCED))
-    models = models_of(df)
+    models = bo.fit_boosted(df, {"prediction": (ENHANCED, CONSERVATIVE)}, "load", holdout="is_val")
     metrics = mt.core_metrics(tr.score_zones(df.where("is_val"), models), ["zone"], "load", "prediction").select("zone", "mape", "r2")
     base = latest_per_key(df, ["zone"], ["timestamp"])
     spread = tr.temporal_sensitivity(base, models, ENHANCED, weekend=False).select("zone", "variation_pct")
