@@ -21,6 +21,7 @@ one row of a key on one side, so a hot key can be split.
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,8 +40,8 @@ SPAN = WINDOW - Q + 1
 #: Windows that are judged by one core.
 STEP = 16
 
-#: A block has fewer positions than this, so that a position fits in the low bits of a number.
-_BITS = 20
+#: A block has fewer positions than 2 to this, so that a position fits in the low bits of a number.
+_BITS = 18
 _PIECE = (1 << _BITS) - 2 * WINDOW
 _BASE = 0x9E3779B97F4A7C15
 _BYTE = np.random.default_rng(20240513).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -118,6 +119,23 @@ def _pieces(texts: list[bytes]) -> Iterator[tuple[int, dict[str, np.ndarray]]]:
             yield block.first, found
 
 
+def _bytes(text: pa.Scalar) -> bytes:
+    return (text.as_py() or "").encode("utf-8")
+
+
+def _by_size(column: pa.Array, own: list[int]) -> Iterator[list[int]]:
+    """Consecutive numbers of ``own`` whose texts have about a block together."""
+    some, size = [], 0
+    for i in own:
+        some.append(i)
+        size += len(column[i].as_buffer())
+        if size >= _PIECE:
+            yield some
+            some, size = [], 0
+    if some:
+        yield some
+
+
 def _texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
@@ -128,19 +146,18 @@ def _runs(docs: DataFrame) -> DataFrame:
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            copies: dict[bytes, int] = {}
-            for text in batch["text"].to_pylist():
-                data = (text or "").encode("utf-8")
-                if len(data) >= WINDOW:
-                    copies[data] = copies.get(data, 0) + 1
-            texts = list(copies)
-            digest = [hashlib.md5(data).digest() for data in texts]
-            times = np.array(list(copies.values()), np.int64)
-            for first, found in _pieces(texts):
-                text = found["text"] + first
-                name = pa.array(digest, pa.binary()).take(pa.array(text))
-                columns = [found["bucket"], found["run"], name, found["start"], found["reach"], found["n"], times[text]]
-                yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, pa.int64()) for c in columns], names)
+            column = batch["text"]
+            digests = [hashlib.md5(data).digest() if len(data) >= WINDOW else None for data in map(_bytes, column)]
+            copies = Counter(digests)
+            own = list({d: i for i, d in enumerate(digests) if d}.values())
+            for some in _by_size(column, own):
+                found_at = [digests[i] for i in some]
+                times = np.array([copies[d] for d in found_at], np.int64)
+                for first, found in _pieces([_bytes(column[i]) for i in some]):
+                    text = found["text"] + first
+                    name = pa.array(found_at, pa.binary()).take(pa.array(text))
+                    columns = [found["bucket"], found["run"], name, found["start"], found["reach"], found["n"], times[text]]
+                    yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, pa.int64()) for c in columns], names)
 
     return _texts(docs).select("text").mapInArrow(made, RUN)
 
@@ -151,24 +168,26 @@ def _packed(docs: DataFrame) -> DataFrame:
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press = zstandard.ZstdCompressor(level=3)
         for batch in batches:
-            texts = [(t or "").encode("utf-8") for t in batch["text"].to_pylist()]
-            names = pa.array([hashlib.md5(t).digest() for t in texts], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], names, pa.array([press.compress(t) for t in texts], pa.binary())], ["doc_id", "name", "body"])
+            names, bodies = [], []
+            for data in map(_bytes, batch["text"]):
+                names.append(hashlib.md5(data).digest())
+                bodies.append(press.compress(data))
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(names, pa.binary()), pa.array(bodies, pa.binary())], ["doc_id", "name", "body"])
 
     return _texts(docs).mapInArrow(made, "doc_id long, name binary, body binary")
 
 
-def _slices(wanted: DataFrame, docs: DataFrame) -> DataFrame:
+def _slices(wanted: DataFrame, docs: DataFrame, shelf: Shelf) -> DataFrame:
     """One row for each class with the bytes around its anchor."""
     names = [x.split()[0] for x in SLICE.split(", ")]
     kinds = [pa.int64()] * 6 + [pa.binary()]
-    per_text = wanted.groupBy("name").agg(F.collect_list(F.struct("bucket", "run", "copies", "start", "reach", "n")).alias("runs"))
+    per_text = shelf.put(wanted.groupBy("name").agg(F.collect_list(F.struct("bucket", "run", "copies", "start", "reach", "n")).alias("runs")))
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press = zstandard.ZstdDecompressor()
         for batch in batches:
             seen, out = set(), []
-            for name, body, runs in zip(batch["name"].to_pylist(), batch["body"], batch["runs"]):
+            for name, body, runs in zip((x.as_py() for x in batch["name"]), batch["body"], batch["runs"]):
                 if name in seen:  # copies of a text
                     continue
                 seen.add(name)
@@ -189,8 +208,8 @@ def _slices(wanted: DataFrame, docs: DataFrame) -> DataFrame:
 
 def _around(batch: pa.RecordBatch) -> Iterator[tuple[slice, np.ndarray, np.ndarray, dict[str, np.ndarray]]]:
     """(rows, sums, position of each anchor in them, columns) of some slices at a time."""
-    for first in range(0, len(batch), 2_000):
-        part = batch.slice(first, 2_000)
+    for first in range(0, len(batch), 1_000):
+        part = batch.slice(first, 1_000)
         texts = part["around"].to_pylist()
         size = np.array([len(x) for x in texts], np.int64)
         begin = np.cumsum(size) - size
@@ -242,32 +261,33 @@ def _windows(slices: DataFrame) -> DataFrame:
 
 def _repeated(docs: DataFrame, shelf: Shelf) -> DataFrame:
     """(name, start, end): spans of the text with this MD5 in which every byte goes; they may overlap."""
-    buckets = _runs(docs).groupBy("bucket").agg(F.sum("copies").alias("copies")).where("copies > 1").select("bucket")
+    # Each grouped side is written before its join: only a join of two plain exchanges can have its hot keys split.
+    buckets = shelf.put(_runs(docs).groupBy("bucket").agg(F.sum("copies").alias("copies")).where("copies > 1").select("bucket"))
     runs = shelf.put(_runs(docs).join(buckets, "bucket"), "zstd")
     classes = shelf.put(
         runs.groupBy("bucket", "run").agg(
             F.sum("copies").alias("copies"), F.min(F.struct("name", "start")).alias("at"), F.first("reach").alias("reach"), F.first("n").alias("n")
         ).select("bucket", "run", "copies", "at.name", "at.start", "reach", "n")
     )
-    several = classes.groupBy("bucket").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("bucket")
-    slices = shelf.put(_slices(classes.join(several, "bucket"), docs), "zstd")
+    several = shelf.put(classes.groupBy("bucket").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("bucket"))
+    slices = shelf.put(_slices(classes.join(several, "bucket"), docs, shelf), "zstd")
     settled = classes.where("copies > 1").select("bucket", "run", (F.col("reach") - F.col("n") + 1).alias("near"), F.col("reach").alias("far"))
 
     cores = _cores(slices)
     key = ["bucket", "core", "shared"]
     met = cores.groupBy(*key).agg(F.sum("copies").alias("all"), F.min("hull").alias("least"), F.max("hull").alias("most"))
-    met = met.where("all > 1").select(*key, (F.col("least") == F.col("most")).alias("equal"))
+    met = shelf.put(met.where("all > 1").select(*key, (F.col("least") == F.col("most")).alias("equal")))
     met = shelf.put(cores.join(met, key).select("bucket", "run", "copies", "near", "far", "equal"))
     by_core = met.where("equal and copies = 1").select("bucket", "run", "near", "far")
 
     parts = met.where("not equal").groupBy("bucket", "run").agg(F.collect_list(F.struct("near", "far")).alias("parts"))
     windows = shelf.put(_windows(slices.join(parts, ["bucket", "run"])))
     key = ["bucket", "place", "window"]
-    more = windows.groupBy(*key).agg(F.sum("copies").alias("all")).where("all > 1").select(*key)
+    more = shelf.put(windows.groupBy(*key).agg(F.sum("copies").alias("all")).where("all > 1").select(*key))
     by_window = windows.where("copies = 1").join(more, key).select("bucket", "run", F.col("place").alias("near"), F.col("place").alias("far"))
 
     gone = by_core.union(by_window).groupBy("bucket", "run").agg(F.collect_list(F.struct("near", "far")).alias("gone"))
-    gone = gone.union(settled.select("bucket", "run", F.array(F.struct("near", "far")).alias("gone")))
+    gone = shelf.put(gone.union(settled.select("bucket", "run", F.array(F.struct("near", "far")).alias("gone"))))
     hit = runs.join(gone, ["bucket", "run"]).select("name", (F.col("start") + F.col("reach")).alias("anchor"), F.explode("gone").alias("g"))
     return hit.select("name", (F.col("anchor") - F.col("g.far")).alias("start"), (F.col("anchor") - F.col("g.near") + WINDOW).alias("end"))
 
@@ -281,7 +301,7 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     any other. An empty table gives an empty one.
     """
     shelf = Shelf(docs.sparkSession, "suffixes")
-    spans = _repeated(docs, shelf).groupBy("name").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
+    spans = shelf.put(_repeated(docs, shelf).groupBy("name").agg(F.collect_set(F.struct("start", "end")).alias("spans")))
     schema = "doc_id long, n_bytes long, n_removed long, removed array<struct<start: long, end: long>>, kept binary"
     names = ["doc_id", "n_bytes", "n_removed", "removed", "kept"]
     pair = pa.struct([("start", pa.int64()), ("end", pa.int64())])
@@ -303,7 +323,7 @@ def without_repeats(docs: DataFrame) -> DataFrame:
                 kept = b"".join([*kept, data[done:]])
                 out.append((ids[i], len(data), len(data) - len(kept), merged, kept))
                 size += len(kept)
-                if size > 1 << 22 or i + 1 == len(batch):
+                if size > 1 << 20 or i + 1 == len(batch):
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), [pa.int64()] * 3 + [pa.list_(pair), pa.binary()])], names)
                     out, size = [], 0
 
