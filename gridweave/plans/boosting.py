@@ -138,8 +138,9 @@ class Ask:
 
 
 def _strength(g: np.ndarray, h: np.ndarray, s: Boost) -> np.ndarray:
-    shrunk = np.sign(g) * np.maximum(np.abs(g) - s.alpha, 0)
-    return np.divide(shrunk * shrunk, h + s.lam, out=np.zeros_like(g), where=h + s.lam > 0)
+    shrunk = np.maximum(np.abs(g) - s.alpha, 0) if s.alpha else g
+    # A side without weight has no gradient either.
+    return shrunk * shrunk / (h + s.lam if s.lam > 0 else np.maximum(h, 1e-300))
 
 
 def _weight(total: np.ndarray, s: Boost) -> float:
@@ -161,13 +162,17 @@ def best_splits(hist: np.ndarray, s: Boost, categorical: np.ndarray, allowed: np
         order = order.copy()
         order[:, categorical] = 1 + np.argsort(steep, axis=2, kind="stable")
         body = np.take_along_axis(hist, order[..., None], axis=2)
-    total = hist[:, :1].sum(axis=2)[:, :, None, None]
-    left = np.cumsum(body, axis=2)[:, :, :, None] + np.stack([np.zeros_like(hist[:, :, 0]), hist[:, :, 0]], axis=2)[:, :, None]
-    right = total - left
-    least = np.array([s.least_weight, max(s.least_rows, 1)])
-    ok = (left[..., 1:] >= least).all(axis=-1) & (right[..., 1:] >= least).all(axis=-1) & allowed[None, :, None, None]
-    gain = 0.5 * (_strength(left[..., 0], left[..., 1], s) + _strength(right[..., 0], right[..., 1], s) - _strength(total[..., 0], total[..., 1], s)) - s.gamma
-    gain = np.where(ok, gain, -np.inf)
+    # Sums left of each border, with missing values on the right and, where there are any, on the left as well.
+    left = np.cumsum(body, axis=2)[:, :, :, None]
+    if hist[:, :, 0, 2].any():
+        left = np.concatenate([left, left + hist[:, :, None, None, 0]], axis=3)
+    total = hist[:, 0].sum(axis=1)[:, None, None, None]
+    g, h, n = (left[..., k] for k in range(3))
+    all_g, all_h, all_n = (total[..., k] for k in range(3))
+    rows, weight = max(s.least_rows, 1), s.least_weight
+    ok = (n >= rows) & (all_n - n >= rows) & (h >= weight) & (all_h - h >= weight) & allowed[None, :, None, None]
+    gain = np.where(ok, _strength(g, h, s) + _strength(all_g - g, all_h - h, s), -np.inf)
+    gain = 0.5 * (gain - _strength(all_g, all_h, s)) - s.gamma
     out: list[tuple | None] = []
     for i, at in enumerate(gain.reshape(nodes, -1).argmax(axis=1)):
         c, b, missing_left = np.unravel_index(at, gain.shape[1:])
@@ -178,7 +183,7 @@ def best_splits(hist: np.ndarray, s: Boost, categorical: np.ndarray, allowed: np
         goes = np.zeros(bins, bool)
         goes[order[i, c, : b + 1]] = True
         goes[0] = bool(missing_left)
-        out.append((best, int(c), goes, left[i, c, b, missing_left], right[i, c, b, missing_left]))
+        out.append((best, int(c), goes, left[i, c, b, missing_left], total[i, 0, 0, 0] - left[i, c, b, missing_left]))
     return out
 
 
@@ -431,6 +436,8 @@ def _small(rows: DataFrame, fits: Sequence[Fit], features: Sequence[Feature], ed
         return pd.DataFrame(out, columns=[x.split()[0] for x in MODELS.split(", ")])
 
     spread = rows.withColumn("lane", F.explode(F.sequence(F.lit(0), F.lit(lanes - 1))))
+    # Little data and much work: more partitions than groups, so that they share few.
+    spread = spread.repartition(min(4 * len(edges) * lanes, 8192), "zone", "lane")
     return spread.groupBy("zone", "lane").applyInPandas(train, MODELS)
 
 

@@ -7,18 +7,24 @@ over raw rows, so a hot zone spreads over all tasks.
 
 from __future__ import annotations
 
+import json
 import uuid
 from bisect import bisect_right
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from gridweave.core.scalars import beside
 from gridweave.operators.clean import deduplicate
-from gridweave.session import shared_dir, stored
+from gridweave.session import shared_dir
+
+
+#: Seconds between two looks at a query's reports, of which it keeps the latest hundred.
+POLL_SECONDS = 0.2
 
 
 def run_counting(stream: DataFrame, mode: str = "append", path: str | None = None) -> tuple[DataFrame, int]:
@@ -33,9 +39,13 @@ def run_counting(stream: DataFrame, mode: str = "append", path: str | None = Non
         .trigger(availableNow=True)
         .start()
     )
-    job.awaitTermination()
-    rejected = sum(op["numRowsDroppedByWatermark"] for p in job.recentProgress for op in p["stateOperators"])
-    return spark.read.schema(stream.schema).parquet(path), rejected
+    # A query keeps its latest reports only, so they are gathered while it runs.
+    dropped: dict = {}
+    done = False
+    while not done:
+        done = job.awaitTermination(POLL_SECONDS)
+        dropped |= {(p["batchId"], p["timestamp"]): sum(op["numRowsDroppedByWatermark"] for op in p["stateOperators"]) for p in job.recentProgress}
+    return spark.read.schema(stream.schema).parquet(path), sum(dropped.values())
 
 
 def run(stream: DataFrame, mode: str = "append", path: str | None = None) -> DataFrame:
@@ -43,11 +53,95 @@ def run(stream: DataFrame, mode: str = "append", path: str | None = None) -> Dat
     return run_counting(stream, mode, path)[0]
 
 
-def _append(rows: DataFrame, batch_id: int, root: str, ts: str) -> None:
-    """Add a micro-batch to a log partitioned by day; a repeated batch replaces its own folders only."""
-    rows = rows.withColumns({"day": F.to_date(ts), "batch_id": F.lit(batch_id)})
-    writer = rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-    writer.partitionBy("day", "batch_id").parquet(root)
+class Log:
+    """A table of micro-batches that are folded now and then, as immutable generations under a manifest.
+
+    ``batches/batch_id=B`` holds a batch; when it is repeated, the same rows replace it. ``compacted/generation=G/day=D`` holds the
+    state of a day that a compaction wrote. The newest file of ``manifest`` says up to which batch all are folded and which generation a day is
+    in; it appears by one rename, so a reader sees either the rows before a compaction or those after it, and a folded batch
+    that is repeated changes nothing. What the newest two manifests don't name is removed after the next compaction.
+    """
+
+    def __init__(self, spark: SparkSession, root: str, schema: str | T.StructType):
+        self.spark, self.root = spark, root.rstrip("/")
+        schema = T._parse_datatype_string(schema) if isinstance(schema, str) else schema
+        self.schema = T.StructType([f for f in schema if f.name not in ("day", "batch_id", "generation")])
+        self._path = spark._jvm.org.apache.hadoop.fs.Path
+        self._fs = self._path(self.root).getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def _names(self, folder: str) -> list[str]:
+        path = self._path(f"{self.root}/{folder}")
+        return [f.getPath().getName() for f in self._fs.listStatus(path)] if self._fs.exists(path) else []
+
+    def _drop(self, folder: str) -> None:
+        self._fs.delete(self._path(f"{self.root}/{folder}"), True)
+
+    def manifests(self) -> list[tuple[int, int, dict[str, int]]]:
+        """(generation, last folded batch, {day: generation}) of the kept manifests, oldest first."""
+        out = []
+        for name in sorted(int(n) for n in self._names("manifest") if n.isdigit()):
+            row = json.loads("".join(r[0] for r in self.spark.read.text(f"{self.root}/manifest/{name}").collect()))
+            out.append((name, row["upto"], row["days"]))
+        return out
+
+    def append(self, rows: DataFrame, batch_id: int, ts: str = "timestamp") -> None:
+        rows.select(*self.schema.fieldNames(), F.to_date(ts).alias("day")).write.mode("overwrite").parquet(f"{self.root}/batches/batch_id={batch_id}")
+
+    def _batches(self, after: int) -> DataFrame:
+        schema = T.StructType([*self.schema, T.StructField("day", T.DateType()), T.StructField("batch_id", T.LongType())])
+        if not self._names("batches"):
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(f"{self.root}/batches").where(F.col("batch_id") > after)
+
+    def rows(self, days: Sequence | None = None) -> DataFrame:
+        """The rows of the newest manifest and of the batches after it, with ``day``; of some days only if given."""
+        _, upto, in_days = (self.manifests() or [(0, -1, {})])[-1]
+        out = self._batches(upto).drop("batch_id")
+        if days is not None:
+            out = out.where(F.col("day").isin(list(days)))
+            in_days = {d: g for d, g in in_days.items() if d in {str(x) for x in days}}
+        if in_days:
+            schema = T.StructType([*self.schema, T.StructField("generation", T.LongType()), T.StructField("day", T.DateType())])
+            folded = self.spark.read.schema(schema).option("basePath", f"{self.root}/compacted")
+            paths = [f"{self.root}/compacted/generation={g}/day={d}" for d, g in sorted(in_days.items())]
+            out = out.unionByName(folded.parquet(*paths).drop("generation"))
+        return out
+
+    def compact(self, fold: Callable[[DataFrame], DataFrame]) -> None:
+        """Rewrite the days that batches after the newest manifest touched; other days are not read.
+
+        ``fold`` reduces rows to the state. Run it when no batch is being written, as between two runs of a stream.
+        """
+        known = self.manifests()
+        generation, upto, in_days = known[-1] if known else (0, -1, {})
+        found = self._batches(upto).groupBy("day").agg(F.max("batch_id").alias("last")).collect()  # one row for each day
+        if not found:
+            return
+        generation += 1
+        touched = [r["day"] for r in found]
+        state = fold(self.rows(touched).drop("day")).withColumn("day", F.to_date("timestamp"))
+        state.write.mode("overwrite").partitionBy("day").parquet(f"{self.root}/compacted/generation={generation}")
+        days = in_days | {str(d): generation for d in touched}
+        self._commit(generation, {"upto": max(r["last"] for r in found), "days": days})
+        for name in self._names("batches"):
+            if int(name.split("=")[1]) <= upto:
+                self._drop(f"batches/{name}")
+        for folder in self._names("compacted"):
+            g = int(folder.split("=")[1])
+            for name in self._names(f"compacted/{folder}"):
+                day = name.removeprefix("day=")
+                if name.startswith("day=") and g not in (days.get(day), in_days.get(day)):
+                    self._drop(f"compacted/{folder}/{name}")
+        for old, *_ in known[:-1]:
+            self._drop(f"manifest/{old}")
+
+    def _commit(self, generation: int, content: dict) -> None:
+        draft = f"{self.root}/manifest/draft-{uuid.uuid4().hex}"
+        out = self._fs.create(self._path(draft), True)
+        out.write(json.dumps(content).encode("utf-8"))
+        out.close()
+        if not self._fs.rename(self._path(draft), self._path(f"{self.root}/manifest/{generation}")):
+            raise RuntimeError(f"another compaction made generation {generation}")
 
 
 def _each_batch(stream: DataFrame, root: str, write) -> None:
@@ -62,7 +156,7 @@ def _each_batch(stream: DataFrame, root: str, write) -> None:
 
 def upsert(batch: DataFrame, batch_id: int, root: str, keys: Sequence[str], order: Sequence[str], ts: str = "timestamp") -> None:
     """Append one micro-batch to the log of a table."""
-    _append(deduplicate(batch, keys, order), batch_id, root, ts)
+    Log(batch.sparkSession, root, batch.schema).append(deduplicate(batch, keys, order), batch_id, ts)
 
 
 def upsert_stream(stream: DataFrame, root: str, keys: Sequence[str], order: Sequence[str], ts: str = "timestamp") -> None:
@@ -72,33 +166,19 @@ def upsert_stream(stream: DataFrame, root: str, keys: Sequence[str], order: Sequ
 
 def current(spark: SparkSession, root: str, schema, keys: Sequence[str], order: Sequence[str], days: Sequence | None = None) -> DataFrame:
     """Present state of the table: the last arrival of each key over the log, or over some of its days."""
-    log = spark.read.parquet(root)
-    if days is not None:
-        log = log.where(F.col("day").isin(list(days)))
-    return deduplicate(log.select(*schema.fieldNames()), keys, order)
+    return deduplicate(Log(spark, root, schema).rows(days).select(*schema.fieldNames()), keys, order)
 
 
-def compact(spark: SparkSession, root: str, schema, keys: Sequence[str], order: Sequence[str], ts: str = "timestamp") -> None:
-    """Rewrite the days that several batches touched as one batch each; other days are not read.
+def compact(spark: SparkSession, root: str, schema, keys: Sequence[str], order: Sequence[str]) -> None:
+    """Fold the batches of a table (which has ``timestamp``) into a generation of the days they touched."""
+    Log(spark, root, schema).compact(lambda rows: deduplicate(rows, keys, order))
+
+
+SUMS = "zone string, timestamp timestamp, total double, n long"
 
-    The state of a day replaces its latest batch before the older ones go. A reader in between finds rows twice, which
-    ``current`` joins anyway.
-    """
-    folders = spark.read.parquet(root).select("day", "batch_id").distinct().collect()  # names of folders
-    latest: dict = {}
-    for r in folders:
-        latest[r["day"]] = max(r["batch_id"], latest.get(r["day"], r["batch_id"]))
-    old = [(r["day"], r["batch_id"]) for r in folders if r["batch_id"] < latest[r["day"]]]
-    touched = {day for day, _ in old}
-    if not touched:
-        return
-    state = stored(current(spark, root, schema, keys, order, sorted(touched)))
-    for batch_id in sorted({latest[d] for d in touched}):
-        _append(state.where(F.to_date(ts).isin([d for d in touched if latest[d] == batch_id])), batch_id, root, ts)
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    for day, batch_id in old:
-        folder = jvm.org.apache.hadoop.fs.Path(f"{root}/day={day}/batch_id={batch_id}")
-        folder.getFileSystem(conf).delete(folder, True)
+
+def _merged(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("zone", "timestamp").agg(F.sum("total").alias("total"), F.sum("n").alias("n"))
 
 
 def upsert_sums(stream: DataFrame, root: str) -> None:
@@ -106,21 +186,26 @@ def upsert_sums(stream: DataFrame, root: str) -> None:
     hour = F.date_trunc("hour", "timestamp").alias("timestamp")
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        _append(batch.groupBy("zone", hour).agg(F.sum("load").alias("total"), F.count("load").alias("n")), batch_id, root, "timestamp")
+        sums = batch.groupBy("zone", hour).agg(F.sum("load").cast("double").alias("total"), F.count("load").alias("n"))
+        Log(batch.sparkSession, root, SUMS).append(sums, batch_id)
 
     _each_batch(stream, root, write)
 
 
+def compact_sums(spark: SparkSession, root: str) -> None:
+    """Add up the partial sums of the days that new batches touched."""
+    Log(spark, root, SUMS).compact(_merged)
+
+
 def merged_means(spark: SparkSession, root: str) -> DataFrame:
     """Hourly mean load per zone over the log of partial sums."""
-    sums = spark.read.parquet(root).groupBy("zone", "timestamp").agg(F.sum("total").alias("total"), F.sum("n").alias("n"))
+    sums = _merged(Log(spark, root, SUMS).rows())
     return sums.select("timestamp", "zone", (F.col("total") / F.col("n")).alias("load"))
 
 
 def merged_sliding_means(spark: SparkSession, root: str, hours: int = 24) -> DataFrame:
     """Mean of the ``hours`` hours before each full hour, over the log of partial sums; readings, not hours, weigh the same."""
-    sums = spark.read.parquet(root).groupBy("zone", "timestamp").agg(F.sum("total").alias("total"), F.sum("n").alias("n"))
-    ends = sums.withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(hours))))
+    ends = _merged(Log(spark, root, SUMS).rows()).withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(hours))))
     ends = ends.withColumn("window_end", F.col("timestamp") + F.make_dt_interval(hours=F.col("k")))
     return ends.groupBy("window_end", "zone").agg((F.sum("total") / F.sum("n")).alias("load"))
 

@@ -3,6 +3,7 @@
 import os
 import subprocess
 import sys
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -82,7 +83,59 @@ def test_upsert_retry_is_harmless(spark, tmp_path):
     want = sorted(got.collect())
     st.compact(spark, root, first.schema, keys, order)
     assert sorted(st.current(spark, root, first.schema, keys, order).collect()) == want
-    assert [f.name for f in sorted((tmp_path / "t").glob("day=*/batch_id=*"))] == ["batch_id=1"]
+    # A folded batch that is repeated changes nothing, nor does a compaction without new batches.
+    st.upsert(late, 1, root, keys, order)
+    st.compact(spark, root, first.schema, keys, order)
+    assert sorted(st.current(spark, root, first.schema, keys, order).collect()) == want
+    assert [n for n, *_ in st.Log(spark, root, first.schema).manifests()] == [1]
+
+
+def test_compaction_is_seen_at_once(spark, tmp_path):
+    root, keys, order = str(tmp_path / "t"), ["timestamp", "zone"], ["seq"]
+    rows = hours(spark, 60).withColumn("seq", F.lit(0))
+    log = st.Log(spark, root, rows.schema)
+    st.upsert(rows, 0, root, keys, order)
+    before = log.rows()
+    st.compact(spark, root, rows.schema, keys, order)
+    assert before.count() == 60 and log.rows().count() == 60
+    # A compaction that died before its commit left files that no one reads.
+    last = hours(spark, 3, lambda i: -1).withColumn("seq", F.lit(2))
+    st.upsert(last, 1, root, keys, order)
+    last.withColumn("day", F.to_date("timestamp")).write.partitionBy("day").parquet(f"{root}/compacted/generation=2")
+    assert log.rows().count() == 63
+    held = log.rows()
+    st.compact(spark, root, rows.schema, keys, order)
+    assert held.count() == 63 and log.rows().count() == 60 and st.current(spark, root, rows.schema, keys, order).where("load = -1").count() == 3
+    (n, upto, days), day = log.manifests()[-1], str(rows.agg(F.min(F.to_date("timestamp"))).first()[0])
+    assert (n, upto, days[day]) == (2, 1, 2) and sorted(set(days.values())) == [1, 2]
+    st.upsert(rows.limit(0), 2, root, keys, order)
+    st.upsert(hours(spark, 1, lambda i: -5).withColumn("seq", F.lit(3)), 3, root, keys, order)
+    st.compact(spark, root, rows.schema, keys, order)
+    assert sorted(f.name for f in (tmp_path / "t/batches").glob("batch_id=*")) == ["batch_id=2", "batch_id=3"]
+    assert st.current(spark, root, rows.schema, keys, order, [day]).where("load = -5").count() == 1
+
+
+def test_sums_are_compacted(spark, tmp_path):
+    df, root = hours(spark, 50), str(tmp_path / "sums")
+    st.upsert_sums(shuffled_feed(spark, df, str(tmp_path / "in")), root)
+    want = sorted(st.merged_means(spark, root).collect())
+    st.compact_sums(spark, root)
+    assert sorted(st.merged_means(spark, root).collect()) == want
+
+
+def test_rejected_rows_of_all_batches_are_counted(spark, tmp_path):
+    spark.conf.set("spark.sql.streaming.numRecentProgressUpdates", "2")
+    try:
+        rows = hours(spark, 1, lambda i: 1)
+        for k in range(6):
+            day = rows.withColumn("timestamp", F.col("timestamp") + F.make_dt_interval(days=F.lit(10 if k == 0 else 0)))
+            day.coalesce(1).write.parquet(str(tmp_path / f"in/f={k}"))
+            time.sleep(1.1)  # files are taken in the order of their times
+        feed = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+        got, rejected = st.run_counting(st.tumbling_mean(feed), "append", str(tmp_path / "out"))
+    finally:
+        spark.conf.unset("spark.sql.streaming.numRecentProgressUpdates")
+    assert rejected == 4  # the watermark of the first batch holds from the third on
 
 
 def shuffled_feed(spark, df, path, files=6):
