@@ -103,18 +103,21 @@ def tool_lines(turns: DataFrame, schemas: dict[str, dict[str, str]] = SCHEMAS) -
     ``status``: ``ok``, ``invalid`` (errors name the unknown tool, unreadable arguments, missing or mistyped ones), ``open`` (a
     valid call without result), ``cycle``, ``orphan`` (a result without call) or ``context``. Of calls or results that
     repeat an identifier in a conversation the first by (turn, text) counts and the others are ``repeated``. Turns without
-    conv_id or turn are context. Null texts miss their argument. Other columns are ignored; an empty table gives an
+    conv_id or turn are context. Each call without an identifier is a row of its own. Null texts miss their argument. Other columns are ignored; an empty table gives an
     empty one.
     """
     shelf = Shelf(turns.sparkSession, "calls")
     calls, results, others = messages(turns)
     calls, results = shelf.put(calls), shelf.put(results)
     key = ["conv_id", "call_id"]
-    first_call = shelf.put(calls.groupBy(*key).agg(F.min(F.struct("turn", "name", "arguments", "after")).alias("first"), F.count(F.lit(1)).alias("times")).select(*key, "first.*", "times"))
+    named = calls.where("call_id is not null").groupBy(*key).agg(F.min(F.struct("turn", "name", "arguments", "after")).alias("first"), F.count(F.lit(1)).alias("times"))
+    # A call without an identifier is a call of its own that nothing can answer or need.
+    nameless = calls.where("call_id is null").select(*key, "turn", "name", "arguments", "after", F.lit(1).cast("long").alias("times"))
+    first_call = shelf.put(named.select(*key, "first.*", "times").unionByName(nameless))
     first_result = results.groupBy(*key).agg(F.min(F.struct("turn", "content")).alias("first"), F.count(F.lit(1)).alias("times"))
     first_result = shelf.put(first_result.select("conv_id", "call_id", F.col("first.turn").alias("result_turn"), F.col("first.content").alias("result"), F.col("times").alias("result_times")))
 
-    own = first_call.join(first_result, key, "left").join(_levels(first_call, shelf).withColumn("turned", F.lit(True)), key, "left")
+    own = first_call.join(first_result, key, "left").join(_levels(first_call.where("call_id is not null"), shelf).withColumn("turned", F.lit(True)), key, "left")
     own = own.withColumn("body", F.try_parse_json("arguments"))
     found = [F.when(~F.coalesce(F.col("name").isin(*schemas), F.lit(False)), F.lit("unknown tool"))]
     found.append(F.when(F.col("body").isNull(), F.lit("unreadable arguments")))

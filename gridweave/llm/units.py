@@ -19,7 +19,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from hashlib import blake2b
+from hashlib import blake2b, md5
 from zlib import crc32
 
 import pyarrow as pa
@@ -46,7 +46,7 @@ _DENSE = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u2e80-\ua4cf\uf900-\ufaff\uff0
 TOKEN = re.compile(f"[{_DENSE}]|[^\\x20\\x09-\\x0D{_DENSE}]+")
 LOWER = {c: c + 32 for c in range(65, 91)}
 
-UNIT = "doc_id long, unit long, start long, end long, words long, one long, two long"
+UNIT = "doc_id long, raw binary, unit long, start long, end long, words long, one long, two long"
 
 
 def _runs(text: str, start: int, end: int, least_words: int) -> Iterator[tuple[int, int, int, bytes | None]]:
@@ -105,26 +105,30 @@ def units_of(text: str, unit: str, least_words: int) -> Iterator[tuple[int, int,
 
 
 def _cut(docs: DataFrame, unit: str, least_words: int) -> DataFrame:
+    names = [x.split()[0] for x in UNIT.split(", ")]
+    kinds = [pa.int64(), pa.binary(), *[pa.int64()] * 6]
+
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
             for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist()):
+                raw = md5((text or "").encode("utf-8")).digest()
                 for i, (start, end, words, digest) in enumerate(units_of(text or "", unit, least_words)):
                     if digest is not None:
-                        out.append((doc_id, i, start, end, words, int.from_bytes(digest[:8], "big", signed=True), int.from_bytes(digest[8:], "big", signed=True)))
+                        out.append((doc_id, raw, i, start, end, words, int.from_bytes(digest[:8], "big", signed=True), int.from_bytes(digest[8:], "big", signed=True)))
                 if len(out) > 50_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], [x.split()[0] for x in UNIT.split(", ")])
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names)
                     out = []
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], [x.split()[0] for x in UNIT.split(", ")])
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names)
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(made, UNIT)
 
 
 def repeated_units(docs: DataFrame, unit: str = "clause", least_words: int = 8) -> DataFrame:
-    """(doc_id, unit, start, end, words, first_doc_id, first_unit, copies): the units to remove from ``docs`` (doc_id, text).
+    """(doc_id, unit, start, end, words, first_doc_id, first_unit, copies, raw): the units to remove from ``docs`` (doc_id, text).
 
-    ``copies`` counts all occurrences. Texts without words, null or empty, have no units. Rows that repeat a doc_id and
+    ``copies`` counts all occurrences; ``raw`` is the MD5 of the text as given, which with doc_id names a row. Texts without words, null or empty, have no units. Rows that repeat a doc_id and
     text have the same units twice, and the second time is removed like any other; a null doc_id comes after all others.
     A removed line is a row beside those of the finer units in it.
     Other columns are ignored; an empty table gives an empty one.
@@ -134,22 +138,38 @@ def repeated_units(docs: DataFrame, unit: str = "clause", least_words: int = 8)
     place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "unit", "row")
     first = rows.groupBy("one", "two").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("copies")).where("copies > 1")
     hit = rows.join(first, ["one", "two"]).where("row <> first.row")
-    return hit.select("doc_id", "unit", "start", "end", "words", F.col("first.doc_id").alias("first_doc_id"), F.col("first.unit").alias("first_unit"), "copies")
+    return hit.select("doc_id", "unit", "start", "end", "words", F.col("first.doc_id").alias("first_doc_id"), F.col("first.unit").alias("first_unit"), "copies", F.lower(F.hex("raw")).alias("raw"))
 
 
 def without(docs: DataFrame, removed: DataFrame) -> DataFrame:
     """``docs`` with the removed spans cut from ``text``, and ``removed_spans`` with their offsets in the text as given.
 
-    ``removed`` has doc_id, start and end. Rows without a span are unchanged; a text that was removed whole is empty. Spans
-    of a null doc_id can't name their row and are not cut.
+    ``removed`` has doc_id, raw, start and end, as ``repeated_units`` gives them: a row is named by its doc_id (null is a name like any
+    other) and its text. Of rows with the same name the first keeps what is listed fewer times than there are rows. Rows without
+    a span are unchanged; a text that was removed whole is empty. A column ``removed_spans`` of ``docs`` is replaced.
     """
-    ahead = Window.partitionBy("doc_id").orderBy("start", F.desc("end")).rowsBetween(Window.unboundedPreceding, -1)
-    spans = removed.where("doc_id is not null").withColumn("done", F.coalesce(F.max("end").over(ahead), F.lit(0).cast("long"))).where("end > done")
-    spans = spans.select(F.col("doc_id").alias("of"), F.greatest("start", "done").alias("start"), "end")  # units may be nested
-    spans = spans.groupBy("of").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("removed_spans"))
-    joined = docs.join(spans, F.col("doc_id").cast("long") == F.col("of"), "left").drop("of")
+    name = ["id", "raw"]
+    own = docs.select(F.struct(*docs.columns).alias("doc"), F.col("doc_id").cast("long").alias("id"), F.md5(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("raw"))
+    same = Window.partitionBy(*name)
+    own = own.withColumns({"nth": F.row_number().over(same.orderBy(F.lit(0))), "rows": F.count(F.lit(1)).over(same)})
+    times = removed.groupBy(F.col("doc_id").cast("long").alias("of"), F.col("raw").alias("text_of"), "start", "end").agg(F.count(F.lit(1)).alias("times"))
+    spans = times.groupBy("of", "text_of").agg(F.collect_list(F.struct("start", (-F.col("end")).alias("minus"), "times")).alias("spans"))
+    joined = own.join(spans, F.col("id").eqNullSafe(F.col("of")) & (F.col("raw") == F.col("text_of")), "left")
+    here = F.array_sort(F.filter("spans", lambda s: F.col("nth") > F.col("rows") - s["times"]))
+    # Units may be nested or overlap: what is cut begins where the cuts before it end.
+    zero = F.struct(F.array().cast("array<struct<start: bigint, end: bigint>>").alias("list"), F.lit(0).cast("long").alias("done"))
+    cut = lambda a, s: F.when(
+        -s["minus"] > a["done"],
+        F.struct(
+            F.concat(a["list"], F.array(F.struct(F.greatest(s["start"], a["done"]).alias("start"), (-s["minus"]).alias("end")))).alias("list"), (-s["minus"]).alias("done")
+        ),
+    ).otherwise(a)
+    joined = joined.withColumn("cuts", F.aggregate(here, zero, cut)["list"])
+    text = F.col("doc.text")
     # What stays runs from the end of a span (or the start of the text) to the start of the next (or the end).
-    starts = F.concat(F.array(F.lit(0).cast("long")), F.transform("removed_spans", lambda s: s["end"]))
-    ends = F.concat(F.transform("removed_spans", lambda s: s["start"]), F.array(F.length("text").cast("long")))
-    kept = F.zip_with(starts, ends, lambda a, b: F.substring(F.col("text"), (a + 1).cast("int"), F.greatest(b - a, F.lit(0)).cast("int")))
-    return joined.withColumn("text", F.when(F.col("removed_spans").isNull(), F.col("text")).otherwise(F.array_join(kept, "")))
+    starts = F.concat(F.array(F.lit(0).cast("long")), F.transform("cuts", lambda s: s["end"]))
+    ends = F.concat(F.transform("cuts", lambda s: s["start"]), F.array(F.length(text).cast("long")))
+    kept = F.zip_with(starts, ends, lambda a, b: F.substring(text, (a + 1).cast("int"), F.greatest(b - a, F.lit(0)).cast("int")))
+    changed = F.coalesce(F.size("cuts") > 0, F.lit(False))
+    columns = [F.when(changed, F.array_join(kept, "")).otherwise(text).alias(c) if c == "text" else F.col("doc")[c].alias(c) for c in docs.columns if c != "removed_spans"]
+    return joined.select(*columns, F.when(changed, F.col("cuts")).alias("removed_spans"))

@@ -6,6 +6,7 @@ import re
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from gridweave.llm.exact import directory, exact_duplicates
 from gridweave.llm.graph import components
@@ -187,3 +188,16 @@ def test_passages_without_marks(spark, kind):
     for i, text in rows[1:]:
         at = text.index(passage)
         assert found[i] and found[i] <= set(range(at, at + len(passage))) and len(found[i]) > len(passage) / 2
+
+
+def test_cuts_name_their_row(spark):
+    """Equal rows keep one whole text; equal ids with other texts, null ids and clashing columns are cut by their own spans."""
+    rng = random.Random(11)
+    one, two, three = prose(rng, 40), prose(rng, 40), prose(rng, 40)
+    rows = [(6, one), (6, one), (7, two), (7, three + "\n" + two), (None, three), (None, one)]
+    docs = documents(spark, rows).withColumns({"of": F.lit("o"), "removed_spans": F.lit("r"), "id": F.lit(1), "nth": F.lit(2), "doc": F.lit("d")})
+    out = without(docs, repeated_units(docs))
+    assert out.columns == [c for c in docs.columns if c != "removed_spans"] + ["removed_spans"]
+    got = sorted((r["doc_id"] or 0, (r["text"] or "").strip()) for r in out.collect())
+    # The units of `three` stay in the row with the smaller (not null) id.
+    assert got == sorted([(6, one), (6, ""), (7, two), (7, three), (0, ""), (0, "")])

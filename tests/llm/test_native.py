@@ -137,3 +137,13 @@ def test_tool_calls(spark):
     assert sum(r["status"] == "context" for r in got) == 4
     assert len(got) == len(rows) - 2  # two results stand in their calls' rows
     assert tool_lines(turns.limit(0), schemas).count() == 0
+
+
+def test_calls_without_an_identifier_have_their_own_rows(spark):
+    call = lambda k: '{"name": "reply", "arguments": {"text": "t%d", "turn": %d}}' % (k, k)
+    body = '{"tool_calls": [' + ", ".join(map(call, range(3))) + "]}"
+    rows = [(1, 1, "assistant", body), (1, 2, "assistant", body), (2, 2, "assistant", '{"tool_calls": [{"id": "a", "name": "reply", "arguments": {"text": "x", "turn": 1}, "after": ["b"]}, {"name": "reply", "arguments": {"text": "y", "turn": 1}}, {"id": "b", "name": "reply", "arguments": {"text": "z", "turn": 1}}]}')]
+    got = tool_lines(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    calls = [r for r in got if r["conv_id"] == 1 and r["kind"] == "call"]
+    assert len(calls) == 6 and {(r["status"], r["call_id"]) for r in calls} == {("open", None)} and sum('"t2"' in r["json"] for r in calls) == 2
+    assert sorted(r["level"] for r in got if r["conv_id"] == 2 and r["kind"] == "call") == [0, 0, 1]
