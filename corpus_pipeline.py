@@ -60,17 +60,26 @@ def leak_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix: each drawn row once for each time it is taken, with its source's target and its shard and place in it."""
+    """The mix: each drawn row once for each time it is taken, with its source's target and its shard and place in it.
+
+    A column of the mix whose name ``docs`` has is named with ``mix_`` before it.
+    """
     # Rows with the same doc_id, text and source are numbered on both sides, so each meets one draw.
-    drawn = mix(docs, by_text=True).withColumn("name__", _name("raw"))
-    nth = Window.partitionBy("name__")
-    drawn = drawn.withColumn("nth__", F.row_number().over(nth.orderBy(F.desc("taken"), "shard", "again_shard"))).where("taken > 0")
-    drawn = drawn.select(
-        "name__", "nth__", "size", "source_size", "target", "taken", "place", F.explode(F.filter(F.array("shard", "again_shard"), lambda x: x.isNotNull())).alias("shard")
-    )
-    rows = Shelf(spark, "mixed").put(drawn)
-    named = docs.withColumn("name__", _name(_raw())).withColumn("nth__", F.row_number().over(nth.orderBy("doc_id")))
-    return named.join(rows, ["name__", "nth__"]).drop("name__", "nth__")
+    drawn = mix(docs, by_text=True).withColumn("name", _name("raw"))
+    nth = Window.partitionBy("name")
+    drawn = drawn.withColumn("nth", F.row_number().over(nth.orderBy(F.desc("taken"), "shard", "again_shard"))).where("taken > 0")
+    shards = F.explode(F.filter(F.array("shard", "again_shard"), lambda x: x.isNotNull())).alias("shard")
+    rows = Shelf(spark, "mixed").put(drawn.select("name", "nth", "size", "source_size", "target", "taken", "place", shards))
+    named = docs.select(F.struct(*docs.columns).alias("doc"), _name(_raw()).alias("name"), "doc_id")
+    named = named.withColumn("nth", F.row_number().over(nth.orderBy("doc_id"))).drop("doc_id")
+    taken = {c.lower() for c in docs.columns}
+    out = [F.col("doc")[c].alias(c) for c in docs.columns]
+    for c in ("size", "source_size", "target", "taken", "place", "shard"):
+        own = c
+        while own in taken:
+            own = f"mix_{own}"
+        out.append(F.col(c).alias(own))
+    return named.join(rows, ["name", "nth"]).select(*out)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
