@@ -25,6 +25,7 @@ from typing import NamedTuple
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,7 +37,7 @@ PIECE_BPE = "/opt/tokenizers/piece_bpe_32k.model"
 #: Fragments that one task composes at a time.
 FAN = 8
 #: Texts are encoded together up to this many characters.
-BLOCK_CHARS = 1 << 20
+BLOCK_CHARS = 1 << 18
 
 #: Fixed value: the pattern by which byte-level BPE cuts a text into words.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -44,7 +45,7 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 #: A run of white space this long is more than the recursion of the first encoder's pattern takes in the end.
 BLANK_RUN = re.compile(r"\s{1000}")
 
-FRAGMENT = "row long, doc_id long, chunk long, chunks long, a_ids array<int>, b_ids array<int>, a_sizes array<int>, b_sizes array<int>"
+FRAGMENT = "row long, doc_id long, chunk long, chunks long, body binary"
 ALIGNED = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups string"
 
 
@@ -57,6 +58,22 @@ class Fragment(NamedTuple):
     b_sizes: np.ndarray
 
 
+def packed(part: Fragment) -> bytes:
+    """The fragment as bytes: lengths, bytes an entry and entries of its arrays, compressed."""
+    kinds = [next(k for k in (np.uint8, np.uint16, np.uint32) if not len(x) or x.max() <= np.iinfo(k).max) for x in part]
+    head = np.array([[len(x), np.dtype(k).itemsize] for x, k in zip(part, kinds)], np.uint32)
+    return zstandard.compress(head.tobytes() + b"".join(x.astype(k).tobytes() for x, k in zip(part, kinds)), 1)
+
+
+def unpacked(body: bytes) -> Fragment:
+    data = zstandard.decompress(body)
+    head, at, out = np.frombuffer(data, np.uint32, 8).reshape(4, 2).tolist(), 32, []
+    for n, size in head:
+        out.append(np.frombuffer(data, f"u{size}", n, at).astype(np.int64))
+        at += n * size
+    return Fragment(*out)
+
+
 def composed(parts: Iterable[Fragment]) -> Fragment:
     """The fragment of consecutive ranges."""
     parts = list(parts)
@@ -97,16 +114,15 @@ class Tokenizers:
 
     def __init__(self, byte_bpe: bytes, piece_bpe: bytes):
         self.files = (byte_bpe, piece_bpe)
-        self._made = None
+        self._made = self._plain = None
 
     def __getstate__(self):
-        return {"files": self.files, "_made": None}
+        return {"files": self.files, "_made": None, "_plain": None}
 
     def _load(self):
         if self._made is None:
             import sentencepiece
             import tiktoken
-            from tokenizers import Tokenizer
 
             spec = json.loads(self.files[0])
             special = {t["id"] for t in spec["added_tokens"]}
@@ -128,21 +144,27 @@ class Tokenizers:
             if any(not a[i] for i in vocabulary) or not all(b):
                 raise ValueError("a token without bytes ends nowhere of its own")
             encoding = tiktoken.Encoding("byte_bpe", pat_str=PATTERN, mergeable_ranks={p: i for i, p in vocabulary.items()}, special_tokens={})
-            plain = Tokenizer.from_str(self.files[0].decode("utf-8"))
-            plain.encode_special_tokens = True
-            self._made = encoding, plain, pieces, a, b
+            self._made = encoding, pieces, a, b
         return self._made
 
     def spelled(self) -> tuple[list[bytes], list[bytes]]:
         """The bytes of each id of A and B; special tokens of A, which are never made, spell nothing."""
-        return self._load()[3:]
+        return self._load()[2:]
+
+    def _blank(self, text: str) -> list[int]:
+        if self._plain is None:
+            from tokenizers import Tokenizer
+
+            self._plain = Tokenizer.from_str(self.files[0].decode("utf-8"))
+            self._plain.encode_special_tokens = True
+        return self._plain.encode(" " + text, add_special_tokens=False).ids
 
     def encoded(self, texts: list[str]) -> Iterator[tuple[list[int], list[int]]]:
         """Ids of A and B of each text; none where the two don't spell a space and the text."""
-        encoding, plain, pieces, a, b = self._load()
+        encoding, pieces, a, b = self._load()
         for text, b_ids in zip(texts, pieces.encode(texts, num_threads=1)):
             if BLANK_RUN.search(text):
-                a_ids = plain.encode(" " + text, add_special_tokens=False).ids
+                a_ids = self._blank(text)
             else:
                 a_ids = encoding.encode_ordinary(" " + text) if text else []
             whole = (" " + text).encode("utf-8")
@@ -165,22 +187,24 @@ def possible_links(a: list[bytes], b: list[bytes]) -> np.ndarray:
     return np.array(sorted(pairs), np.int64)
 
 
-def _some(texts: list[str | None]) -> Iterator[tuple[int, list[str]]]:
-    at = 0
-    while at < len(texts):
-        own, size = [], 0
-        while at + len(own) < len(texts) and (not own or size < BLOCK_CHARS):
-            own.append(texts[at + len(own)] or "")
-            size += len(own[-1])
-        yield at, own
-        at += len(own)
+def _some(column: pa.Array) -> Iterator[tuple[int, list[str]]]:
+    """(number of the first, texts) of consecutive texts; null is empty."""
+    first, own, size = 0, [], 0
+    for i, text in enumerate(column):
+        own.append(text.as_py() or "")
+        size += len(own[-1])
+        if size >= BLOCK_CHARS:
+            yield first, own
+            first, own, size = i + 1, [], 0
+    if own:
+        yield first, own
 
 
 def _fragments(docs: DataFrame, tokenizers, chunk_bytes: int) -> DataFrame:
     from pyspark import TaskContext
 
     names = [x.split()[0] for x in FRAGMENT.split(", ")]
-    kinds = [pa.int64()] * 4 + [pa.list_(pa.int32())] * 4
+    kinds = [pa.int64()] * 4 + [pa.binary()]
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tools = tokenizers.value
@@ -188,7 +212,7 @@ def _fragments(docs: DataFrame, tokenizers, chunk_bytes: int) -> DataFrame:
         row = TaskContext.get().partitionId() << 33
         for batch in batches:
             ids = batch["doc_id"].to_pylist()
-            for first, texts in _some(batch["text"].to_pylist()):
+            for first, texts in _some(batch["text"]):
                 out = []
                 for k, (a, b) in enumerate(tools.encoded(texts), first):
                     a, b = np.array(a, np.int64), np.array(b, np.int64)
@@ -199,7 +223,7 @@ def _fragments(docs: DataFrame, tokenizers, chunk_bytes: int) -> DataFrame:
                     b_cut = [0, *np.searchsorted(b_ends, edges, "right"), len(b)]
                     for c in range(chunks):
                         own_a, own_b = slice(a_cut[c], a_cut[c + 1]), slice(b_cut[c], b_cut[c + 1])
-                        out.append((row, ids[k], c, chunks, *fragment(a[own_a], a_ends[own_a], b[own_b], b_ends[own_b])))
+                        out.append((row, ids[k], c, chunks, packed(fragment(a[own_a], a_ends[own_a], b[own_b], b_ends[own_b]))))
                     row += 1
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names)
 
@@ -211,9 +235,8 @@ def _tree(parts: DataFrame, shelf: Shelf) -> DataFrame:
 
     def added(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("chunk")
-        own = composed(Fragment(*x) for x in zip(*(group[c] for c in Fragment._fields)))
-        first = group.iloc[0]
-        return pd.DataFrame([[first["row"], first["doc_id"], first["parent"], first["chunks"], *own]], columns=["row", "doc_id", "chunk", "chunks", *Fragment._fields])
+        own = packed(composed(map(unpacked, group["body"])))
+        return group[:1].assign(chunk=group["parent"], body=[own])[["row", "doc_id", "chunk", "chunks", "body"]]
 
     while True:
         parts = parts.withColumn("chunks", F.ceil(F.col("chunks") / FAN)).withColumn("parent", F.floor(F.col("chunk") / FAN))
@@ -223,16 +246,9 @@ def _tree(parts: DataFrame, shelf: Shelf) -> DataFrame:
         parts = met
 
 
-def _links(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """(row of the batch, A ids, B ids, ends of groups in both, link codes)."""
-    columns = []
-    for name in ("a_ids", "b_ids", "a_sizes", "b_sizes"):
-        column = batch[name]
-        columns.append((column.values.to_numpy(zero_copy_only=False).astype(np.int64), column.offsets.to_numpy()))
-    for i in range(len(batch)):
-        a, b, a_size, b_size = (values[at[i] : at[i + 1]] for values, at in columns)
-        a_end, b_end = np.cumsum(a_size), np.cumsum(b_size)
-        yield i, a, b, a_end, b_end, a[a_end - 1] << 32 | b[b_end - 1]
+def _links(part: Fragment) -> np.ndarray:
+    """The links of a whole text: A id << 32 | B id of the tokens that end its groups."""
+    return part.a_ids[np.cumsum(part.a_sizes) - 1] << 32 | part.b_ids[np.cumsum(part.b_sizes) - 1]
 
 
 def align(docs: DataFrame, byte_bpe: str = BYTE_BPE, piece_bpe: str = PIECE_BPE, chunk_bytes: int = 1 << 16) -> DataFrame:
@@ -249,22 +265,22 @@ def align(docs: DataFrame, byte_bpe: str = BYTE_BPE, piece_bpe: str = PIECE_BPE,
         tools = Tokenizers(one.read(), two.read())
     links = possible_links(*tools.spelled())
     sent, universe = spark.sparkContext.broadcast(tools), spark.sparkContext.broadcast(links)
-    parts = shelf.put(_fragments(docs, sent, chunk_bytes), "zstd")
+    parts = shelf.put(_fragments(docs, sent, chunk_bytes))
     whole = parts.where("chunks = 1").unionByName(_tree(parts.where("chunks > 1"), shelf))
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = universe.value
         total = np.zeros(len(known), np.int64)
         for batch in batches:
-            for *_, codes in _links(batch):
-                np.add.at(total, np.searchsorted(known, codes), 1)
+            for body in batch["body"]:
+                np.add.at(total, np.searchsorted(known, _links(unpacked(body.as_py()))), 1)
         seen = np.flatnonzero(total)
         for at in range(0, len(seen), 50_000):
             own = seen[at : at + 50_000]
             yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(total[own])], ["link", "n"])
 
     # At most one row for each possible link.
-    sums = whole.select(*Fragment._fields).mapInArrow(counted, "link long, n long").groupBy("link").agg(F.sum("n").alias("n")).toArrow()
+    sums = whole.select("body").mapInArrow(counted, "link long, n long").groupBy("link").agg(F.sum("n").alias("n")).toArrow()
     counts = np.zeros(len(links), np.int64)
     counts[sums["link"].to_numpy()] = sums["n"].to_numpy()
     most = np.zeros(1 + int((links & 0xFFFFFFFF).max()), np.int64)
@@ -276,17 +292,18 @@ def align(docs: DataFrame, byte_bpe: str = BYTE_BPE, piece_bpe: str = PIECE_BPE,
         known, (count, best) = universe.value, table.value
         for batch in batches:
             doc_ids, out, size = batch["doc_id"].to_pylist(), [], 0
-            for i, a, b, a_end, b_end, codes in _links(batch):
-                at = np.searchsorted(known, codes)
-                a_text, b_text = list(map(str, a.tolist())), list(map(str, b.tolist()))
+            for i, body in enumerate(batch["body"]):
+                part = unpacked(body.as_py())
+                at = np.searchsorted(known, _links(part))
+                a_text, b_text = list(map(str, part.a_ids.tolist())), list(map(str, part.b_ids.tolist()))
                 groups, a_at, b_at = [], 0, 0
-                for a_to, b_to in zip(a_end.tolist(), b_end.tolist()):
+                for a_to, b_to in zip(np.cumsum(part.a_sizes).tolist(), np.cumsum(part.b_sizes).tolist()):
                     groups.append(",".join(a_text[a_at:a_to]) + "|" + ",".join(b_text[b_at:b_to]))
                     a_at, b_at = a_to, b_to
-                out.append((doc_ids[i], len(a), len(b), len(codes), len(codes), int(best[at].sum()), int(count[at].sum()), ";".join(groups)))
+                out.append((doc_ids[i], len(part.a_ids), len(part.b_ids), len(at), len(at), int(best[at].sum()), int(count[at].sum()), ";".join(groups)))
                 size += len(out[-1][-1])
-                if size > BLOCK_CHARS * 4 or i + 1 == len(batch):
+                if size > BLOCK_CHARS or i + 1 == len(batch):
                     yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(zip(*out), kinds)], names)
                     out, size = [], 0
 
-    return whole.select("doc_id", *Fragment._fields).mapInArrow(measured, ALIGNED)
+    return whole.select("doc_id", "body").mapInArrow(measured, ALIGNED)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -54,8 +55,8 @@ def trend_smoothing(df: DataFrame, actual: str, predicted: str, alpha: float = 0
     """s_i = a p_i + (1 - a)(s_{i-1} + actual step), for any a in (0, 1].
 
     s - actual is an exponential mean of (p - actual). Its weights fall by (1 - a) per
-    row; rows whose weight is below 1e-17 cannot change a double, so a bounded frame
-    gives the same value. The first row of a series has weight (1 - a)^i. Rows where actual or
+    row; rows whose weight is below 1e-17 cannot change a double, so with a large a a bounded frame
+    gives the same value. Otherwise the recurrence runs over chunks. The first row of a series has weight (1 - a)^i. Rows where actual or
     prediction is null or NaN have a null output, and the others go on as if they were not there.
     """
     name = f"{predicted}_smoothed"
@@ -68,7 +69,7 @@ def _trend_smoothed(df: DataFrame, actual: str, predicted: str, alpha: float, na
         return df.withColumn(name, F.col(predicted).cast("double"))
     depth = math.ceil(math.log(1e-17) / math.log(keep))
     if depth > 64:
-        return _recursive(df, _ema_of, {"keep": keep}, depth, actual, predicted, name, **layout)
+        return _recursive(df, Recurrence((keep,), 1, alpha), actual, predicted, name, **layout)
     df = df.withColumn("raw_gap", F.col(predicted) - F.col(actual))
 
     s = series(df, back=depth, **layout)
@@ -86,13 +87,12 @@ def _trend_smoothed(df: DataFrame, actual: str, predicted: str, alpha: float, na
 def recursive_smoothing(df: DataFrame, predicted: str, **layout) -> DataFrame:
     """out = (prediction + last three outputs) / 4; the first three rows pass through.
 
-    An output's influence shrinks by about 0.87 per row, so each chunk warms up on 320
-    rows before it and the series need not run through one task. A null or NaN prediction
-    has a null output, and the others go on as if it were not there.
+    Chunks run side by side from the outputs before them (see ``_recursive``), so the series need not run through one task.
+    A null or NaN prediction has a null output, and the others go on as if it were not there.
     """
     name = f"{predicted}_smoothed"
     return _with_unknown(
-        df, _known(df, predicted), name, lambda rows: _recursive(rows, _mean_of_outputs, {}, 320, predicted, predicted, name, **layout)
+        df, _known(df, predicted), name, lambda rows: _recursive(rows, Recurrence((0.25, 0.25, 0.25), 3, 0.25), predicted, predicted, name, **layout)
     )
 
 
@@ -110,27 +110,83 @@ def _with_unknown(df: DataFrame, known: Column, name: str, smooth) -> DataFrame:
     return smooth(df.where(known)).unionByName(left_out)
 
 
-def _recursive(df, step, args: dict, warm_up: int, actual: str, predicted: str, name: str, **layout) -> DataFrame:
-    """Run a fading recurrence over each chunk in order; halo rows are its warm-up."""
-    s = series(df, back=warm_up, **layout)
-    keep = [c for c in s.columns]
-    rows = s.df.withColumns(
-        {
-            "run_own": F.col("_own") if s.halo else F.lit(True),
-            "run_order": F.row_number().over(s.w),
-            "run_chunk": F.col("_chunk") if s.chunked else F.lit(0).cast("bigint"),
-        }
-    )
-    rows = rows.select(*keep, "run_own", "run_order", "run_chunk")
+@dataclass(frozen=True)
+class Recurrence:
+    """y_i = inflow_i + sum of weights[k] * y_(i-1-k) from row ``given`` of a series on; the rows before it are given as they are."""
+
+    weights: tuple[float, ...]
+    given: int
+    scale: float
+
+    def outputs(self, x: np.ndarray, at: int, before: np.ndarray) -> np.ndarray:
+        """Outputs of consecutive rows, the first of which is row ``at`` of its series; ``before`` has the outputs before, latest first."""
+        given = min(max(self.given - at, 0), len(x))
+        before = np.concatenate([x[:given][::-1], before])[: len(self.weights)]
+        return np.concatenate([x[:given], linear_recurrence(self.scale * x[given:], self.weights, before)])
+
+    def map_of(self, x: np.ndarray, at: int) -> tuple[np.ndarray, np.ndarray]:
+        """(A, c): the latest outputs after these rows are ``A @ before + c``."""
+        order = len(self.weights)
+        shift = np.eye(order, k=-1)
+        step = shift.copy()
+        step[0] = self.weights
+        given = min(max(self.given - at, 0), len(x))
+        matrix = np.linalg.matrix_power(step, len(x) - given) @ np.linalg.matrix_power(shift, given)
+        own = self.outputs(x, at, np.zeros(order))
+        return matrix, np.concatenate([own[-order:][::-1], np.zeros(order)])[:order]
+
+
+def _recursive(df, recurrence: Recurrence, actual: str, predicted: str, name: str, **layout) -> DataFrame:
+    """Run a linear recurrence over series of any length: each chunk is an affine map of the outputs before it.
+
+    The maps of a series are composed in order, which gives every chunk the outputs before it; then all chunks run side by side.
+    What recurs is prediction minus ``actual`` (nothing if they are the same column); ``actual`` is added back.
+    """
+    s = series(df, **layout)
+    keep, order = list(s.columns), len(recurrence.weights)
+    chunk = F.col("_chunk") if s.chunked else F.lit(0).cast("bigint")
+    rows = s.df.withColumns({"run_at": s.pos, "run_chunk": chunk}).select(*keep, "run_at", "run_chunk")
+    by = [*s.keys, "run_chunk"]
+    same = actual == predicted
+
+    def values(part: pd.DataFrame) -> tuple[pd.DataFrame, np.ndarray, np.ndarray]:
+        part = part.sort_values("run_at")
+        p = part[predicted].to_numpy(float)
+        a = np.zeros(len(p)) if same else part[actual].to_numpy(float)
+        return part, a, p - a
+
+    if s.chunked:
+        fields = [T.StructField(f.name, f.dataType, True) for f in df.select(*s.keys).schema] + [T.StructField("run_chunk", T.LongType())]
+        numbers = T.ArrayType(T.DoubleType())
+        maps = T.StructType([*fields, T.StructField("matrix", numbers), T.StructField("offset", numbers)])
+
+        def summary(part: pd.DataFrame) -> pd.DataFrame:
+            part, _, x = values(part)
+            matrix, offset = recurrence.map_of(x, int(part["run_at"].iloc[0]))
+            return part[by][:1].assign(matrix=[matrix.ravel()], offset=[offset])
+
+        def composed(part: pd.DataFrame) -> pd.DataFrame:
+            part, state, starts = part.sort_values("run_chunk"), np.zeros(order), []
+            for matrix, offset in zip(part["matrix"], part["offset"]):
+                starts.append(state)
+                state = np.reshape(matrix, (order, order)) @ state + np.asarray(offset)
+            return part[by].assign(run_before=starts)
+
+        columns = list(dict.fromkeys([*by, "run_at", actual, predicted]))
+        found = stored(rows.select(*columns).groupBy(*by).applyInPandas(summary, maps))
+        starts = stored(found.groupBy(*s.keys).applyInPandas(composed, T.StructType([*fields, T.StructField("run_before", numbers)])))
+        rows = join_keys(rows, starts, by, "left")
+
     nullable = [T.StructField(f.name, f.dataType, True) for f in df.select(*keep).schema]
     schema = T.StructType([*nullable, T.StructField(name, T.DoubleType(), True)])
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("run_order")
-        pdf[name] = step(pdf[actual].to_numpy(float), pdf[predicted].to_numpy(float), **args)
-        return pdf.loc[pdf["run_own"], [*keep, name]]
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        part, a, x = values(part)
+        before = np.asarray(part["run_before"].iloc[0], float) if "run_before" in part else np.zeros(order)
+        part[name] = a + recurrence.outputs(x, int(part["run_at"].iloc[0]), before)
+        return part[[*keep, name]]
 
-    return rows.groupBy(*s.keys, "run_chunk").applyInPandas(run, schema)
+    return rows.groupBy(*by).applyInPandas(run, schema)
 
 
 BLOCK = 256
@@ -160,19 +216,6 @@ def linear_recurrence(x: np.ndarray, weights: Sequence[float], before: Sequence[
     return out
 
 
-def _mean_of_outputs(actual: np.ndarray, predicted: np.ndarray) -> np.ndarray:
-    if len(predicted) <= 3:
-        return predicted
-    rest = linear_recurrence(predicted[3:] / 4, (0.25, 0.25, 0.25), predicted[2::-1])
-    return np.concatenate([predicted[:3], rest])
-
-
-def _ema_of(actual: np.ndarray, predicted: np.ndarray, keep: float) -> np.ndarray:
-    gap = predicted - actual
-    rest = linear_recurrence((1 - keep) * gap[1:], (keep,), gap[:1])
-    return actual + np.concatenate([gap[:1], rest])
-
-
 def uniform_smoothing(df: DataFrame, value: str, size: int = 5, edge: str = "nearest", **layout) -> DataFrame:
     """Centred mean over min(size, n // 4) rows; beyond the ends the edge value (or zero) counts.
 
