@@ -1,20 +1,20 @@
 """Near-duplicate documents by bottom-k sketches.
 
 One hash function fingerprints the word shingles of a text; its sketch is the k smallest. Texts with the same
-word sequence are one class. The ``index`` smallest values of each class make inverted lists, and classes that
-meet in a list are candidates:
-
-- Each list is first compared with one member, its pivot (the class with most copies). Verified links give
-  components, and a list whose members share a component is done: copies are never expanded into pairs.
-- Members outside the list's largest component are compared with about four more of it. Where at most ``few`` are
-  left outside, they are compared with the whole list.
-- A list that stays open holds a passage that many unlike texts share. Its classes are indexed once more by all
-  their k values without those of open lists. Classes whose sketch is mostly such values are compared along the
-  lists that are still open, with four times as many pivots each round until each member was one.
-
-Two texts at similarity 0.8 or more miss each other in the ten smallest values of their union with a chance
-of 0.2**10 = 1e-7, and their sketch estimate falls under 0.55 (k = 64) with about 3e-7. All other candidates are
-verified on the full shingle sets, recomputed from the whole texts.
+word sequence are one class.
+
+1. Retained values are counted over all classes. Two sketches whose estimate is high enough share so many values that they also
+   share one of their rarest: of a full sketch of 64, any two that share 36 meet within their 29 rarest values. Only these are
+   indexed, so a passage that many texts contain makes a list of those texts alone that are mostly it.
+2. Each inverted list is compared with one member, its pivot: the class whose values are the most frequent, which in a group of
+   edited copies is the text they were made from. Copies are never expanded into pairs.
+3. Candidates of similar size are estimated from the union of their sketches, and the likely ones verified on the full shingle sets,
+   computed from the whole texts: the likeliest partner of each class first, then the likeliest pair of any two components, then
+   what is still unconnected. A text goes to the verifier once for up to ``BLOCK`` of its partners.
+4. Lists that still hold several components go on: with at most ``few`` members outside the largest component these are compared
+   with the list, else more pivots are taken from the list each round, in rounds that grow eightfold, until each member was one.
+
+Two texts at similarity 0.8 or more have a sketch estimate under 0.55 (k = 64) with a chance of about 3e-7; nothing else is lost.
 """
 
 from __future__ import annotations
@@ -23,195 +23,220 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridweave.llm.graph import components
 from gridweave.llm.shelf import Shelf
 from gridweave.llm.words import blocks, sequence_keys, shingles, words
 
-SKETCH = "doc_id long, one long, two long, size int, sketch array<long>"
+SKETCH = "doc_id long, raw long, one long, two long, size int, sketch array<long>"
+
+#: Partners of a text that one task verifies together.
+BLOCK = 256
+#: Texts whose shingle sets are held at a time.
+TEXTS = 128
+
+
+def _rows(docs: DataFrame) -> DataFrame:
+    """(doc_id, raw, text): raw is a digest of the text."""
+    text = F.col("text").cast("string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("raw"), text.alias("text"))
 
 
 def sketches(docs: DataFrame, shingle: int, k: int) -> DataFrame:
-    """(doc_id, one, two, size, sketch): class key, number of distinct shingles and the k smallest fingerprints."""
+    """(doc_id, raw, one, two, size, sketch): text digest, class key, number of distinct shingles and the k smallest fingerprints."""
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block in blocks(batch["text"]):
                 w = words(block)
                 one, two = sequence_keys(w)
-                found, bounds = shingles(w, shingle)
-                sets = [np.unique(found[a:b]) for a, b in zip(bounds[:-1], bounds[1:])]
+                sets = _sets(w, shingle)
                 kept = [s[:k] for s in sets]
                 lists = pa.ListArray.from_arrays(
                     np.cumsum([0, *map(len, kept)], dtype=np.int32),
                     np.concatenate(kept).view(np.int64),
                 )
-                ids = batch["doc_id"].slice(block.first, len(sets))
+                own = [batch[c].slice(block.first, len(sets)) for c in ("doc_id", "raw")]
                 yield pa.RecordBatch.from_arrays(
-                    [ids, pa.array(one), pa.array(two), pa.array(list(map(len, sets)), pa.int32()), lists],
-                    ["doc_id", "one", "two", "size", "sketch"],
+                    [*own, pa.array(one), pa.array(two), pa.array(list(map(len, sets)), pa.int32()), lists],
+                    ["doc_id", "raw", "one", "two", "size", "sketch"],
                 )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(
-        made, SKETCH
-    )
+    return _rows(docs).mapInArrow(made, SKETCH)
 
 
-def _estimated(pairs: DataFrame, least: float) -> DataFrame:
-    """Pairs whose union-sketch estimate of the similarity is at least ``least``."""
+def _sets(w, shingle: int) -> list[np.ndarray]:
+    """The distinct shingle fingerprints of each text, rising."""
+    found, bounds = shingles(w, shingle)
+    return [np.unique(found[a:b]) for a, b in zip(bounds[:-1], bounds[1:])]
 
-    def likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            column = {}
-            for side in ("sa", "sb"):
-                lists = batch[side]
-                values = lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
-                column[side] = values, np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))])
-            (va, oa), (vb, ob) = column["sa"], column["sb"]
-            fit = np.zeros(len(batch), dtype=bool)
-            for i in range(len(batch)):
-                a, b = va[oa[i] : oa[i + 1]], vb[ob[i] : ob[i + 1]]
-                merged = np.sort(np.concatenate([a, b]))
-                twice = merged[1:] == merged[:-1]
-                # The k smallest of the union: k is the shorter sketch's length if that is full, else all values.
-                unions = np.cumsum(np.concatenate([[True], ~twice]))
-                full = min(max(len(a), len(b)), unions[-1])
-                fit[i] = twice[unions[1:] <= full].sum() >= least * full
-            yield pa.RecordBatch.from_arrays([batch["a"], batch["b"]], ["a", "b"]).filter(pa.array(fit))
-
-    return pairs.mapInArrow(likely, "a long, b long")
-
-
-def packed(docs: DataFrame) -> DataFrame:
-    """(doc_id, one, two, body): compressed texts with their class keys."""
 
-    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        press = zstandard.ZstdCompressor(level=3)
-        for batch in batches:
-            for block in blocks(batch["text"]):
-                one, two = sequence_keys(words(block))
-                raw, n = block.data.tobytes(), len(one)
-                body = [press.compress(raw[a:b]) for a, b in zip(block.offsets[:-1], block.offsets[1:])]
-                yield pa.RecordBatch.from_arrays(
-                    [batch["doc_id"].slice(block.first, n), pa.array(one), pa.array(two), pa.array(body, pa.binary())],
-                    ["doc_id", "one", "two", "body"],
-                )
+def _near_sizes(one: str, other: str, percent: int) -> Column:
+    return F.expr(f"100L * {one} >= {percent}L * {other} and 100L * {other} >= {percent}L * {one}")
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(
-        made, "doc_id long, one long, two long, body binary"
-    )
 
+def _padded(lists: pa.Array, k: int, pad: int) -> tuple[np.ndarray, np.ndarray]:
+    """The lists as rows of k unsigned numbers, filled up with different numbers from ``pad`` on; and their lengths."""
+    length = lists.value_lengths().to_numpy(zero_copy_only=False)
+    out = np.tile(np.arange(pad, pad + k, dtype=np.uint64), (len(length), 1))
+    out[np.arange(k) < length[:, None]] = lists.flatten().to_numpy(zero_copy_only=False).view(np.uint32)
+    return out, length
 
-def _verified(pairs: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """Pairs (a, b, ta, tb: compressed texts) with 100 * common shingles >= percent * shingles of either."""
 
-    def sets(column: pa.Array) -> list[np.ndarray]:
-        press = zstandard.ZstdDecompressor()
-        texts = pa.array([press.decompress(x) for x in column.to_pylist()], pa.binary()).cast(pa.string())
-        out = []
-        for block in blocks(texts):
-            found, bounds = shingles(words(block), shingle)
-            out += [np.unique(found[a:b]) for a, b in zip(bounds[:-1], bounds[1:])]
-        return out
+def estimates(pairs: DataFrame, k: int, least: float) -> DataFrame:
+    """(a, b, score) of the pairs (a, b, sa, sb: leading 32 bits of their sketches) whose union sketch has a share of common
+    values of at least ``least``. Equal leading bits of different values can only raise it."""
+
+    def likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            (a, la), (b, lb) = _padded(batch["sa"], k, 1 << 33), _padded(batch["sb"], k, 1 << 34)
+            merged = np.sort(np.concatenate([a, b], axis=1), axis=1)
+            twice = merged[:, 1:] == merged[:, :-1]
+            # The smallest values of the union: as many as the longer sketch has, or all.
+            unions = 1 + np.cumsum(~twice, axis=1)
+            real = la + lb - twice.sum(axis=1)
+            full = np.minimum(np.maximum(la, lb), real)
+            score = (twice & (unions <= full[:, None])).sum(axis=1) / np.maximum(full, 1)
+            out = pa.RecordBatch.from_arrays([batch["a"], batch["b"], pa.array(score)], ["a", "b", "score"])
+            yield out.filter(pa.array(score >= least))
+
+    return pairs.mapInArrow(likely, "a long, b long, score double")
+
+
+def verified(texts: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """(a, b) with 100 * common shingles >= percent * shingles of either, from rows (b, block, a, text) that are sorted: those
+    without ``a`` have the text of ``b``, those after them the texts it is compared with."""
 
     def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, heads = None, []
         for whole in batches:
-            for at in range(0, len(whole), 256):
-                batch = whole.slice(at, 256)
-                fit = []
-                for a, b in zip(sets(batch["ta"]), sets(batch["tb"])):
-                    common = len(np.intersect1d(a, b, assume_unique=True))
-                    fit.append(100 * common >= percent * (len(a) + len(b) - common))
-                yield pa.RecordBatch.from_arrays([batch["a"], batch["b"]], ["a", "b"]).filter(pa.array(fit))
-
-    return pairs.mapInArrow(linked, "a long, b long")
+            for at in range(0, len(whole), TEXTS):
+                batch = whole.slice(at, TEXTS)
+                sets = [s for block in blocks(batch["text"]) for s in _sets(words(block), shingle)]
+                out = []
+                for b, part, a, own in zip(batch["b"].to_pylist(), batch["block"].to_pylist(), batch["a"].to_pylist(), sets):
+                    if key != (b, part):
+                        key, heads = (b, part), []
+                    if a is None:
+                        heads.append(own)
+                        continue
+                    for head in heads:
+                        common = len(np.intersect1d(head, own, assume_unique=True))
+                        if 100 * common >= percent * (len(head) + len(own) - common):
+                            out.append((a, b))
+                yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in out], pa.int64()) for i in (0, 1)], ["a", "b"])
+
+    return texts.mapInArrow(linked, "a long, b long")
 
 
 class _Links:
-    """Components of the links found so far, as (node, label)."""
-
-    def __init__(self, shelf: Shelf, nodes: DataFrame, bodies: DataFrame, shingle: int, percent: int, margin: float):
-        self.shelf, self.nodes, self.bodies = shelf, nodes, bodies
-        self.shingle, self.percent, self.least = shingle, percent, percent / 100 - margin
-        self.labels: DataFrame | None = None
-
-    def check(self, pairs: DataFrame) -> bool:
-        """Verify the candidate pairs (a, b); if there are links among them, renew the labels."""
-        pairs = pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        side = lambda x: self.nodes.select(F.col("node").alias(x), F.col("size").alias(f"n{x}"), F.col("sketch").alias(f"s{x}"))
-        body = lambda x: self.bodies.select(F.col("node").alias(x), F.col("body").alias(f"t{x}"))
-        near = f"100 * na >= {self.percent} * nb and 100 * nb >= {self.percent} * na"
-        likely = _estimated(pairs.join(side("a"), "a").join(side("b"), "b").where(near).select("a", "b", "sa", "sb"), self.least)
-        found = likely.join(body("b"), "b").join(body("a"), "a").select("a", "b", "ta", "tb")
-        found = self.shelf.put(_verified(found, self.shingle, self.percent))
-        if found.isEmpty():
-            return False
-        # Labels stand for the links before them, so only they and the new links are connected again.
-        edges = found if self.labels is None else found.union(self.labels.select("node", "label"))
-        self.labels = components(edges, self.shelf)
-        return True
+    """Components of the links found so far, as (node, label) for each node of the index."""
+
+    def __init__(self, shelf: Shelf, nodes: DataFrame, bodies: DataFrame, labels: DataFrame, shingle: int, percent: int, k: int, least: float):
+        self.shelf, self.nodes, self.bodies, self.labels = shelf, nodes, bodies, labels
+        self.shingle, self.percent, self.k, self.least = shingle, percent, k, least
+
+    def named(self, pairs: DataFrame) -> DataFrame:
+        """The pairs with the labels la and lb of both sides."""
+        side = lambda x: self.labels.select(F.col("node").alias(x), F.col("label").alias(f"l{x}"))
+        return pairs.join(side("a"), "a").join(side("b"), "b")
+
+    def verify(self, pairs: DataFrame) -> None:
+        """Compare the texts of the pairs (a, b) and join the labels of those that are linked."""
+        sizes = pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
+        pairs = self.shelf.put(pairs.join(sizes, "b").select("b", F.expr("pmod(xxhash64(a), blocks)").alias("block"), "a"))
+        body = lambda x: self.bodies.select(F.col("node").alias(x), "text")
+        heads = pairs.select("b", "block").distinct().join(body("b"), "b").select("b", "block", F.lit(None).cast("long").alias("a"), "text")
+        texts = heads.union(pairs.join(body("a"), "a").select("b", "block", "a", "text"))
+        texts = texts.repartition("b", "block").sortWithinPartitions("b", "block", F.col("a").asc_nulls_first())
+        found = self.shelf.put(verified(texts, self.shingle, self.percent))
+        if not found.isEmpty():
+            # Labels stand for the links before them, so only they are connected by the new ones.
+            new = components(self.named(found).select(F.col("la").alias("a"), F.col("lb").alias("b")), self.shelf)
+            new = new.select(F.col("node").alias("label"), F.col("label").alias("new"))
+            before = self.labels
+            self.labels = self.shelf.put(before.join(new, "label", "left").select("node", F.coalesce("new", "label").alias("label")))
+            self.shelf.drop(before)
+        self.shelf.drop(pairs, found)
+
+    def check(self, pairs: DataFrame) -> None:
+        """Estimate the candidate pairs (a, b) and verify the likely ones as far as they are not connected."""
+        sketch = F.transform("sketch", lambda x: F.shiftright(x, 32).cast("int"))
+        side = lambda x: self.nodes.select(F.col("node").alias(x), sketch.alias(f"s{x}"))
+        pairs = pairs.select("a", "b").repartition("a").distinct()
+        likely = self.shelf.put(estimates(pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "sa", "sb"), self.k, self.least))
+        first = likely.groupBy("a").agg(F.max(F.struct("score", "b")).alias("top")).select("a", "top.b")
+        if not likely.isEmpty():
+            self.verify(first)
+            between = F.least("la", "lb").alias("low"), F.greatest("la", "lb").alias("high")
+            left = self.shelf.put(self.named(likely.join(first, ["a", "b"], "left_anti")).where("la <> lb").select("a", "b", "score", *between))
+            if not left.isEmpty():
+                top = left.groupBy("low", "high").agg(F.max(F.struct("score", "a", "b")).alias("top")).select("top.a", "top.b")
+                self.verify(top)
+                rest = self.shelf.put(self.named(left.join(top, ["a", "b"], "left_anti").select("a", "b")).where("la <> lb").select("a", "b"))
+                if not rest.isEmpty():
+                    self.verify(rest)
+                self.shelf.drop(rest)
+            self.shelf.drop(left)
+        self.shelf.drop(likely)
 
     def open_lists(self, entries: DataFrame, few: int) -> DataFrame:
-        """The entries (value, node) of lists with two labels or more: with label, length n, members outside the largest
-        label, that label (main), and whether these are ``few``."""
-        own = entries.select("value", "node").withColumn("label", F.col("node"))
-        if self.labels is not None:
-            own = entries.select("value", "node").join(self.labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        """The entries of lists with two labels or more, with label, the list's largest label (main) and whether at most ``few`` are outside it."""
+        own = entries.join(self.labels, "node")
         lists = (
             own.groupBy("value", "label")
             .agg(F.count(F.lit(1)).alias("c"))
             .groupBy("value")
-            .agg(F.sum("c").alias("n"), F.max(F.struct("c", "label")).alias("top"))
-            .where("n > top.c")
-            .select("value", "n", (F.col("n") - F.col("top.c")).alias("outside"), F.col("top.label").alias("main"))
+            .agg(F.sum("c").alias("all"), F.max(F.struct("c", "label")).alias("top"))
+            .where("all > top.c")
+            .select("value", (F.col("all") - F.col("top.c") <= few).alias("direct"), F.col("top.label").alias("main"))
         )
-        return self.shelf.put(own.join(lists, "value").withColumn("direct", F.col("outside") <= few))
-
-    def meet(self, own: DataFrame, pivots: int, turn: int, whole: bool = False) -> bool:
-        """Whether there are new links, comparing the members outside the largest label: with the whole list where they are few, else with about ``pivots``
-        members of that label; with ``whole``, all members with about ``pivots`` of any label."""
-        chosen = f"pmod(xxhash64(node, {turn}), n) < {pivots}" + ("" if whole else " and label = main")
-        left = own.where("label <> main" + (" or not direct" if whole else "")).select("value", F.col("node").alias("a"), F.col("label").alias("la"))
-        right = own.where(f"direct or ({chosen})").select("value", F.col("node").alias("b"), F.col("label").alias("lb"))
-        return self.check(left.join(right, "value").where("la <> lb").select("a", "b"))
-
-    def along(self, entries: DataFrame, few: int) -> DataFrame:
-        """Two rounds along the lists; the entries of those that stay open."""
-        own = self.open_lists(entries, few)
-        if own.isEmpty():
-            return own
-        left = own.where("not direct")
-        if self.meet(own, 4, 1):
-            # With new labels, some of these lists have few members outside by now.
-            left = self.open_lists(left, few)
-            if not left.where("direct").isEmpty():
-                self.meet(left.where("direct"), 0, 2)
-        return left.where("not direct")
-
-    def along_whole(self, entries: DataFrame, few: int) -> None:
-        """Rounds until no list is open: pivots from all members, four times as many each round."""
-        pivots, turn = 16, 3
-        own = self.open_lists(entries, few)
-        while not own.isEmpty():
-            new = self.meet(own, pivots, turn, True)
-            # A list compared with all its members is done.
-            own = own.where(f"not direct and n > {pivots}")
-            own = self.open_lists(own, few) if new else own
-            pivots, turn = pivots * 4, turn + 1
-
-
-def near_duplicates(
-    docs: DataFrame,
-    shingle: int = 5,
-    percent: int = 80,
-    k: int = 64,
-    index: int = 10,
-    margin: float = 0.25,
-    few: int = 16,
-) -> DataFrame:
+        return self.shelf.put(own.join(lists, "value"))
+
+    def along(self, entries: DataFrame, few: int) -> None:
+        """Rounds until no list (value, node, size, n) is open, or each of its members was a pivot."""
+        low, high, before = 0, 8, None
+        while True:
+            table = self.open_lists(entries, few)
+            if before is not None:
+                self.shelf.drop(before)
+            if table.isEmpty():
+                break
+            rank = "floor(pmod(xxhash64(node), 1048576) / 1048576 * n)"
+            own = table.withColumn("chosen", F.expr(f"if(direct, label <> main, {rank} >= {low} and {rank} < {high})"))
+            left = own.select("value", F.col("node").alias("a"), F.col("label").alias("la"), F.col("size").alias("na"), F.col("chosen").alias("both"))
+            right = own.where("chosen").select("value", F.col("node").alias("b"), F.col("label").alias("lb"), F.col("size").alias("nb"))
+            met = left.join(right, "value").where("la <> lb and (not both or a < b)").where(_near_sizes("na", "nb", self.percent))
+            self.check(met)
+            entries = own.where(f"not direct and n > {high}").select("value", "node", "size", "n")
+            low, high, before = high, high * 8, table
+        self.shelf.drop(table)
+
+
+def rarest(nodes: DataFrame, percent: int, k: int, margin: float) -> DataFrame:
+    """(value, node, size, weight): the rarest values of each sketch, one of which any two sketches share that can be linked; weight is
+    the mean number of classes that have a value of the sketch. Values of one class alone are left out.
+
+    A set of at most ``percent`` % of k shingles shares that many per cent of them with any partner, a larger one ``margin`` less.
+    """
+    values = nodes.select("node", "size", F.explode("sketch").alias("value"))
+    counts = values.groupBy("value").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    length, size = F.least("size", F.lit(k)), F.col("size").cast("long")
+    need = F.when(size * 100 <= percent * k, F.ceil(size * percent / 100)).otherwise(F.ceil(length * (percent / 100 - margin)))
+    return (
+        values.join(counts, "value")
+        .groupBy("node", "size")
+        .agg(F.sort_array(F.collect_list(F.struct("n", "value"))).alias("list"), F.sum("n").alias("mass"))
+        .withColumn("take", (F.size("list") - need + 1).cast("int"))
+        .where("take > 0")
+        .select("node", "size", F.floor(F.col("mass") / length).alias("weight"), F.explode(F.expr("slice(list, 1, take)")).alias("own"))
+        .select("own.value", "node", "size", "weight")
+    )
+
+
+def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, k: int = 64, margin: float = 0.25, few: int = 32) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for each row of ``docs`` (doc_id, text; other columns are ignored).
 
     Words are ``[^\\x20\\x09-\\x0D]+`` after lower-casing A-Z. A set holds the distinct ``shingle``-word shingles of the
@@ -222,44 +247,39 @@ def near_duplicates(
     """
     shelf = Shelf(docs.sparkSession, "near")
     own = shelf.put(sketches(docs, shingle, k))
+    lead = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "raw"))
+    classes = own.where("size > 0").groupBy("one", "two").agg(lead.alias("lead"), F.first("size").alias("size"), F.first("sketch").alias("sketch"))
     nodes = shelf.put(
-        own.where("size > 0")
-        .groupBy("one", "two")
-        .agg(F.min("doc_id").alias("lead"), F.count(F.lit(1)).alias("copies"), F.first("size").alias("size"), F.first("sketch").alias("sketch"))
-        .withColumn("node", F.coalesce("lead", "one"))
+        classes.select("one", "two", F.coalesce("lead.doc_id", "one").alias("node"), F.coalesce("lead.doc_id", F.lit(0)).alias("id"), "lead.raw", "size", "sketch")
     )
-    entries = nodes.select(F.explode(F.slice("sketch", 1, index)).alias("value"), "node", "copies")
-    rank = F.struct((-F.col("copies")).alias("k"), F.xxhash64("node").alias("h"), "node")
-    lists = entries.groupBy("value").agg(F.count(F.lit(1)).alias("n"), F.min(rank).alias("best")).where("n > 1")
-    entries = shelf.put(entries.join(lists.select("value", "n", F.col("best.node").alias("pivot")), "value").drop("copies"))
-    wanted = nodes.join(entries.select("node").distinct(), "node", "left_semi").select("node", "one", "two", F.col("lead").alias("doc_id"))
-    texts = packed(docs)
-    same = texts["doc_id"].eqNullSafe(wanted["doc_id"]) & (texts["one"] == wanted["one"]) & (texts["two"] == wanted["two"])
-    bodies = shelf.put(texts.join(wanted.hint("shuffle_hash"), same).select("node", "body").groupBy("node").agg(F.first("body").alias("body")))
-
-    links = _Links(shelf, nodes, bodies, shingle, percent, margin)
-    links.check(entries.select(F.col("node").alias("a"), F.col("pivot").alias("b")))
-    left = links.along(entries.where("n > 2"), few)
-    if not left.isEmpty():
-        hot = left.select("value").distinct()
-        held = left.select("node").distinct()
-        held = shelf.put(nodes.join(held, "node", "left_semi").select(F.explode("sketch").alias("value"), "node", F.size("sketch").alias("k")))
-        again = links.along(held.join(hot, "value", "left_anti"), few)
-        # Classes with half their sketch in open lists; the others share a value of a closed list with every partner.
-        hot = hot.union(again.select("value")).distinct()
-        of_hot = held.join(hot, "value", "left_semi")
-        mostly = of_hot.groupBy("node").agg(F.count(F.lit(1)).alias("c"), F.first("k").alias("k")).where("2 * c >= k")
-        links.along_whole(of_hot.join(mostly.select("node"), "node", "left_semi"), few)
-
-    label = F.coalesce("label", "node")
-    names = nodes.select("one", "two", "node", "lead").join(links.labels, "node", "left").withColumn("label", label) if links.labels is not None else nodes.withColumn("label", F.col("node"))
-    least = names.groupBy("label").agg(F.min("lead").alias("component_id"))
-    names = names.join(least, "label").select("one", "two", "component_id")
-    out = own.select("doc_id", "size", F.when(F.col("size") > 0, F.col("one")).alias("one"), "two").join(names, ["one", "two"], "left")
+    prefix = shelf.put(rarest(nodes, percent, k, margin))
+    top = F.max(F.struct("weight", "node", "size")).alias("top")
+    lists = prefix.groupBy("value").agg(F.count(F.lit(1)).alias("n"), top).where("n > 1")
+    met = prefix.drop("weight").join(lists, "value")
+    entries = shelf.put(met.select("value", "node", "size", "n", F.col("top.node").alias("pivot"), F.col("top.size").alias("pivot_size")))
+    shelf.drop(prefix)
+    labels = shelf.put(entries.select("node").distinct().select("node", F.col("node").alias("label")))
+    wanted = nodes.join(labels, "node", "left_semi").select("node", "id", "raw")
+    # Rows with the same id and digest have one text, joined in partial sums before they are shuffled.
+    texts = _rows(docs).groupBy(F.coalesce("doc_id", F.lit(0)).alias("id"), "raw").agg(F.first("text").alias("text"))
+    bodies = shelf.put(texts.join(wanted.hint("shuffle_hash"), ["id", "raw"]).select("node", "text"), "zstd")
+
+    links = _Links(shelf, nodes, bodies, labels, shingle, percent, k, percent / 100 - margin)
+    pairs = entries.where("node <> pivot").where(_near_sizes("size", "pivot_size", percent))
+    links.check(pairs.select(F.col("node").alias("a"), F.col("pivot").alias("b")))
+    links.along(entries.where("n > 2").select("value", "node", "size", "n"), few)
+
+    names = nodes.select("one", "two", "node").join(links.labels, "node", "left").select("one", "two", F.coalesce("label", "node").alias("label"))
+    rows = own.select("doc_id", "size", F.when(F.col("size") > 0, F.col("one")).alias("one"), "two").join(names, ["one", "two"], "left")
+    rows = shelf.put(rows.select("doc_id", "size", "label"))
+    split = rows.where("label is not null").groupBy("doc_id").agg(F.min("label").alias("low"), F.max("label").alias("high"))
+    split = split.where("doc_id is not null and low <> high")
+    if not split.isEmpty():
+        same = components(rows.join(split, "doc_id").select(F.col("label").alias("a"), F.col("low").alias("b")), shelf)
+        same = same.select(F.col("node").alias("label"), F.col("label").alias("new"))
+        rows = rows.join(same, "label", "left").select("doc_id", "size", F.coalesce("new", "label").alias("label"))
+    least = rows.where("label is not null").groupBy("label").agg(F.min("doc_id").alias("component_id"))
     component = F.when(F.col("size") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    return out.select(
-        "doc_id",
-        F.col("size").cast("long").alias("n_shingles"),
-        component.alias("component_id"),
-        (F.col("doc_id") == component).alias("kept"),
-    )
+    out = shelf.put(rows.join(least, "label", "left").select("doc_id", F.col("size").cast("long").alias("n_shingles"), component.alias("component_id")))
+    shelf.drop(own, nodes, entries, bodies, links.labels)
+    return out.withColumn("kept", F.col("doc_id") == F.col("component_id"))
