@@ -20,6 +20,7 @@ class Shelf:
         self.spark = spark
         self.folder = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         self._count = 0
+        self._paths: list[str] = []
 
     def put(self, df: DataFrame, codec: str = "snappy") -> DataFrame:
         """Write the rows and return the table that reads them."""
@@ -28,11 +29,21 @@ class Shelf:
         df.write.option("compression", codec).parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._shelf_path = path
+        self._paths.append(path)
         return out
 
+    def keep(self, *tables: DataFrame) -> None:
+        """Remove all tables but these."""
+        kept = {t._shelf_path for t in tables}
+        for path in [p for p in self._paths if p not in kept]:
+            self._remove(path)
+
     def drop(self, *tables: DataFrame) -> None:
         """Remove tables made by ``put``."""
-        jvm = self.spark._jvm
         for table in tables:
-            path = jvm.org.apache.hadoop.fs.Path(table._shelf_path)
-            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+            self._remove(table._shelf_path)
+
+    def _remove(self, path: str) -> None:
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
+        self._paths = [p for p in self._paths if p != path]

@@ -82,6 +82,25 @@ def test_shingles_of_few_words_alone(size):
         assert alone.tolist() == together[bounds[i] : bounds[i + 1]].tolist()
 
 
+def test_near_repeated_ids(spark):
+    one, two, three = (prose(random.Random(i), 50) for i in range(3))
+    rows = [(3, one), (5, one), (5, two), (9, two), (7, three), (None, three), (None, "alone")]
+    got = near_duplicates(documents(spark, rows)).collect()
+    key = lambda r: tuple((x is None, x or 0) for x in r)
+    assert sorted(map(tuple, got), key=key) == sorted(brute_near(rows, 5), key=key)
+
+
+def test_near_crowded_list(spark):
+    """Copies of one text that each miss the threshold by their own edits, some in pairs by an edit that they share."""
+    rng = random.Random(11)
+    base = prose(rng, 150)
+    rows = [(i, edited(rng, base, i % 3)) for i in range(20)]
+    far = [edited(rng, base, 7) for _ in range(40)]
+    rows += [(100 + i, t) for i, t in enumerate(far)] + [(200 + i, edited(rng, t, 1)) for i, t in enumerate(far[:10])]
+    got = near_duplicates(documents(spark, rows), few=2)
+    assert sorted(map(tuple, got.collect())) == sorted(brute_near(rows, 5))
+
+
 def test_near_empty(spark):
     assert near_duplicates(spark.createDataFrame([], DOCS)).count() == 0
 
