@@ -251,6 +251,29 @@ def _links(part: Fragment) -> np.ndarray:
     return part.a_ids[np.cumsum(part.a_sizes) - 1] << 32 | part.b_ids[np.cumsum(part.b_sizes) - 1]
 
 
+def id_letters(most: int) -> tuple[np.ndarray, np.ndarray]:
+    """(letters, lengths): row 4 i + s has the decimal number i and the separator s of ``,|,;``, one byte a letter."""
+    texts = [f"{i}{mark}".encode() for i in range(most) for mark in ",|,;"]
+    lengths = np.array(list(map(len, texts)))
+    return np.array(texts, f"S{lengths.max()}").view(np.uint8).reshape(len(texts), -1), lengths
+
+
+def written(part: Fragment, letters: np.ndarray, lengths: np.ndarray) -> str:
+    """The groups of a whole text as ``a1,a2|b1;a3|b2,b3``."""
+    if not len(part.a_sizes):
+        return ""
+    a_ends, b_ends = np.cumsum(part.a_sizes), np.cumsum(part.b_sizes)
+    rows = np.empty(len(part.a_ids) + len(part.b_ids), np.int64)
+    # A token stands after the tokens before it and those of the other side in earlier groups; B after A in its own group, too.
+    a_at = np.arange(len(part.a_ids)) + np.repeat(b_ends - part.b_sizes, part.a_sizes)
+    b_at = np.arange(len(part.b_ids)) + np.repeat(a_ends, part.b_sizes)
+    rows[a_at], rows[b_at] = part.a_ids * 4, part.b_ids * 4 + 2
+    rows[a_at[a_ends - 1]] += 1
+    rows[b_at[b_ends - 1]] += 1
+    kept = np.arange(letters.shape[1]) < lengths[rows][:, None]
+    return letters[rows][kept].tobytes()[:-1].decode("ascii")
+
+
 def align(docs: DataFrame, byte_bpe: str = BYTE_BPE, piece_bpe: str = PIECE_BPE, chunk_bytes: int = 1 << 16) -> DataFrame:
     """(doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups) for each row of ``docs`` (doc_id, text; others are ignored).
 
@@ -286,21 +309,18 @@ def align(docs: DataFrame, byte_bpe: str = BYTE_BPE, piece_bpe: str = PIECE_BPE,
     most = np.zeros(1 + int((links & 0xFFFFFFFF).max()), np.int64)
     np.maximum.at(most, links & 0xFFFFFFFF, counts)
     table = spark.sparkContext.broadcast((counts, counts == most[links & 0xFFFFFFFF]))
+    most_id = max(map(len, tools.spelled()))
     names, kinds = [x.split()[0] for x in ALIGNED.split(", ")], [pa.int64()] * 7 + [pa.string()]
 
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, (count, best) = universe.value, table.value
+        letters, lengths = id_letters(most_id)
         for batch in batches:
             doc_ids, out, size = batch["doc_id"].to_pylist(), [], 0
             for i, body in enumerate(batch["body"]):
                 part = unpacked(body.as_py())
                 at = np.searchsorted(known, _links(part))
-                a_text, b_text = list(map(str, part.a_ids.tolist())), list(map(str, part.b_ids.tolist()))
-                groups, a_at, b_at = [], 0, 0
-                for a_to, b_to in zip(np.cumsum(part.a_sizes).tolist(), np.cumsum(part.b_sizes).tolist()):
-                    groups.append(",".join(a_text[a_at:a_to]) + "|" + ",".join(b_text[b_at:b_to]))
-                    a_at, b_at = a_to, b_to
-                out.append((doc_ids[i], len(part.a_ids), len(part.b_ids), len(at), len(at), int(best[at].sum()), int(count[at].sum()), ";".join(groups)))
+                out.append((doc_ids[i], len(part.a_ids), len(part.b_ids), len(at), len(at), int(best[at].sum()), int(count[at].sum()), written(part, letters, lengths)))
                 size += len(out[-1][-1])
                 if size > BLOCK_CHARS or i + 1 == len(batch):
                     yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(zip(*out), kinds)], names)
