@@ -9,8 +9,7 @@ word sequence are one class.
 2. Each inverted list is compared with one member, its pivot: the class whose values are the most frequent, which in a group of
    edited copies is the text they were made from. Copies are never expanded into pairs.
 3. Candidates of similar size are estimated from the union of their sketches, and the likely ones verified on the full shingle sets,
-   computed from the whole texts: the likeliest partner of each class first, then the likeliest pair of any two components, then
-   what is still unconnected. A text goes to the verifier once for up to ``BLOCK`` of its partners.
+   computed from the whole texts: the likeliest partner of each class first, then the pairs that are still unconnected. A text goes to the verifier once for up to ``BLOCK`` of its partners.
 4. Lists that still hold several components go on. With at most ``few`` members outside the largest component, these are compared
    with the list.
 5. The members of the other lists are indexed once more by the rarest values of their whole sets, which is exact: with 0.8 of the
@@ -174,16 +173,10 @@ class _Links:
         first = likely.groupBy("a").agg(F.max(F.struct("score", "b")).alias("top")).select("a", "top.b")
         if not likely.isEmpty():
             self.verify(first)
-            between = F.least("la", "lb").alias("low"), F.greatest("la", "lb").alias("high")
-            left = self.shelf.put(self.named(likely.join(first, ["a", "b"], "left_anti")).where("la <> lb").select("a", "b", "score", *between))
-            if not left.isEmpty():
-                top = left.groupBy("low", "high").agg(F.max(F.struct("score", "a", "b")).alias("top")).select("top.a", "top.b")
-                self.verify(top)
-                rest = self.shelf.put(self.named(left.join(top, ["a", "b"], "left_anti").select("a", "b")).where("la <> lb").select("a", "b"))
-                if not rest.isEmpty():
-                    self.verify(rest)
-                self.shelf.drop(rest)
-            self.shelf.drop(left)
+            rest = self.shelf.put(self.named(likely.join(first, ["a", "b"], "left_anti").select("a", "b")).where("la <> lb").select("a", "b"))
+            if not rest.isEmpty():
+                self.verify(rest)
+            self.shelf.drop(rest)
         self.shelf.drop(likely)
 
     def open_lists(self, entries: DataFrame, few: int) -> DataFrame:
