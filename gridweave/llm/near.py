@@ -9,7 +9,8 @@ word sequence are one class.
 2. Each inverted list is compared with one member, its pivot: the class whose values are the most frequent, which in a group of
    edited copies is the text they were made from. Copies are never expanded into pairs.
 3. Candidates of similar size are estimated from the union of their sketches, and the likely ones verified on the full shingle sets,
-   computed from the whole texts: the likeliest partner of each class first, then the pairs that are still unconnected. A text goes to the verifier once for up to ``BLOCK`` of its partners.
+   computed from the whole texts: the likeliest partner of each class first, then the pairs that are still unconnected. A text goes to
+   the verifier once for up to ``BLOCK`` of its partners.
 4. Lists that still hold several components go on. With at most ``few`` members outside the largest component, these are compared
    with the list.
 5. The members of the other lists are indexed once more by the rarest values of their whole sets, which is exact: with 0.8 of the
