@@ -1,9 +1,11 @@
 """URL filter: rules first, then a path-template tree for each host. DataFrame functions only.
 
-1. A segment with a digit is variable: ``*``. At each of the first ``depth`` levels, a parent with more than ``children``
-   different segments that are seen less than ``support`` times on average has ``*`` for all of them.
+1. A segment with a digit is variable: ``*``. Level by level, a parent with more than ``children`` different segments that
+   are seen less than ``support`` times on average has ``*`` for all of them. A parent of at most ``children`` different
+   paths can have no such descendant, so the tree goes down only below the others, until none is left.
 2. Urls that a rule decides are labels. Branches (first segments) of a host whose share of blocked labels does not differ
-   from the host's by ``z`` standard errors are merged; ``~`` stands for all of them.
+   from the host's by ``z`` standard errors are merged; ``~`` stands for all of them. The others are put in order of their
+   share, above and below the host's apart, and neighbours that do not differ either are merged: ``~1``, ``~-1`` and so on.
 3. A template is rejected if the blocked share of its labels, smoothed with ``mass`` labels of its branch, which is
    smoothed by its domain (last two host labels) and that by all urls, is above a half.
 
@@ -12,7 +14,7 @@ Tables of templates are small beside the urls: equal templates are summed before
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridweave.llm.shelf import Shelf
@@ -22,7 +24,9 @@ RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "b
 
 URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-DEPTH, CHILDREN, SUPPORT, Z2, MASS = 3, 16, 4, 4, 5
+CHILDREN, SUPPORT, Z2, MASS = 16, 4, 4, 5
+#: Levels of the tree that one job makes.
+LEVELS = 3
 
 
 def _rule(host: Column, path: Column, rules: tuple[tuple[str, str], ...]) -> Column:
@@ -39,10 +43,64 @@ def _smoothed(blocked: str, labels: str, prior: Column, mass: int) -> Column:
     return (F.col(blocked) + mass * prior) / (F.col(labels) + mass)
 
 
+def _level(forms: DataFrame, k: int, children: int, support: int) -> DataFrame:
+    """Templates with one more segment: ``*`` below a parent of many rare ones."""
+    forms = forms.withColumn("part", F.coalesce(F.get("parts", F.lit(k)), F.lit("")))
+    kids = forms.groupBy("host", "node", "part").agg(F.sum("n").alias("n"))
+    kids = kids.groupBy("host", "node").agg(F.count(F.lit(1)).alias("kids"), F.sum("n").alias("seen"))
+    wild = (F.col("kids") > children) & (F.col("seen") < F.col("kids") * support)
+    step = F.concat(F.lit("/"), F.when(wild, F.lit("*")).otherwise(F.col("part")))
+    grown = F.when(F.size("parts") > k, F.concat("node", step)).otherwise(F.col("node"))
+    forms = forms.join(kids, ["host", "node"]).withColumn("node", grown).drop("kids", "seen", "part")
+    return forms.withColumn("branch", F.col("node")) if k == 1 else forms
+
+
+def _templates(forms: DataFrame, shelf: Shelf, children: int, support: int) -> DataFrame:
+    """(host, form, domain, branch, rest, labels, blocked): each form with the segments of its template."""
+    forms = forms.withColumns({"parts": F.split("form", "/"), "node": F.lit(""), "branch": F.lit("")})
+    done, k = [], 1
+    while True:
+        for level in range(k, k + LEVELS):
+            forms = _level(forms, level, children, support)
+        k += LEVELS
+        forms = shelf.put(forms)
+        crowded = forms.where(F.size("parts") >= k).groupBy("host", "node").agg(F.count(F.lit(1)).alias("forms"))
+        crowded = shelf.put(crowded.where(F.col("forms") > children).select("host", "node"))
+        done.append(forms.join(crowded, ["host", "node"], "left_anti").withColumn("done_at", F.lit(k)))
+        if crowded.isEmpty():
+            break
+        forms = forms.join(crowded, ["host", "node"], "left_semi")
+    out = done[0]
+    for more in done[1:]:
+        out = out.unionByName(more)
+    tail = F.when(F.size("parts") > F.col("done_at"), F.concat(F.lit("/"), F.array_join(F.expr("slice(parts, done_at + 1, size(parts))"), "/")))
+    rest = F.concat(F.expr("substr(node, length(branch) + 1)"), F.coalesce(tail, F.lit("")))
+    return out.select("host", "form", F.substring_index("host", ".", -2).alias("domain"), "branch", rest.alias("rest"), "labels", "blocked")
+
+
+def _merged(branches: DataFrame, z2: int) -> DataFrame:
+    """(host, branch, merged) of (host, branch, rn, rb, hn, hb, apart).
+
+    Branches with equal counts are one before the order is made, so a host of many branches brings few rows to it.
+    """
+    side = F.when(F.col("rb") * F.col("hn") > F.col("rn") * F.col("hb"), 1).otherwise(-1)
+    away = branches.where("apart").withColumn("side", side)
+    kinds = away.groupBy("host", "side", "rn", "rb").agg(F.count(F.lit(1)).alias("many"), F.min("branch").alias("least"))
+    line = Window.partitionBy("host", "side").orderBy(F.col("rb") / F.col("rn"), "rn")
+    kinds = kinds.withColumns({"pn": F.lag("rn").over(line), "pb": F.lag("rb").over(line)})
+    new = F.expr(f"(rb * pn - pb * rn) * (rb * pn - pb * rn) * (rn + pn) > {z2} * rn * pn * (rb + pb) * (rn + pn - rb - pb)")
+    kinds = kinds.withColumn("no", F.sum(F.coalesce(new.cast("int"), F.lit(1))).over(line) * F.col("side"))
+    groups = kinds.groupBy("host", "side", "no").agg(F.sum("many").alias("many"), F.min("least").alias("least"))
+    alone = (F.col("many") == 1) & (F.col("least") != "/~")
+    groups = groups.withColumn("merged", F.when(alone, F.col("least")).otherwise(F.concat(F.lit("/~"), F.col("no").cast("string"))))
+    names = kinds.join(groups.select("host", "no", "merged"), ["host", "no"]).select("host", "rn", "rb", "merged")
+    near = branches.where("not apart").select("host", "branch", F.lit("/~").alias("merged"))
+    return near.unionByName(away.join(names, ["host", "rn", "rb"]).select("host", "branch", "merged"))
+
+
 def url_verdicts(
     pages: DataFrame,
     rules: tuple[tuple[str, str], ...] = RULES,
-    depth: int = DEPTH,
     children: int = CHILDREN,
     support: int = SUPPORT,
     z2: int = Z2,
@@ -62,25 +120,12 @@ def url_verdicts(
 
     count = lambda rule: F.sum(F.expr(f"case when {rule} then 1 else 0 end"))
     forms = rows.groupBy("host", "form").agg(F.count(F.lit(1)).alias("n"), count("ruled is not null").alias("labels"), count("ruled = 'block'").alias("blocked"))
-    forms = forms.withColumn("parts", F.split("form", "/")).withColumn("t0", F.lit(""))
-    for k in range(1, depth + 1):
-        forms = forms.withColumn("part", F.coalesce(F.get("parts", F.lit(k)), F.lit("")))
-        kids = forms.groupBy("host", f"t{k - 1}", "part").agg(F.sum("n").alias("n")).groupBy("host", f"t{k - 1}").agg(F.count(F.lit(1)).alias("kids"), F.sum("n").alias("seen"))
-        forms = forms.join(kids, ["host", f"t{k - 1}"])
-        wild = (F.col("kids") > children) & (F.col("seen") < F.col("kids") * support)
-        step = F.when(F.size("parts") > k, F.concat(F.lit("/"), F.when(wild, F.lit("*")).otherwise(F.col("part")))).otherwise(F.lit(""))
-        forms = forms.withColumn(f"t{k}", F.concat(f"t{k - 1}", step)).drop("kids", "seen", "part")
-    tail = F.when(F.size("parts") > depth + 1, F.concat(F.lit("/"), F.array_join(F.slice("parts", depth + 2, 1 << 20), "/"))).otherwise(F.lit(""))
-    forms = shelf.put(
-        forms.withColumn("rest", F.concat(F.expr(f"substr(t{depth}, length(t1) + 1)"), tail))
-        .withColumn("domain", F.substring_index("host", ".", -2))
-        .select("host", "form", "domain", F.col("t1").alias("branch"), "rest", "labels", "blocked")
-    )
+    forms = shelf.put(_templates(forms, shelf, children, support))
     sums = [F.sum("labels").cast("double").alias("n"), F.sum("blocked").cast("double").alias("b")]
     named = lambda x: [F.sum("labels").cast("double").alias(f"{x}n"), F.sum("blocked").cast("double").alias(f"{x}b")]
     branches = forms.groupBy("host", "branch").agg(*named("r")).join(forms.groupBy("host").agg(*named("h")), "host")
     apart = F.expr(f"(rb * hn - rn * hb) * (rb * hn - rn * hb) > {z2} * rn * hb * (hn - hb)")
-    branches = branches.select("host", "branch", F.when(apart, F.col("branch")).otherwise(F.lit("/~")).alias("merged"))
+    branches = shelf.put(_merged(branches.withColumn("apart", apart), z2))
     forms = shelf.put(forms.join(branches, ["host", "branch"]))
     every = forms.agg(*named("g"))
     domains = forms.groupBy("domain").agg(*sums).crossJoin(F.broadcast(every))  # `every` is one row
@@ -91,7 +136,9 @@ def url_verdicts(
     templates = templates.select("host", "merged", "rest", _smoothed("b", "n", F.col("branch_share"), mass).alias("share"))
     judged = forms.join(templates, ["host", "merged", "rest"]).select("host", "form", F.concat("merged", "rest").alias("template"), "share")
     verdict = F.coalesce("ruled", F.when(F.col("share") > 0.5, F.lit("block")).otherwise(F.lit("allow")))
-    return rows.join(shelf.put(judged), ["host", "form"]).select("page_id", "host", "path", "rule", verdict.alias("verdict"), "template")
+    judged = shelf.put(judged)
+    shelf.keep(judged)
+    return rows.join(judged, ["host", "form"]).select("page_id", "host", "path", "rule", verdict.alias("verdict"), "template")
 
 
 def oracle() -> str:
@@ -102,22 +149,27 @@ def oracle() -> str:
         fits = f"(host = '{own}' OR ends_with(host, '.{own}')) AND starts_with(path, '{slash + rest}')"
         cases["rule"] += f" WHEN {fits} THEN '{rule}'"
         cases["ruled"] += f" WHEN {fits} THEN '{verdict}'"
-    levels, last = [], "f0"
-    for k in range(1, DEPTH + 1):
-        levels.append(f"""k{k} AS (SELECT host, t{k - 1}, count(*) AS kids, sum(n) AS seen FROM (SELECT host, t{k - 1}, coalesce(parts[{k + 1}], '') AS part, sum(n) AS n FROM {last} GROUP BY ALL) GROUP BY host, t{k - 1}),
-        f{k} AS (SELECT f.*, f.t{k - 1} || CASE WHEN len(parts) > {k} THEN '/' || CASE WHEN kids > {CHILDREN} AND seen < kids * {SUPPORT} THEN '*' ELSE parts[{k + 1}] END ELSE '' END AS t{k}
-        FROM {last} f JOIN k{k} k ON f.host = k.host AND f.t{k - 1} = k.t{k - 1})""")
-        last = f"f{k}"
     sums = "CAST(sum(labels) AS DOUBLE) AS n, CAST(sum(blocked) AS DOUBLE) AS b"
-    return f"""WITH p AS (SELECT page_id, translate(regexp_extract(coalesce(url, ''), '{URL}', 1), '{UPPER}', '{LOWER}') AS host, regexp_extract(coalesce(url, ''), '{URL}', 2) AS path FROM pages),
+    return f"""WITH RECURSIVE p AS (SELECT page_id, translate(regexp_extract(coalesce(url, ''), '{URL}', 1), '{UPPER}', '{LOWER}') AS host, regexp_extract(coalesce(url, ''), '{URL}', 2) AS path FROM pages),
     rows AS (SELECT *, CASE {cases["rule"]} END AS rule, CASE {cases["ruled"]} END AS ruled, regexp_replace(path, '[^/]*[0-9][^/]*', '*', 'g') AS form FROM p),
-    f0 AS (SELECT host, form, count(*) AS n, count(ruled) AS labels, count(*) FILTER (ruled = 'block') AS blocked, string_split(form, '/') AS parts, '' AS t0 FROM rows GROUP BY host, form),
-    {", ".join(levels)},
-    forms AS (SELECT host, form, array_to_string(string_split(host, '.')[-2:], '.') AS domain, t1 AS branch,
-        substr(t{DEPTH}, length(t1) + 1) || CASE WHEN len(parts) > {DEPTH + 1} THEN '/' || array_to_string(parts[{DEPTH + 2}:], '/') ELSE '' END AS rest, labels, blocked FROM {last}),
+    f0 AS (SELECT host, form, count(*) AS n, count(ruled) AS labels, count(*) FILTER (ruled = 'block') AS blocked, string_split(form, '/') AS parts FROM rows GROUP BY host, form),
+    tree AS (SELECT host, form, parts, n, labels, blocked, 1 AS k, '' AS node, '' AS branch FROM f0 UNION ALL
+        SELECT host, form, parts, n, labels, blocked, k + 1, grown, CASE WHEN k = 1 THEN grown ELSE branch END FROM
+            (SELECT *, node || '/' || CASE WHEN kids > {CHILDREN} AND seen < kids * {SUPPORT} THEN '*' ELSE parts[k + 1] END AS grown FROM
+                (SELECT *, count(DISTINCT coalesce(parts[k + 1], '')) OVER (PARTITION BY host, node) AS kids, sum(n) OVER (PARTITION BY host, node) AS seen FROM tree))
+        WHERE len(parts) > k),
+    forms AS (SELECT host, form, array_to_string(string_split(host, '.')[-2:], '.') AS domain, branch, substr(node, length(branch) + 1) AS rest, labels, blocked
+        FROM tree WHERE len(parts) = k),
     h AS (SELECT host, {sums} FROM forms GROUP BY host),
     r AS (SELECT host, branch, {sums} FROM forms GROUP BY host, branch),
-    merging AS (SELECT r.host, r.branch, CASE WHEN (r.b * h.n - r.n * h.b) * (r.b * h.n - r.n * h.b) > {Z2} * r.n * h.b * (h.n - h.b) THEN r.branch ELSE '/~' END AS merged FROM r JOIN h USING (host)),
+    apart AS (SELECT r.*, CASE WHEN r.b * h.n > r.n * h.b THEN 1 ELSE -1 END AS side, (r.b * h.n - r.n * h.b) * (r.b * h.n - r.n * h.b) > {Z2} * r.n * h.b * (h.n - h.b) AS away
+        FROM r JOIN h USING (host)),
+    before AS (SELECT host, side, n, b, lag(n) OVER line AS pn, lag(b) OVER line AS pb FROM (SELECT DISTINCT host, side, n, b FROM apart WHERE away)
+        WINDOW line AS (PARTITION BY host, side ORDER BY b / n, n)),
+    kinds AS (SELECT host, side, n, b, side * sum(CASE WHEN (b * pn - pb * n) * (b * pn - pb * n) * (n + pn) > {Z2} * n * pn * (b + pb) * (n + pn - b - pb) OR pn IS NULL THEN 1 ELSE 0 END)
+        OVER (PARTITION BY host, side ORDER BY b / n, n) AS no FROM before),
+    merging AS (SELECT host, branch, CASE WHEN NOT away THEN '/~' WHEN count(*) OVER (PARTITION BY host, away, no) = 1 AND branch <> '/~' THEN branch ELSE '/~' || CAST(no AS BIGINT) END AS merged
+        FROM apart LEFT JOIN kinds USING (host, side, n, b)),
     own AS (SELECT f.*, merged FROM forms f JOIN merging USING (host, branch)),
     g AS (SELECT CAST(sum(blocked) AS DOUBLE) / greatest(CAST(sum(labels) AS DOUBLE), 1.0) AS share FROM own),
     d AS (SELECT domain, (b + {MASS} * g.share) / (n + {MASS}) AS share FROM (SELECT domain, {sums} FROM own GROUP BY domain), g),

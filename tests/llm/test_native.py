@@ -112,6 +112,38 @@ def test_urls(spark):
     assert url_verdicts(pages.limit(0), rules).count() == 0
 
 
+def test_url_templates_of_any_depth(spark):
+    """Slugs are one template however deep they stand, also below variable folders, in any number of rounds."""
+    slug = lambda i: "".join(chr(97 + int(d)) for d in f"{i:03d}")
+    deep = ["/a", "/a/b", "/a/b/c", "/a/b/c/d", "/a/b/c/d/e/f/g/h/i/j"]
+    urls = [f"http://h{k}.org{d}/{slug(i)}" for k, d in enumerate(deep) for i in range(300)]
+    urls += [f"http://v.org/u/{slug(i)}/x/y/{slug(i + 100 * j)}/end/{slug(i)}" for i in range(300) for j in range(3)]
+    urls += ["http://few.org/" + "/".join("abcdefghij"), "http://few.org/" + "s/" * 40, "http://few.org/a"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = [r["template"] for r in url_verdicts(pages).orderBy("page_id").collect()]
+    for k, d in enumerate(deep):
+        assert {t.rsplit("/", 1)[1] for t in got[300 * k : 300 * k + 300]} == {"*"}, d
+    assert set(got[1500:2400]) == {"/~/*/x/y/*/end/*"}
+    assert got[2400:] == ["/~/" + "/".join("bcdefghij"), "/~/" + "s/" * 39, "/~"]
+
+
+def test_similar_branches_merge(spark):
+    """Branches apart from their host join those of about their own share, not the host; a branch alone keeps its name."""
+    rows, rules = [], []
+    for branch, blocked in (("p", 40), ("q", 39), ("r", 2), ("s", 1), ("m", 21), ("n", 19)):
+        rows += [f"http://h.org/{branch}/{'no' if i < blocked else 'ok'}/{i}" for i in range(40)]
+        rules += [(f"h.org/{branch}/no", "block"), (f"h.org/{branch}/ok", "allow")]
+    rows += [f"http://one.org/{b}/{i}" for b in ("x", "y", "z") for i in range(40)]
+    rules += [("one.org/x", "block"), ("one.org/y", "allow"), ("one.org/z", "allow")]
+    pages = spark.createDataFrame(list(enumerate(rows)), "page_id long, url string")
+    got = {}
+    for r in url_verdicts(pages, tuple(rules)).collect():
+        got.setdefault((r["host"], r["path"].split("/")[1]), set()).add(r["template"].split("/")[1])
+    assert got["h.org", "p"] == got["h.org", "q"] == {"~1"} and got["h.org", "r"] == got["h.org", "s"] == {"~-1"}
+    assert got["h.org", "m"] == got["h.org", "n"] == {"~"}
+    assert got["one.org", "x"] == {"x"} and got["one.org", "y"] == got["one.org", "z"] == {"~-1"}
+
+
 def test_tool_calls(spark):
     call = lambda **x: json.dumps({"tool_calls": [x]})
     rows = [
