@@ -219,16 +219,19 @@ TEMPORAL_PATTERN = "(?i)hour|day|month|peak|weekend|business"
 
 
 def importance_balance(table: DataFrame, max_lag: float = 60.0, least_temporal: float = 35.0) -> DataFrame:
-    """Share of lag, temporal and weather features per model, and the balance gate."""
+    """Share of lag, temporal and weather features per model, and the balance gate.
+
+    A model in which no feature has importance (boosting that kept no tree) has null shares and is not balanced.
+    """
     total = F.sum("importance")
-    share = lambda p: F.sum(F.when(F.col("feature").rlike(p), F.col("importance")).otherwise(0.0)) / total * 100
+    share = lambda p: F.try_divide(F.sum(F.when(F.col("feature").rlike(p), F.col("importance")).otherwise(0.0)), total) * 100
     out = table.groupBy("model").agg(
         share(LAG_PATTERN).alias("lag_share"),
         share(TEMPORAL_PATTERN).alias("temporal_share"),
         share("temp|humidity|wind|degree").alias("weather_share"),
     )
     ok = (F.col("lag_share") <= max_lag) & (F.col("temporal_share") >= least_temporal)
-    return out.withColumn("balanced", ok.cast("int"))
+    return out.withColumn("balanced", F.coalesce(ok, F.lit(False)).cast("int"))
 
 
 def top_features(table: DataFrame, k: int = 10) -> DataFrame:

@@ -216,6 +216,13 @@ def test_boosting_learns_and_balance_sums(spark, daily_cycle):
     assert variation["n_points"] == 12 and variation["variation_pct"] > 10
 
 
+def test_balance_of_a_model_without_importances(spark):
+    rows = [("flat", "hour", 0.0), ("flat", "load_lag_1h", 0.0), ("good", "hour", 0.5), ("good", "load_lag_1h", 0.25), ("good", "temp_c", 0.25)]
+    table = spark.createDataFrame(rows, "model string, feature string, importance double")
+    got = {r["model"]: tuple(r)[1:] for r in tr.importance_balance(table).collect()}
+    assert got == {"flat": (None, None, None, 0), "good": (25.0, 50.0, 25.0, 1)}
+
+
 def test_lag_weight_touches_lags_only(daily_cycle):
     out = tr.weigh_lags(daily_cycle, ["hour", "load_lag_1h"], 0.5).first()
     want = daily_cycle.where(F.col("timestamp") == F.lit(out["timestamp"])).first()
