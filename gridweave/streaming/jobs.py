@@ -308,9 +308,17 @@ def enrich(stream: DataFrame, forecast: DataFrame) -> DataFrame:
 
 
 def enrich_streams(loads: DataFrame, forecasts: DataFrame, delay: str = "2 hours") -> DataFrame:
-    """Readings joined with streamed forecasts of the same zone valid in the hour before the reading."""
-    left = loads.withWatermark("timestamp", delay)
+    """Readings joined with streamed forecasts of the same zone valid in the hour before the reading.
+
+    Both sides meet by zone and full hour: a forecast lies in each hour that its validity touches, two at most, and a reading
+    in its own. So a reading is compared with the forecasts of two hours, and the state of a zone spreads over all tasks.
+    """
+    hour = lambda micros: micros - F.pmod(micros, F.lit(HOUR))
+    left = loads.withWatermark("timestamp", delay).withColumn("at_hour", hour(F.unix_micros("timestamp")))
     right = forecasts.withColumnsRenamed({"zone": "f_zone", "timestamp": "valid_from"}).withWatermark("valid_from", delay)
-    cond = (F.col("zone") == F.col("f_zone")) & (F.col("timestamp") >= F.col("valid_from"))
+    start = F.unix_micros("valid_from")
+    touched = F.sequence(hour(start), hour(start + (HOUR - 1)), F.lit(HOUR))
+    right = right.withColumn("f_hour", F.explode(touched))
+    cond = (F.col("zone") == F.col("f_zone")) & (F.col("at_hour") == F.col("f_hour")) & (F.col("timestamp") >= F.col("valid_from"))
     cond = cond & (F.col("timestamp") < F.col("valid_from") + F.expr("interval 1 hour"))
-    return left.join(right, cond, "inner").drop("f_zone")
+    return left.join(right, cond, "inner").drop("f_zone", "at_hour", "f_hour")

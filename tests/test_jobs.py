@@ -155,6 +155,28 @@ def test_hourly_means_in_any_file_order(spark, tmp_path):
     assert len(day) == 223 and day[23]["load"] == pytest.approx(df.limit(24).agg(F.avg("load")).first()[0])
 
 
+def test_streams_meet_by_zone_and_hour(spark, tmp_path, capfd):
+    micros = lambda df, step: df.withColumn("timestamp", F.timestamp_micros(F.unix_micros("timestamp") + step))
+    loads = hours(spark, 60).unionByName(hours(spark, 60, zone="B"))
+    for step in (1, 1_799_999_999, 1_800_000_000, 3_599_999_999):
+        loads = loads.unionByName(micros(hours(spark, 60), step))
+    runs = micros(hours(spark, 40), 1_800_000_000).unionByName(hours(spark, 50)).unionByName(hours(spark, 50, zone="B"))
+    runs = runs.select("zone", "timestamp", F.col("load").alias("temp_c"))
+    sides = []
+    for name, df in (("loads", loads), ("runs", runs)):
+        df.write.parquet(str(tmp_path / name))
+        sides.append(spark.readStream.schema(df.schema).parquet(str(tmp_path / name)))
+    joined = st.enrich_streams(*sides)
+    r = runs.select(F.col("zone").alias("z"), F.col("timestamp").alias("valid_from"), "temp_c")
+    here = (F.col("timestamp") >= F.col("valid_from")) & (F.col("timestamp") < F.col("valid_from") + F.expr("interval 1 hour"))
+    want = loads.join(r, (F.col("zone") == F.col("z")) & here).drop("z")
+    assert joined.columns == want.columns
+    assert sorted(st.run(joined).collect()) == sorted(want.collect())
+    joined.explain()
+    met = next(line for line in capfd.readouterr().out.splitlines() if "StreamingSymmetricHashJoin" in line)
+    assert "at_hour" in met.split("]")[0]  # zone alone would compare a reading with all forecasts of its zone
+
+
 def test_watermark_counts_what_it_rejects(spark, tmp_path):
     df = hours(spark, 400)
     for i, part in enumerate((df.where("load >= 1300"), df.where("load < 1300 and load >= 1200"), df.where("load < 1200"))):
