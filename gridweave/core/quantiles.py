@@ -8,66 +8,54 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridweave.core.scalars import beside
-from gridweave.core.series import histogram, join_keys, positions
+from gridweave.core.series import join_keys
 from gridweave.session import setting, stored
 
 ROWS_PER_CHUNK = 1_000_000
+# Accuracy of the approximate quantiles that cut a group: a rank is off by a share of 1 / ACCURACY at most.
+ACCURACY = 10_000
 
 
 def group_quantiles(df: DataFrame, keys: Sequence[str], wanted: dict[str, tuple[str, float]]) -> DataFrame:
     """Linear quantiles: ``wanted`` maps an output name to (column, q). One row per group.
 
-    Groups within the chunk limit use ``percentile``. Beyond it the wanted ranks are
-    located in a value histogram, refined where it is crowded, and only the buckets that hold
-    them are sorted.
+    Groups within the chunk limit use ``percentile``. Beyond it the wanted ranks are enclosed between approximate
+    quantiles, the rows below them are counted, and only the rows between them are sorted.
     """
     limit = setting(df.sparkSession, "gridweave.rowsPerChunk", ROWS_PER_CHUNK)
     keys = list(keys)
-    sizes = stored(df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")))
+    by_column: dict[str, list[tuple[str, float]]] = {}
+    for name, (c, q) in wanted.items():
+        by_column.setdefault(c, []).append((name, q))
+    known = {c: f"_n{i}" for i, c in enumerate(by_column)}
+    sizes = stored(df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), *[F.count(c).alias(n) for c, n in known.items()]))
     top = sizes.agg(F.max("_n")).first()[0] or 0
     if top <= limit:
         return df.groupBy(*keys).agg(*[F.percentile(c, q).alias(name) for name, (c, q) in wanted.items()])
-    out = sizes.drop("_n")
     work_keys = keys or ["_all"]
     if not keys:
-        out = out.withColumn("_all", F.lit(1))
-    by_column: dict[str, list[tuple[str, float]]] = {}
-    for name, (c, q) in wanted.items():
-        by_column.setdefault(c, []).append((name, q))
+        sizes = sizes.withColumn("_all", F.lit(1))
+    out = sizes.select(*work_keys)
     for c, asked in by_column.items():
         rows = df.where(F.col(c).isNotNull()).select(*keys, F.col(c).cast("double").alias("_v"))
         if not keys:
             rows = rows.withColumn("_all", F.lit(1))
-        hist = histogram(rows, work_keys, ["_v"], limit)
-        buckets = stored(positions(hist))
-        ranks = buckets.select(*work_keys, "_n").distinct()
-        ranks = ranks.withColumn(
-            "_q", F.explode(F.array(*[F.struct(F.lit(n).alias("name"), F.lit(q).alias("q")) for n, q in asked]))
+        counts = sizes.where(F.col(known[c]) > 0).select(*work_keys, F.col(known[c]).alias("_cnt"))
+        ranks = counts.withColumn(
+            "_q", F.explode(F.array(*[F.struct(F.lit(n).alias("name"), F.lit(float(q)).alias("q")) for n, q in asked]))
         )
-        exact = (F.col("_n") - 1) * F.col("_q.q")
+        exact = (F.col("_cnt") - 1) * F.col("_q.q")
         ranks = ranks.select(*work_keys, F.col("_q.name").alias("_name"), exact.alias("_at")).withColumn(
             "_rank", F.explode(F.array_distinct(F.array(F.floor("_at"), F.ceil("_at"))))
         )
-        # Which bucket holds each rank; equal buckets answer at once.
-        near = join_keys(ranks, buckets, work_keys).where(
-            (F.col("_rank") >= F.col("_base")) & (F.col("_rank") < F.col("_base") + F.col("_cnt"))
-        )
-        near = stored(near)
-        flat = near.where("_k0 = _k1").select(*work_keys, "_name", "_at", "_rank", F.col("_k0").alias("_v"))
-        wide = near.where("_k0 < _k1")
-        inside = wide.select(*work_keys, "_b", "_base").distinct()
-        picked = join_keys(hist.rows.select(*work_keys, "_b", "_v"), inside, [*work_keys, "_b"])
-        spot = Window.partitionBy(*work_keys, "_b").orderBy("_v")
-        picked = picked.withColumn("_rank", F.col("_base") + F.row_number().over(spot) - 1)
-        sorted_out = join_keys(
-            wide.select(*work_keys, "_name", "_at", "_rank"),
-            picked.select(*work_keys, "_rank", "_v"),
-            [*work_keys, "_rank"],
-        ).select(*work_keys, "_name", "_at", "_rank", "_v")
-        found = flat.unionByName(sorted_out).groupBy(*work_keys, "_name", "_at").agg(
+        ranks = stored(ranks)
+        values = _values_at(rows, counts, ranks.select(*work_keys, "_rank").distinct(), work_keys, [q for _, q in asked], limit)
+        found = join_keys(ranks, values, [*work_keys, "_rank"]).groupBy(*work_keys, "_name", "_at").agg(
             F.min("_v").alias("_lo"), F.max("_v").alias("_hi")
         )
-        value = F.col("_lo") + (F.col("_hi") - F.col("_lo")) * (F.col("_at") - F.floor("_at"))
+        # As ``percentile`` does it, so that equal infinities stay what they are.
+        between = (F.ceil("_at") - F.col("_at")) * F.col("_lo") + (F.col("_at") - F.floor("_at")) * F.col("_hi")
+        value = F.when(F.col("_lo") == F.col("_hi"), F.col("_lo")).otherwise(between)
         wide_out = (
             found.withColumn("_val", value)
             .groupBy(*work_keys)
@@ -78,6 +66,69 @@ def group_quantiles(df: DataFrame, keys: Sequence[str], wanted: dict[str, tuple[
     return stored(out.select(*keys, *wanted))
 
 
+def _values_at(rows: DataFrame, counts: DataFrame, ranks: DataFrame, keys: list[str], near: Sequence[float], limit: int) -> DataFrame:
+    """(keys, _rank, _v): the values at some ranks of each group.
+
+    A range is a part of a group between two of its values, with the number of rows before it. A range above the limit
+    is cut at values of its own, so every round leaves fewer rows in it; one that holds no wanted rank is not read again.
+    """
+    shares = {i / 8 for i in range(1, 8)} | {min(max(q + d * 1.5 / ACCURACY, 0.0), 1.0) for q in near for d in (-1, 1)}
+    nothing = F.lit(None).cast("double")
+    start = {"_b": F.array(F.lit(0).cast("bigint")), "_from": nothing, "_to": nothing, "_base": F.lit(0).cast("bigint")}
+    asked = stored(join_keys(ranks, counts, keys).withColumns(start))
+    done = None
+    while True:
+        ranges = asked.select(*keys, "_b", "_from", "_to", "_base", "_cnt").distinct()
+        hot = stored(ranges.where(F.col("_cnt") > limit))
+        if hot.isEmpty():
+            break
+        cuts = _inside(rows, hot.select(*keys, "_b", "_from", "_to"), keys).groupBy(*keys, "_b").agg(
+            F.array_sort(F.array_distinct(F.percentile_approx("_v", sorted(shares), ACCURACY))).alias("_cuts")
+        )
+        cuts = stored(join_keys(hot, stored(cuts), [*keys, "_b"]))
+        # Even pieces lie between cuts, odd ones equal a cut.
+        piece = F.lit(0)
+        for i in range(len(shares)):
+            cut = F.get("_cuts", F.lit(i))
+            piece = piece + F.when(F.col("_v") > cut, 2).when(F.col("_v") == cut, 1).otherwise(0)
+        pieces = _inside(rows, cuts.select(*keys, "_b", "_from", "_to", "_cuts"), keys)
+        pieces = stored(pieces.withColumn("_piece", piece.cast("bigint")).groupBy(*keys, "_b", "_piece").agg(F.count(F.lit(1)).alias("_k")))
+        before = F.sum("_k").over(Window.partitionBy(*keys, "_b").orderBy("_piece").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_k")
+        pieces = join_keys(pieces.withColumn("_before", before), cuts, [*keys, "_b"])
+        lower, upper = F.get("_cuts", (F.col("_piece") / 2).cast("int") - 1), F.get("_cuts", (F.col("_piece") / 2).cast("int"))
+        parts = pieces.select(
+            *keys, "_b", "_piece",
+            (F.col("_base") + F.col("_before")).alias("_start"),
+            F.col("_k").alias("_size"),
+            F.when(F.col("_piece") % 2 == 1, upper).alias("_v"),
+            F.when(F.col("_piece") > 0, lower).otherwise(F.col("_from")).alias("_above"),
+            F.coalesce(upper, F.col("_to")).alias("_below"),
+        )
+        placed = join_keys(asked.where(F.col("_cnt") > limit).select(*keys, "_rank", "_b"), parts, [*keys, "_b"])
+        placed = stored(placed.where((F.col("_rank") >= F.col("_start")) & (F.col("_rank") < F.col("_start") + F.col("_size"))))
+        answered = placed.where("_v is not null").select(*keys, "_rank", "_v")
+        done = answered if done is None else done.unionByName(answered)
+        narrower = placed.where("_v is null").select(
+            *keys, "_rank", F.concat("_b", F.array("_piece")).alias("_b"), F.col("_above").alias("_from"), F.col("_below").alias("_to"),
+            F.col("_start").alias("_base"), F.col("_size").alias("_cnt"),
+        )
+        asked = stored(asked.where(F.col("_cnt") <= limit).unionByName(narrower))
+    if not asked.isEmpty():
+        inside = _inside(rows, ranges.select(*keys, "_b", "_from", "_to", "_base"), keys)
+        spot = Window.partitionBy(*keys, "_b").orderBy("_v")
+        picked = inside.withColumn("_rank", F.col("_base") + F.row_number().over(spot) - 1).select(*keys, "_rank", "_v")
+        picked = join_keys(asked.select(*keys, "_rank"), picked, [*keys, "_rank"])
+        done = picked if done is None else done.unionByName(picked)
+    return done
+
+
+def _inside(rows: DataFrame, ranges: DataFrame, keys: list[str]) -> DataFrame:
+    """The rows between the ends of a range of their group, with the range."""
+    v = F.col("_v")
+    ends = (F.col("_from").isNull() | (v > F.col("_from"))) & (F.col("_to").isNull() | (v < F.col("_to")))
+    return join_keys(rows, ranges, keys).where(ends)
+
+
 def with_quantiles(df: DataFrame, keys: Sequence[str], wanted: dict[str, tuple[str, float]]) -> DataFrame:
     """Attach group quantiles to every row; the quantile table is stored first."""
     if not keys:

@@ -108,6 +108,25 @@ def test_exact_quantiles_in_chunks(small_chunks):
     assert total["a"] == df.agg(F.percentile("load", 0.5)).first()[0]
 
 
+def test_only_ranges_with_wanted_ranks_are_cut(small_chunks, monkeypatch):
+    calls, cut = [], F.percentile_approx
+    monkeypatch.setattr(F, "percentile_approx", lambda *a, **k: calls.append(a) or cut(*a, **k))
+    df = small_chunks.range(40_000).select(F.when(F.col("id") % 100 > 0, F.sin("id")).alias("x"))
+    got = group_quantiles(df, [], {"a": ("x", 0.5), "b": ("x", 0.9)}).first()
+    assert got == df.agg(F.percentile("x", 0.5).alias("a"), F.percentile("x", 0.9).alias("b")).first()
+    assert len(calls) == 1
+
+
+def test_exact_quantiles_of_ties_nan_and_infinity(small_chunks):
+    values = [float("nan")] * 70 + [float("inf")] * 3 + [-float("inf")] * 90 + [-0.0, 0.0] * 60 + [i / 7 for i in range(-300, 500)] + [None] * 80
+    df = small_chunks.createDataFrame([("A", x) for x in values] + [("B", None)] * 70 + [(None, 1.5), (None, 2.5)], "g string, x double")
+    wanted = {f"q{i}": ("x", i / 8) for i in range(1, 8)} | {"least": ("x", 0.0), "most": ("x", 1.0)}
+    got = {r["g"]: r for r in group_quantiles(df, ["g"], wanted).collect()}
+    for r in df.groupBy("g").agg(*[F.percentile(c, q).alias(n) for n, (c, q) in wanted.items()]).collect():
+        for n in wanted:
+            assert (got[r["g"]][n] is None and r[n] is None) or got[r["g"]][n] == pytest.approx(r[n], rel=1e-12, nan_ok=True), n
+
+
 def test_empty_and_single_rows(spark):
     schema = "zone string, timestamp timestamp, load double"
     empty = spark.createDataFrame([], schema)
