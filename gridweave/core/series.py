@@ -266,10 +266,12 @@ def series(
     back: int = 0,
     ahead: int = 0,
     bucket: Column | None = None,
+    most: int | None = None,
 ) -> Series:
-    """Cut the series of ``df`` into chunks with a halo of ``back``/``ahead`` rows."""
+    """Cut the series of ``df`` into chunks with a halo of ``back``/``ahead`` rows; ``most`` asks for smaller chunks than the setting."""
     keys, order = tuple(keys), tuple(order)
-    limit = max(setting(df.sparkSession, "gridweave.rowsPerChunk", ROWS_PER_CHUNK), back, ahead)
+    limit = setting(df.sparkSession, "gridweave.rowsPerChunk", ROWS_PER_CHUNK)
+    limit = max(limit if most is None else min(limit, most), back, ahead)
     if bucket is None and isinstance(df.schema[order[0]].dataType, (T.TimestampType, T.TimestampNTZType)):
         bucket = F.floor(F.unix_seconds(F.col(order[0]).cast("timestamp")) / 3600)
     hist = histogram(df, keys, order, limit, bucket)

@@ -110,6 +110,10 @@ def _with_unknown(df: DataFrame, known: Column, name: str, smooth) -> DataFrame:
     return smooth(df.where(known)).unionByName(left_out)
 
 
+# Rows of a chunk that is taken whole by a Python worker.
+ROWS_IN_PYTHON = 100_000
+
+
 @dataclass(frozen=True)
 class Recurrence:
     """y_i = inflow_i + sum of weights[k] * y_(i-1-k) from row ``given`` of a series on; the rows before it are given as they are."""
@@ -140,9 +144,10 @@ def _recursive(df, recurrence: Recurrence, actual: str, predicted: str, name: st
     """Run a linear recurrence over series of any length: each chunk is an affine map of the outputs before it.
 
     The maps of a series are composed in order, which gives every chunk the outputs before it; then all chunks run side by side.
+    A chunk is a table in a Python worker, so it has fewer rows than those of windows.
     What recurs is prediction minus ``actual`` (nothing if they are the same column); ``actual`` is added back.
     """
-    s = series(df, **layout)
+    s = series(df, most=ROWS_IN_PYTHON, **layout)
     keep, order = list(s.columns), len(recurrence.weights)
     chunk = F.col("_chunk") if s.chunked else F.lit(0).cast("bigint")
     rows = s.df.withColumns({"run_at": s.pos, "run_chunk": chunk}).select(*keep, "run_at", "run_chunk")

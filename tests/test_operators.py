@@ -144,6 +144,16 @@ def test_recursive_smoothing_equals_the_loop(small_chunks):
     assert col(sm.recursive_smoothing(df, "load"), "load_smoothed") == pytest.approx(out, rel=1e-12)
 
 
+def test_recursive_smoothing_gives_python_small_chunks(spark, monkeypatch):
+    made, series = [], sm.series
+    monkeypatch.setattr(sm, "series", lambda *a, **k: made.append(series(*a, **k)) or made[-1])
+    df = spark.range(250_000).select(F.lit("A").alias("zone"), F.timestamp_seconds(F.col("id") * 60).alias("timestamp"), F.col("id").cast("double").alias("p"))
+    out = sm.recursive_smoothing(df, "p")
+    assert made[0].df.groupBy(*made[0].by).count().agg(F.max("count")).first()[0] <= 200_000
+    # The outputs of a rising line trail it by 6 rows in the end.
+    assert out.where("p > 1000 and abs(p - p_smoothed - 6) > 1e-6").count() == 0 and out.count() == 250_000
+
+
 @pytest.mark.parametrize("alpha", [0.7, 0.05])
 def test_smoothing_skips_unknown_rows(small_chunks, alpha):
     """Null and NaN rows come out null and change nothing, chunked or not."""
