@@ -9,8 +9,8 @@ word sequence are one class.
 2. Each inverted list is compared with one member, its pivot: the class whose values are the most frequent, which in a group of
    edited copies is the text they were made from. Copies are never expanded into pairs.
 3. Candidates of similar size are estimated from the union of their sketches, and the likely ones verified on the full shingle sets,
-   computed from the whole texts: the likeliest partner of each class first, then the pairs that are still unconnected. A text goes to
-   the verifier once for up to ``BLOCK`` of its partners.
+   computed from the whole texts: all at once if they are few, else the likeliest partner of each class first, then the pairs that are
+   still unconnected. A text goes to the verifier once for up to ``BLOCK`` of its partners.
 4. Lists that still hold several components go on. With at most ``few`` members outside the largest component, these are compared
    with the list.
 5. The members of the other lists are indexed once more by the rarest values of their whole sets, which is exact: with 0.8 of the
@@ -40,6 +40,8 @@ SKETCH = "doc_id long, raw long, one long, two long, size int, sketch array<long
 BLOCK = 256
 #: Texts whose shingle sets are held at a time.
 TEXTS = 128
+#: Up to so many pairs are verified at once, as another pass over the texts costs more than it saves.
+AT_ONCE = 65_536
 
 
 def _rows(docs: DataFrame) -> DataFrame:
@@ -138,8 +140,8 @@ def verified(texts: DataFrame, shingle: int, percent: int) -> DataFrame:
 class _Links:
     """Components of the links found so far, as (node, label) for each node of the index."""
 
-    def __init__(self, shelf: Shelf, nodes: DataFrame, bodies: DataFrame, labels: DataFrame, shingle: int, percent: int, k: int, least: float):
-        self.shelf, self.nodes, self.bodies, self.labels = shelf, nodes, bodies, labels
+    def __init__(self, shelf: Shelf, index: DataFrame, bodies: DataFrame, labels: DataFrame, shingle: int, percent: int, k: int, least: float):
+        self.shelf, self.index, self.bodies, self.labels = shelf, index.select("node", "sketch"), bodies, labels
         self.shingle, self.percent, self.k, self.least = shingle, percent, k, least
 
     def named(self, pairs: DataFrame) -> DataFrame:
@@ -150,9 +152,9 @@ class _Links:
     def verify(self, pairs: DataFrame) -> None:
         """Compare the texts of the pairs (a, b) and join the labels of those that are linked."""
         sizes = pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
-        pairs = self.shelf.put(pairs.join(sizes, "b").select("b", F.expr("pmod(xxhash64(a), blocks)").alias("block"), "a"))
+        pairs = pairs.join(sizes, "b").select("b", F.expr("pmod(xxhash64(a), blocks)").alias("block"), "a")
         body = lambda x: self.bodies.select(F.col("node").alias(x), "text")
-        heads = pairs.select("b", "block").distinct().join(body("b"), "b").select("b", "block", F.lit(None).cast("long").alias("a"), "text")
+        heads = sizes.join(body("b"), "b").select("b", F.explode(F.expr("sequence(0L, blocks - 1)")).alias("block"), F.lit(None).cast("long").alias("a"), "text")
         texts = heads.union(pairs.join(body("a"), "a").select("b", "block", "a", "text"))
         texts = texts.repartition("b", "block").sortWithinPartitions("b", "block", F.col("a").asc_nulls_first())
         found = self.shelf.put(verified(texts, self.shingle, self.percent))
@@ -163,21 +165,27 @@ class _Links:
             before = self.labels
             self.labels = self.shelf.put(before.join(new, "label", "left").select("node", F.coalesce("new", "label").alias("label")))
             self.shelf.drop(before)
-        self.shelf.drop(pairs, found)
+        self.shelf.drop(found)
+
+    def pivots(self, pairs: DataFrame) -> None:
+        """Check the pairs (a, b) of members and pivots, which may repeat."""
+        side = lambda x: self.index.select(F.col("node").alias(x), F.col("sketch").alias(f"s{x}"))
+        self.check(pairs.distinct().join(side("a"), "a").join(side("b"), "b"))
 
     def check(self, pairs: DataFrame) -> None:
-        """Estimate the candidate pairs (a, b) and verify the likely ones as far as they are not connected."""
-        sketch = F.transform("sketch", lambda x: F.shiftright(x, 32).cast("int"))
-        side = lambda x: self.nodes.select(F.col("node").alias(x), sketch.alias(f"s{x}"))
-        pairs = pairs.select("a", "b").repartition("a").distinct()
-        likely = self.shelf.put(estimates(pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "sa", "sb"), self.k, self.least))
-        first = likely.groupBy("a").agg(F.max(F.struct("score", "b")).alias("top")).select("a", "top.b")
-        if not likely.isEmpty():
+        """Estimate the candidate pairs (a, b, sa, sb), which may repeat, and verify the likely ones as far as they are not connected."""
+        likely = estimates(pairs.select("a", "b", "sa", "sb"), self.k, self.least)
+        likely = self.shelf.put(likely.groupBy("a", "b").agg(F.max("score").alias("score")))
+        count = likely.count()
+        if count > AT_ONCE:
+            first = likely.groupBy("a").agg(F.max(F.struct("score", "b")).alias("top")).select("a", "top.b")
             self.verify(first)
             rest = self.shelf.put(self.named(likely.join(first, ["a", "b"], "left_anti").select("a", "b")).where("la <> lb").select("a", "b"))
             if not rest.isEmpty():
                 self.verify(rest)
             self.shelf.drop(rest)
+        elif count:
+            self.verify(likely.select("a", "b"))
         self.shelf.drop(likely)
 
     def open_lists(self, entries: DataFrame, few: int) -> DataFrame:
@@ -195,7 +203,8 @@ class _Links:
 
     def outside(self, own: DataFrame) -> None:
         """Compare the members outside the largest label with all of their list."""
-        side = lambda x: own.select("value", F.col("node").alias(x), F.col("label").alias(f"l{x}"), F.col("size").alias(f"n{x}"), F.col("main").alias(f"m{x}"))
+        own = own.join(self.index, "node")
+        side = lambda x: own.select("value", *(F.col(c).alias(y + x) for c, y in (("node", ""), ("label", "l"), ("size", "n"), ("main", "m"), ("sketch", "s"))))
         met = side("a").join(side("b").where("lb <> mb"), "value").where("la <> lb and (la = ma or a < b)")
         self.check(met.where(_near_sizes("na", "nb", self.percent)))
 
@@ -207,12 +216,13 @@ class _Links:
             if table.isEmpty():
                 break
             own = table.withColumn("turn", F.expr("floor(pmod(xxhash64(node), 1048576) / 1048576 * n)")).withColumn("chosen", F.expr(f"turn >= {low} and turn < {high}"))
-            side = lambda x: [F.col("node").alias(x), F.col("label").alias(f"l{x}"), F.col("size").alias(f"n{x}"), F.col("at").alias(f"p{x}")]  # noqa: B023, E731
+            own = own.join(self.index, "node")
+            side = lambda x: [F.col(c).alias(y + x) for c, y in (("node", ""), ("label", "l"), ("size", "n"), ("at", "p"), ("sketch", "s"))]  # noqa: B023, E731
             left, right = own.select("value", *side("a"), F.col("chosen").alias("both")), own.where("chosen").select("value", *side("b"))
             # What is common from here on must be enough for a link.
             fit = F.expr(f"least(na - pa, nb - pb) * (100L + {self.percent}) >= {self.percent}L * (na + nb)")
             self.check(left.join(right, "value").where("la <> lb and (not both or a < b)").where(fit))
-            entries = own.where(f"n > {high}").select("value", "node", "size", "at")
+            entries = table.where(f"n > {high}").select("value", "node", "size", "at")
             low, high = high, high * 32
         self.shelf.drop(table)
 
@@ -286,14 +296,16 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, k: int
     entries = shelf.put(met.select("value", "node", "size", "n", F.col("top.node").alias("pivot"), F.col("top.size").alias("pivot_size")))
     shelf.drop(prefix)
     labels = shelf.put(entries.select("node").distinct().select("node", F.col("node").alias("label")))
-    wanted = nodes.join(labels, "node", "left_semi").select("node", "id", "raw")
+    sketch = F.transform("sketch", lambda x: F.shiftright(x, 32).cast("int")).alias("sketch")
+    index = shelf.put(nodes.join(labels, "node", "left_semi").select("node", "id", "raw", sketch))
+    wanted = index.select("node", "id", "raw")
     # Rows with the same id and digest have one text, joined in partial sums before they are shuffled.
     texts = _rows(docs).groupBy(F.coalesce("doc_id", F.lit(0)).alias("id"), "raw").agg(F.first("text").alias("text"))
     bodies = shelf.put(texts.join(wanted.hint("shuffle_hash"), ["id", "raw"]).select("node", "text"), "zstd")
 
-    links = _Links(shelf, nodes, bodies, labels, shingle, percent, k, percent / 100 - margin)
+    links = _Links(shelf, index, bodies, labels, shingle, percent, k, percent / 100 - margin)
     pairs = entries.where("node <> pivot").where(_near_sizes("size", "pivot_size", percent))
-    links.check(pairs.select(F.col("node").alias("a"), F.col("pivot").alias("b")))
+    links.pivots(pairs.select(F.col("node").alias("a"), F.col("pivot").alias("b")))
     own_lists = links.open_lists(entries.where("n > 2").select("value", "node", "size"), few)
     if not own_lists.where("direct").isEmpty():
         links.outside(own_lists.where("direct"))

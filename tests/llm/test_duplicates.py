@@ -8,6 +8,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from gridweave.llm import near
 from gridweave.llm.exact import directory, exact_duplicates
 from gridweave.llm.graph import components
 from gridweave.llm.near import near_duplicates
@@ -101,6 +102,16 @@ def test_near_crowded_list(spark):
     assert sorted(map(tuple, got.collect())) == sorted(brute_near(rows, 5))
 
 
+def test_near_in_two_passes(spark, monkeypatch):
+    """Many likely pairs: the likeliest partner of each class is verified first, then what is still unconnected."""
+    monkeypatch.setattr(near, "AT_ONCE", 0)
+    rng = random.Random(23)
+    base = prose(rng, 150)
+    rows = [(i, edited(rng, base, i % 8)) for i in range(60)]
+    got = near_duplicates(documents(spark, rows), few=2)
+    assert sorted(map(tuple, got.collect())) == sorted(brute_near(rows, 5))
+
+
 def test_near_empty(spark):
     assert near_duplicates(spark.createDataFrame([], DOCS)).count() == 0
 
@@ -122,6 +133,21 @@ def test_components(spark):
         assert got[node] == min(seen)
 
 
+def test_components_of_few_edges_take_one_table(spark):
+    """Each round of steps costs shuffles and a table, on each of many partitions."""
+    shelf = Shelf(spark, "t")
+    got = components(spark.createDataFrame([(i + 1, i) for i in range(60)], "a long, b long"), shelf).collect()
+    assert {r["label"] for r in got} == {0} and len(got) == 61 and shelf._count == 1
+
+
+@pytest.mark.parametrize("most", [1, 20])
+def test_components_that_tasks_contract_in_parts(spark, most):
+    pairs = [(i + 1, i) for i in range(60)] + [(200, 100 + i) for i in range(30)] + [(301, 300), (301, 301), (None, 5)]
+    edges = spark.createDataFrame(pairs, "a long, b long").repartition(4)
+    want = {i: 0 for i in range(61)} | {i: 100 for i in [*range(100, 130), 200]} | {300: 300, 301: 300}
+    assert {r["node"]: r["label"] for r in components(edges, Shelf(spark, "t"), most).collect()} == want
+
+
 def test_exact_against_brute_force(spark):
     rng = random.Random(5)
     rows = awkward(rng) + [(50 + i, "hot Text") for i in range(200)] + [(400 + i, prose(rng, 5)) for i in range(100)]
