@@ -11,8 +11,9 @@
 4. Digests (128 bits) are grouped over all texts; the earliest occurrence by (doc_id, number of the unit) stays, the
    others are removed, each with its code point offsets in the text as given and the occurrence that stays.
 
-Only digests and offsets are shuffled. A digest with a third of all units is summed before the shuffle, and the join
-that finds its occurrences can be split, as each has one row on the other side.
+Only digests, document numbers and offsets are shuffled, once, and the MD5 of the text joins the removed units at the end. A digest
+with a third of all units does not meet in one task: units are counted in ``BUCKETS`` buckets by digest, and those of crowded buckets
+are summed before the shuffle; the join that finds their occurrences can be split, as each has one row on the other side.
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ from collections.abc import Iterator
 from hashlib import blake2b, md5
 from zlib import crc32
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -44,17 +46,22 @@ WORD = re.compile(r"[^\x20\x09-\x0D]+")
 #: A word, or a code point of the scripts that put no blanks between words (Thai to Khmer, kana, Han and their punctuation).
 _DENSE = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u2e80-\ua4cf\uf900-\ufaff\uff00-\uffef\U0001b000-\U0001b16f\U00020000-\U0003ffff"
 TOKEN = re.compile(f"[{_DENSE}]|[^\\x20\\x09-\\x0D{_DENSE}]+")
+DENSE = re.compile(f"[{_DENSE}]")
 LOWER = {c: c + 32 for c in range(65, 91)}
 
-UNIT = "doc_id long, raw binary, unit long, start long, end long, words long, one long, two long"
+UNIT = "doc long, doc_id long, raw binary, unit long, start long, end long, words long, one long, two long"
+
+#: Buckets by digest; one with over ``CROWDED`` units and four times the mean is crowded, so at most a quarter of them are.
+BUCKETS = 1 << 16
+CROWDED = 10_000
 
 
 def _runs(text: str, start: int, end: int, least_words: int) -> Iterator[tuple[int, int, int, bytes | None]]:
-    """The pieces of a unit from start to end that has more than ``LONG`` words, where only the words say where to cut."""
+    """The pieces of a unit from start to end of a lower-cased text that has more than ``LONG`` words, where only the words say where to cut."""
     found = list(TOKEN.finditer(text, start, end))
     if len(found) <= LONG:
         return
-    tokens = [m.group().translate(LOWER) for m in found]
+    tokens = [m.group() for m in found]
     at = 0
     for i, token in enumerate(tokens, 1):
         if i < len(tokens) and crc32(token.encode("utf-8", "surrogatepass")) % CUT:
@@ -76,13 +83,15 @@ def units_of(text: str, unit: str, least_words: int) -> Iterator[tuple[int, int,
     Units are nested or apart: a line follows the finer units that it consists of.
     """
     finer = unit in ("sentence", "clause")
+    low = text.lower() if text.isascii() else text.translate(LOWER)  # as long as the text
+    dense = DENSE.search(low) is not None
     at = mark = line_at = 0
     own: list[str] = []
     line: list[str] = []
     before, held = [], 0  # the latest units: number of words and normalised text
     ends = [*((m.start(), m.end()) for m in ENDS[unit].finditer(text)), (len(text), len(text))]
     for end, after in ends:
-        words = WORD.findall(text[mark:end].translate(LOWER))
+        words = WORD.findall(low, mark, end)
         own += words
         mark = after
         if unit == "clause" and len(words) < LEAST_CLAUSE and end < len(text) and text[end] in " \t":
@@ -94,7 +103,8 @@ def units_of(text: str, unit: str, least_words: int) -> Iterator[tuple[int, int,
             held += len(own)
             while held - before[0][0] >= least_words:
                 held -= before.pop(0)[0]
-            yield from _runs(text, at, end, least_words)
+            if dense or len(own) > LONG:
+                yield from _runs(low, at, end, least_words)
             yield at, end, len(own), _digest("\n".join(t for _, t in before)) if held >= least_words else None
             line += own
         if finer and (end == len(text) or text[end] in "\r\n"):
@@ -106,23 +116,30 @@ def units_of(text: str, unit: str, least_words: int) -> Iterator[tuple[int, int,
 
 def _cut(docs: DataFrame, unit: str, least_words: int) -> DataFrame:
     names = [x.split()[0] for x in UNIT.split(", ")]
-    kinds = [pa.int64(), pa.binary(), *[pa.int64()] * 6]
+    kinds = [pa.int64(), pa.int64(), pa.binary(), *[pa.int64()] * 4]
+
+    def packed(out: list[tuple], digests: list[bytes]) -> pa.RecordBatch:
+        halves = np.frombuffer(b"".join(digests), ">i8").astype(np.int64).reshape(-1, 2)
+        columns = [pa.array(c, k) for c, k in zip(zip(*out), kinds)]
+        return pa.RecordBatch.from_arrays([*columns, pa.array(halves[:, 0]), pa.array(halves[:, 1])], names)
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist()):
+            out, digests = [], []
+            for doc, doc_id, text in zip(batch["doc"].to_pylist(), batch["doc_id"].to_pylist(), batch["text"].to_pylist()):
                 raw = md5((text or "").encode("utf-8")).digest()
                 for i, (start, end, words, digest) in enumerate(units_of(text or "", unit, least_words)):
                     if digest is not None:
-                        out.append((doc_id, raw, i, start, end, words, int.from_bytes(digest[:8], "big", signed=True), int.from_bytes(digest[8:], "big", signed=True)))
+                        out.append((doc, doc_id, raw, i, start, end, words))
+                        digests.append(digest)
                 if len(out) > 50_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names)
-                    out = []
+                    yield packed(out, digests)
+                    out, digests = [], []
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names)
+                yield packed(out, digests)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(made, UNIT)
+    own = docs.select(F.monotonically_increasing_id().alias("doc"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return own.mapInArrow(made, UNIT)
 
 
 def repeated_units(docs: DataFrame, unit: str = "clause", least_words: int = 8) -> DataFrame:
@@ -134,11 +151,27 @@ def repeated_units(docs: DataFrame, unit: str = "clause", least_words: int = 8)
     Other columns are ignored; an empty table gives an empty one.
     """
     shelf = Shelf(docs.sparkSession, "units")
-    rows = shelf.put(_cut(docs, unit, least_words).withColumn("row", F.monotonically_increasing_id()))
-    place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "unit", "row")
-    first = rows.groupBy("one", "two").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("copies")).where("copies > 1")
-    hit = rows.join(first, ["one", "two"]).where("row <> first.row")
-    return hit.select("doc_id", "unit", "start", "end", "words", F.col("first.doc_id").alias("first_doc_id"), F.col("first.unit").alias("first_unit"), "copies", F.lower(F.hex("raw")).alias("raw"))
+    rows = shelf.put(_cut(docs, unit, least_words))
+    raws = rows.select("doc", "raw").distinct()
+    rows = rows.drop("raw").withColumn("bucket", F.expr(f"cast(pmod(one, {BUCKETS}) as int)"))
+    counts = shelf.put(rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")))
+    mean = (counts.agg(F.sum("n")).first()[0] or 0) / BUCKETS
+    crowded = F.broadcast(counts.where(F.col("n") > max(CROWDED, 4 * mean)).select("bucket"))
+
+    same = Window.partitionBy("one", "two")
+    order = same.orderBy(F.asc_nulls_last("doc_id"), "unit", "doc")
+    few = rows.join(crowded, "bucket", "left_anti").withColumns(
+        {"nth": F.row_number().over(order), "first_doc_id": F.first("doc_id").over(order), "first_unit": F.first("unit").over(order), "copies": F.count(F.lit(1)).over(same)}
+    )
+    columns = ["doc", "doc_id", "unit", "start", "end", "words", "first_doc_id", "first_unit", "copies"]
+    hit = few.where("nth > 1").select(*columns)
+
+    many = rows.join(crowded, "bucket", "left_semi")
+    place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "unit", "doc")
+    first = many.groupBy("one", "two").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("copies")).where("copies > 1")
+    later = many.join(first, ["one", "two"]).where("doc <> first.doc or unit <> first.unit")
+    hit = hit.union(later.withColumns({"first_doc_id": F.col("first.doc_id"), "first_unit": F.col("first.unit")}).select(*columns))
+    return hit.join(raws, "doc").select(*columns[1:], F.lower(F.hex("raw")).alias("raw"))
 
 
 def without(docs: DataFrame, removed: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from gridweave.llm import near
+from gridweave.llm import near, units
 from gridweave.llm.exact import directory, exact_duplicates
 from gridweave.llm.graph import components
 from gridweave.llm.near import near_duplicates
@@ -193,6 +193,21 @@ def test_units_against_brute_force(spark, unit):
     assert repeated_units(spark.createDataFrame([], DOCS), unit).count() == 0
 
 
+def test_units_are_shuffled_once(spark, monkeypatch):
+    """Units of crowded buckets are found by sums and a join, all others by one shuffle that does not carry the MD5: same rows."""
+    rng = random.Random(31)
+    line = prose(rng, 12)
+    rows = awkward(rng) + [(20 + i, prose(rng, 30) + "\n" + line + "\n" + prose(rng, 9)) for i in range(40)]
+    docs, found = documents(spark, rows), []
+    for crowded in (units.CROWDED, 5, 0):
+        monkeypatch.setattr(units, "CROWDED", crowded)
+        out = repeated_units(docs)
+        found.append(sorted(map(str, out.collect())))
+        plan = out._jdf.queryExecution().optimizedPlan().toString()
+        assert "Window" in plan and "raw" not in next(x for x in plan.splitlines() if "Window" in x)
+    assert found[0] and found[0] == found[1] == found[2]
+
+
 def test_units_are_cut_with_their_offsets(spark):
     shared = "This passage of ten words stands in both of them. Short. It goes on for quite a few more words here."
     rows = [(1, "Alpha beta gamma.\n" + shared), (2, "Something else before it comes. " + shared + " And after."), (3, "Only here."), (4, None)]
